@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_scan, tokens, url_filter
+from . import packing, sharding, simhash_trie, token_scan, tokens, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_url_filter": op3_url_filter,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op7_sharding": op7_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
