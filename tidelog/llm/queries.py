@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, simhash_trie, token_scan, tokens, url_filter
+from . import decontaminate, packing, sharding, simhash_trie, token_scan, tokens, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.token_counts(table(spark, sf_dir, "documents"), tokens.public_vocabulary()).select("doc_id", "n_tokens")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -33,6 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_decontamination": op2_decontamination,
         "op3_url_filter": op3_url_filter,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op7_sharding": op7_sharding,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, let
 
 #: (verdict, host/path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -49,7 +49,7 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RU
 def _grams(text: Column, order: int) -> Column:
     """Every character with the `order` characters before it, the end mark last."""
     padded = F.concat(F.lit(START * order), text, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.char_length(text) + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    return let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - order), lambda i: F.substring(p, i, F.lit(order + 1))))
 
 
 def gram_ratios(grams: DataFrame, order: int = ORDER, alphabet: int = ALPHABET) -> DataFrame:
