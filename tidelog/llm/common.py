@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The most rows of two longs (about 8 MB) that a join may broadcast; beyond it Spark's own join takes over.
@@ -40,6 +41,11 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda function an expression would be computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def byte_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most about `most` bytes of text each (one longer text alone may exceed it)."""
     import numpy as np
@@ -48,7 +54,7 @@ def byte_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int
         n = batch.num_rows
         if not n:
             continue
-        size = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+        size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
         part = (np.cumsum(size) - size) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:], strict=False):
