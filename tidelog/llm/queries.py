@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, simhash_trie, token_scan, tokens, toxicity, url_filter
+from . import decontaminate, packing, quality, sharding, simhash_trie, token_scan, tokens, toxicity, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_quality": op6_quality,
         "op7_sharding": op7_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
