@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, sharding, simhash_trie, token_scan, tokens, toxicity, url_filter
+from . import decontaminate, packing, quality, sharding, simhash_trie, substring_dedup, token_scan, tokens, toxicity, url_filter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.public_vocabulary())
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
         "op7_sharding": op7_sharding,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
