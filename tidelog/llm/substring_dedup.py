@@ -314,9 +314,10 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str
     marks = durable(spans.unionByName(gone).withColumnsRenamed({"id": "cut_id", "rid": "cut_rid", "spans": "cut_spans"}), "cuts")
     body = F.coalesce(F.col(text), F.lit(""))
     on = (_order_id(key) == F.col("cut_id")) & (F.xxhash64(body) == F.col("cut_rid"))
-    names = marks.select("cut_id", "cut_rid")
-    same = docs.join(broadcast_if_small(names), on, "left_anti")
-    changed = docs.join(broadcast_if_small(names), on, "left_semi").join(marks, on).drop("cut_id", "cut_rid")
+    cut_ids = broadcast_if_small(marks.select("cut_id", "cut_rid"))
+    columns = docs.columns
+    same = docs.join(cut_ids, on, "left_anti")
+    changed = docs.join(cut_ids, on, "left_semi").join(marks, on).drop("cut_id", "cut_rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches, text):
@@ -325,7 +326,6 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str
             new = {text: pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())}
             if chars in batch.schema.names:
                 new[chars] = pa.array([len(x) for x in new[text].to_pylist()], batch.schema.field(chars).type)
-            names = [f.name for f in docs.schema]
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in columns], names=columns)
 
     return same.unionByName(changed.mapInArrow(cut, docs.schema))
