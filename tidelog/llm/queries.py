@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, sharding, simhash_trie, substring_dedup, token_scan, tokens, toxicity, url_filter
+from . import decontaminate, media, packing, quality, sharding, simhash_trie, substring_dedup, token_scan, tokens, toxicity, url_filter
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(table(spark, sf_dir, "documents")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.public_vocabulary())
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_sharding": op7_sharding,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_progressive_jpeg": op9_progressive_jpeg,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
