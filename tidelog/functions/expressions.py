@@ -92,7 +92,11 @@ def crc32c_of(raw: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
-def crc32c(raw: pd.Series) -> pd.Series:
+def crc32c(raw: Column) -> Column:
     """Castagnoli CRC of a binary column; Spark's own crc32 has another polynomial."""
-    return raw.map(lambda x: None if x is None else crc32c_of(bytes(x)))
+
+    @F.pandas_udf("long")
+    def of(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else crc32c_of(bytes(v)))
+
+    return of(raw)

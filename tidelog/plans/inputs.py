@@ -10,7 +10,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_MICROS = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+def _micros():
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +23,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         op.alias("op"),
         F.round(F.col("value") * 100).cast("long").alias("value"),
-        F.floor(_MICROS / 1_000_000).cast("long").alias("write_time"),
-        F.floor(_MICROS / 1_000_000).cast("long").alias("udt"),
+        F.floor(_micros() / 1_000_000).cast("long").alias("write_time"),
+        F.floor(_micros() / 1_000_000).cast("long").alias("udt"),
     )
 
 
@@ -54,7 +55,7 @@ def scan_ranges(spark: SparkSession) -> DataFrame:
 
 def op_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 5).otherwise(6)
-    return table(spark, sf_dir, "events").select(_MICROS.alias("ts"), kind.alias("type"), (F.col("user_id") % 3).cast("int").alias("cf_id"), F.col("user_id").alias("key"), F.floor("value").cast("long").alias("value_size"))
+    return table(spark, sf_dir, "events").select(_micros().alias("ts"), kind.alias("type"), (F.col("user_id") % 3).cast("int").alias("cf_id"), F.col("user_id").alias("key"), F.floor("value").cast("long").alias("value_size"))
 
 
 OP_TRACE = """trace AS (SELECT epoch_us(ts) AS ts, CASE event_type WHEN 'click' THEN 0 WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 5 ELSE 6 END AS type,
