@@ -112,5 +112,5 @@ def find_leaks(docs: DataFrame, bench: DataFrame, k: int = SHINGLE, similarity:
 def drop_leaks(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
     """docs without the documents in which find_leaks() finds an item."""
     key = how.get("key", "doc_id")
-    leaks = durable(find_leaks(docs, bench, **how).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(leaks), F.col(key).eqNullSafe(F.col("leak")), "left_anti")
+    leaks = durable(find_leaks(docs, bench, **how).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks), F.col(key).eqNullSafe(F.col("__leak")), "left_anti")

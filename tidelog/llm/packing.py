@@ -87,29 +87,29 @@ def pieces(docs: DataFrame, vocabulary: dict, capacity: int = 2048, end: int = 0
 
 
 def pack(parts: DataFrame, capacity: int = 2048, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm", group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length`; other columns stay. Full pieces are sequences by themselves.
+    """Adds sequence_id and offset to rows with a `length`; other columns stay (an old sequence_id or offset goes). Full pieces are sequences by themselves.
 
     Rows are dealt to groups of about `group` by a hash of their place in the input, so equal keys spread like others. By default
     the document and cost capacities are those that `capacity` tokens can never exceed. Empty input: empty result.
     """
     max_docs, max_cost = max_docs or capacity, max_cost or float(capacity) ** 2
-    parts = durable(parts.withColumn("place_", F.monotonically_increasing_id()), "pieces")
+    parts = durable(parts.drop("sequence_id", "offset").withColumn("__place", F.monotonically_increasing_id()), "pieces")
     alone = (F.col("length") >= capacity) | (F.lit(2.0) * F.col("length") * F.col("length") > 2 * max_cost)
-    full = parts.filter(alone).withColumn("sequence_id", -1 - F.col("place_")).withColumn("offset", F.lit(0).cast("long")).drop("place_")
+    full = parts.filter(alone).withColumn("sequence_id", -1 - F.col("__place")).withColumn("offset", F.lit(0).cast("long")).drop("__place")
     rest = parts.filter(~alone)
     groups = max(1, -(-rest.count() // group))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place_", kind="stable")
+        frame = frame.sort_values("__place", kind="stable")
         bins = best_fit(frame["length"].to_numpy(), capacity, max_docs, max_cost, rule)
-        out = frame[["place_"]].copy()
-        out["sequence_id"] = int(frame["group_"].iloc[0]) * (1 << 24) + bins
+        out = frame[["__place"]].copy()
+        out["sequence_id"] = int(frame["__group"].iloc[0]) * (1 << 24) + bins
         out["offset"] = (frame["length"].groupby(bins).cumsum() - frame["length"]).to_numpy()
         return out
 
-    small = rest.select("place_", "length", F.pmod(F.xxhash64("place_"), F.lit(groups)).alias("group_"))
-    placed = small.repartition(groups, "group_").groupBy("group_").applyInPandas(fit, "place_ long, sequence_id long, offset long")
-    return rest.join(placed, "place_").drop("place_").unionByName(full)
+    small = rest.select("__place", "length", F.pmod(F.xxhash64("__place"), F.lit(groups)).alias("__group"))
+    placed = small.repartition(groups, "__group").groupBy("__group").applyInPandas(fit, "__place long, sequence_id long, offset long")
+    return rest.join(placed, "__place").drop("__place").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: dict, capacity: int = 2048, end: int = 0, keep_ids: bool = False, **how) -> DataFrame:

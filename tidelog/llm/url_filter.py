@@ -76,7 +76,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     """(page_id, host, path, rule, verdict, score) for each row.
 
     score is the length-normalised ratio (higher: more like accepted URLs), null where a rule decides. Labelled URLs whose key mod 5 is 0 only calibrate:
-    the threshold, a multiple of 0.01, has the largest true-allow less false-allow rate (ties: the lowest). Without such URLs of
+    the threshold, a multiple of 0.01, has the largest true-allow less false-allow rate (ties: the lowest) and stands halfway to the next lower score. Without such URLs of
     both classes it is 0. Null URL: empty host and path, judged by the model. Null or repeated keys: a row each; null keys count as 0 in folds.
     Empty table: empty result.
     """
@@ -102,8 +102,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     above, every = Window.orderBy(F.col("at").desc()), Window.partitionBy()
     gain = F.sum("a").over(above) / F.sum("a").over(every) - F.sum("b").over(above) / F.sum("b").over(every)
     best = bins.filter("at is not null").withColumn("both", (F.sum("a").over(every) > 0) & (F.sum("b").over(every) > 0))
-    best = best.filter("both").select("at", F.round(gain, 9).alias("gain")).orderBy(F.col("gain").desc(), "at").first()
-    at = best["at"] if best else 0
+    middle = F.ceil((F.col("at") + F.coalesce(F.lag("at").over(Window.orderBy("at")), F.col("at"))) / 2)
+    best = best.withColumn("middle", middle).filter("both").select("at", "middle", F.round(gain, 9).alias("gain")).orderBy(F.col("gain").desc(), "at").first()
+    at = best["middle"] if best else 0
     open_ = scored.filter(F.col("ruled").isNull()).withColumn("verdict", F.when(step >= at, "allow").otherwise("block"))
     cols = ["page_id", "host", "path", "rule", "verdict", "score"]
     ruled = rows.filter(F.col("ruled").isNotNull()).withColumns({"verdict": F.col("ruled"), "score": F.lit(None).cast("double")})
@@ -132,6 +133,6 @@ grams AS (SELECT gram, sum((coalesce(ruled, '') = 'allow' AND NOT held)::int) AS
 {', '.join(levels)},
 scores AS (SELECT place, round(avg(ln(p_a) - ln(p_r)), 9) AS score FROM cells JOIN m{order} USING (gram) GROUP BY place),
 bins AS (SELECT floor(score * 100) AS bin_, sum((ruled = 'allow')::int) AS a, sum((ruled = 'block')::int) AS b FROM ruled JOIN scores USING (place) WHERE held AND ruled IS NOT NULL GROUP BY 1),
-gains AS (SELECT bin_, round(sum(a) OVER up / sum(a) OVER () - sum(b) OVER up / sum(b) OVER (), 9) AS gain, sum(a) OVER () > 0 AND sum(b) OVER () > 0 AS both_ FROM bins WINDOW up AS (ORDER BY bin_ DESC)),
-best AS (SELECT coalesce((SELECT bin_ FROM gains WHERE both_ ORDER BY gain DESC, bin_ LIMIT 1), 0) AS bin_)
+gains AS (SELECT bin_, ceil((bin_ + coalesce(lag(bin_) OVER (ORDER BY bin_), bin_)) / 2.0) AS middle, round(sum(a) OVER up / sum(a) OVER () - sum(b) OVER up / sum(b) OVER (), 9) AS gain, sum(a) OVER () > 0 AND sum(b) OVER () > 0 AS both_ FROM bins WINDOW up AS (ORDER BY bin_ DESC)),
+best AS (SELECT coalesce((SELECT middle FROM gains WHERE both_ ORDER BY gain DESC, bin_ LIMIT 1), 0) AS bin_)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN floor(score * 100) >= (SELECT bin_ FROM best) THEN 'allow' ELSE 'block' END) AS verdict FROM ruled JOIN scores USING (place)"""
