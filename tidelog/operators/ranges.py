@@ -47,10 +47,12 @@ def drop_covered(points: DataFrame, ranges: DataFrame, by: tuple[str, ...] = ("c
 def as_of(points: DataFrame, cells: DataFrame, by: tuple[str, ...], key: str, buckets: int = 256) -> DataFrame:
     """points with the disjoint cell [lo, hi) that holds their key, if any.
 
-    Keys are dealt to buckets cut at quantiles of the cells' bounds; a cell goes to every bucket it reaches, and inside a bucket the last
+    Keys are dealt to buckets cut at a sample of the cells' bounds; a cell goes to every bucket it reaches, and inside a bucket the last
     cell that begins at or before the key is carried forward by one sort."""
-    marks = cells.select(F.col("lo")).distinct().withColumn("t", F.ntile(buckets).over(Window.orderBy("lo"))).groupBy("t").agg(F.min("lo").alias("cut"))
-    cuts = sorted(r["cut"] for r in marks.collect())  # at most `buckets` rows
+    # At most 16 bounds for each bucket, those whose hash is smallest: a fixed number of rows on the driver, whatever the number of cells.
+    sample = cells.select("lo").distinct().orderBy(F.xxhash64("lo"), "lo").limit(16 * buckets).collect()
+    bounds = sorted(r["lo"] for r in sample)
+    cuts = bounds[:: max(1, len(bounds) // buckets)]
     bucket = lambda c: sum((c >= F.lit(x)).cast("int") for x in cuts) if cuts else F.lit(0)
     names = [c for c in points.columns]
     p = points.withColumn("bucket_", bucket(F.col(key))).withColumn("at_", F.col(key)).withColumn("cell_", F.lit(None).cast("struct<lo:%s,hi:%s,top_seq:bigint,n:bigint>" % (dict(cells.dtypes)["lo"], dict(cells.dtypes)["hi"]))).withColumn("kind_", F.lit(1))
