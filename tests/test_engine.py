@@ -58,6 +58,13 @@ def test_resolve_needs_a_merge_operator(spark):
         resolve(log, merge="nosuch")
 
 
+def test_merge_over_an_entity(spark):
+    rows = [("default", "a", 1, "PUT_ENTITY", None, {"": "b", "x": "1"}), ("default", "a", 2, "MERGE", "m", None), ("default", "c", 3, "PUT", "v", None), ("default", "c", 4, "MERGE", "w", None), ("default", "e", 5, "PUT_ENTITY", None, {"x": "2"})]
+    log = spark.createDataFrame(rows, "cf string, user_key string, seq long, op string, value string, columns map<string,string>")
+    got = {r["user_key"]: (r["value"], r["columns"]) for r in resolve(log, merge="stringappend").collect()}
+    assert got == {"a": (None, {"": "b,m", "x": "1"}), "c": ("v,w", None), "e": (None, {"x": "2"})}
+
+
 def test_single_delete_misuse(spark):
     ops = [("default", 1, 1, "PUT", 1, None), ("default", 1, 2, "SINGLE_DELETE", None, None), ("default", 2, 3, "PUT", 1, None), ("default", 2, 4, "PUT", 2, None), ("default", 2, 5, "SINGLE_DELETE", None, None)]
     assert [r["seq"] for r in single_delete_misuse(spark.createDataFrame(ops, LOG)).collect()] == [5]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DELETE_RANGE, DELETES, MERGE
+from ..schema import DELETE_RANGE, DELETES, ENTITY, MERGE
 from . import merge as merges
 from . import ranges
 
@@ -65,8 +65,12 @@ def resolve(
     base = points.filter(is_base).groupBy(*keys).agg(F.max("seq").alias("base_seq"), F.max_by(F.struct("op", "value", *extra), "seq").alias("base"))
     later = points.filter(~is_base).join(base, keys, "left").filter(F.col("seq") > F.coalesce("base_seq", F.lit(-1)))
     live = F.when(~F.col("base.op").isin(*DELETES), F.col("base.value"))
-    operands = later.select(*keys, "seq", "value", live.alias("base_value"), *[F.col(f"base.{c}").alias(c) for c in extra])
-    kept = base.filter(~F.col("base.op").isin(*DELETES)).select(*keys, F.col("base_seq").alias("seq"), F.lit(None).cast(dict(v.dtypes)["value"]).alias("value"), F.col("base.value").alias("base_value"), *[F.col(f"base.{c}").alias(c) for c in extra])
+    kind = dict(v.dtypes)["value"]
+    if "columns" in extra:  # operands over an entity fold into its unnamed column
+        live = F.when(F.col("base.op") == ENTITY, F.try_element_at(F.col("base.columns"), F.lit("")).cast(kind)).otherwise(live)
+    alive = ~F.coalesce(F.col("base.op").isin(*DELETES), F.lit(True))
+    operands = later.select(*keys, "seq", "value", live.alias("base_value"), *[F.when(alive, F.col(f"base.{c}")).alias(c) for c in extra])
+    kept = base.filter(~F.col("base.op").isin(*DELETES)).select(*keys, F.col("base_seq").alias("seq"), F.lit(None).cast(kind).alias("value"), live.alias("base_value"), *[F.col(f"base.{c}").alias(c) for c in extra])
     both = operands.unionByName(kept)
     folded = both.groupBy(*keys).agg(
         F.when(F.count("value") > 0, fold(F.col("value"), F.col("seq"), F.col("base_value"))).alias("merged"),
@@ -74,8 +78,14 @@ def resolve(
         F.max("seq").alias("seq"),
         *[F.first(c, ignorenulls=True).alias(c) for c in extra],
     )
-    kind = dict(folded.dtypes)["merged"]
-    return folded.select(*keys, F.coalesce("merged", F.col("base_value").cast(kind)).alias("value"), "seq", *extra)
+    out = dict(folded.dtypes)["merged"]
+    value = F.coalesce("merged", F.col("base_value").cast(out))
+    if "columns" not in extra:
+        return folded.select(*keys, value.alias("value"), "seq", *extra)
+    others = F.map_filter("columns", lambda k, _: k != "")
+    entity = F.when(F.col("merged").isNull() | F.col("columns").isNull(), F.col("columns")).otherwise(F.map_concat(others, F.create_map(F.lit(""), F.col("merged").cast("string"))))
+    plain = F.when(F.col("columns").isNull(), value).alias("value")
+    return folded.select(*keys, plain, "seq", entity.alias("columns"), *[c for c in extra if c != "columns"])
 
 
 def versions(log: DataFrame, from_ts: int, read_ts: int, snapshot: int | None = None) -> DataFrame:
