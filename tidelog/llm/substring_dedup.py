@@ -143,35 +143,96 @@ def shared_minimizers(texts: DataFrame, parts: int, width: int, gram: int) -> Da
     return both.groupBy("rid").agg(F.collect_list("values").alias("minimizers"))
 
 
-def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, value: np.ndarray, bodies: list[bytes], width: int) -> list[tuple[int, int, int, int]]:
-    """(id, rid, first byte, byte after) of the windows that an equal window with a smaller id covers, of segments with the same minimizers."""
-    found, texts, owners, lows = [], [], [], []
+def _gram_places(strings: list[bytes], values: np.ndarray, gram: int) -> np.ndarray:
+    """Where the minimizer stands in each string; -1 where it does so more than once."""
+    out, at = np.empty(len(strings), np.int64), 0
+    while at < len(strings):
+        stop, size = at, 0
+        while stop < len(strings) and size < 1 << 20:
+            size += len(strings[stop])
+            stop += 1
+        part = strings[at:stop]
+        sizes = np.array([len(b) for b in part])
+        starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(part)), sizes)
+        hashes = gram_hashes(np.frombuffer(b"".join(part), np.uint8), gram)
+        hit = np.flatnonzero(hashes == values[at:stop][owner[: len(hashes)]])
+        hit = hit[hit + gram <= (starts + sizes)[owner[hit]]]
+        place = np.full(len(part), -1)
+        place[owner[hit]] = hit - starts[owner[hit]]
+        place[np.bincount(owner[hit], minlength=len(part)) != 1] = -1
+        out[at:stop], at = place, stop
+    return out
+
+
+def _comparable(strings: list[bytes], places: list[int], width: int, gram: int) -> list[int]:
+    """The strings that may share a window with another one. All hold the same gram, and an equal window needs width - gram equal bytes around it, so at
+    least half of these on one side."""
+    half = -(-(width - gram) // 2)
+    left, right = [b[q - half : q] if q >= half else None for b, q in zip(strings, places, strict=True)], [b[q + gram : q + gram + half] for b, q in zip(strings, places, strict=True)]
+    seen: dict[tuple[int, bytes], int] = {}
+    for side, keys in enumerate((left, right)):
+        for k in keys:
+            if k is not None and len(k) == half:
+                seen[side, k] = seen.get((side, k), 0) + 1
+    return [i for i in range(len(strings)) if seen.get((0, left[i]), 0) > 1 or seen.get((1, right[i]), 0) > 1]
+
+
+def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, value: np.ndarray, bodies: list[bytes], width: int, gram: int, together: int = 150_000) -> list[tuple[int, int, int, int]]:
+    """(id, rid, first byte, byte after) of the windows that an equal window with a smaller id covers, of segments with the same minimizers.
+
+    Different strings of one minimizer go through suffix arrays, about `together` bytes at a time; the gram that they share counts as one symbol there."""
+    found, groups, at = [], [], []
     order = np.argsort(value, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(order) else ():
         strings: dict[bytes, list[int]] = {}
         for r in rows.tolist():
             strings.setdefault(bodies[r], []).append(r)
+        if len(strings) > 1:
+            groups.append(strings)
+            at.append(value[rows[0]])
         for body, own in strings.items():
-            least = min(int(ids[r]) for r in own)
-            if len(strings) == 1:
+            if len(own) > 1:
+                least = min(int(ids[r]) for r in own)
                 found += [(int(ids[r]), int(rids[r]), int(starts[r]), int(starts[r]) + len(body)) for r in own if ids[r] > least]
-            else:
-                texts.append(body)
-                owners.append(own)
-                lows.append(least)
-    if not texts:
-        return found
-    classes = window_classes(texts, width)
-    flat = np.concatenate(classes)
-    least = np.full(int(flat.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, flat, np.repeat(np.array(lows, np.int64), [len(c) for c in classes]))
-    for own, cls in zip(owners, classes, strict=True):
-        low = least[cls]
-        for r in own:
-            cut = np.flatnonzero(low < ids[r])
-            if len(cut):
-                for run in np.split(cut, np.flatnonzero(np.diff(cut) > 1) + 1):
-                    found.append((int(ids[r]), int(rids[r]), int(starts[r] + run[0]), int(starts[r] + run[-1]) + width))
+    every = [b for g in groups for b in g]
+    places = _gram_places(every, np.repeat(np.array(at, np.uint64), [len(g) for g in groups]), gram) if every else None
+    texts: dict[int, list] = {1: [], gram: []}  # by the bytes that the gram's one symbol stands for
+
+    def flush(short: int) -> None:
+        rows, texts[short] = texts[short], []
+        if not rows:
+            return
+        classes = window_classes([t for t, *_ in rows], width - short + 1)
+        size = [len(c) for c in classes]
+        keys = np.repeat(np.array([g for _, g, _ in rows]), size) * (sum(size) + 1) + np.concatenate(classes)
+        names, inverse = np.unique(keys, return_inverse=True)
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, inverse, np.repeat(np.array([min(int(ids[r]) for r in own) for *_, own in rows], np.int64), size))
+        low = np.split(least[inverse], np.cumsum(size)[:-1])
+        for (_, _, own), lows in zip(rows, low, strict=True):
+            for r in own:
+                cut = np.flatnonzero(lows < ids[r])
+                if len(cut):
+                    for run in np.split(cut, np.flatnonzero(np.diff(cut) > 1) + 1):
+                        found.append((int(ids[r]), int(rids[r]), int(starts[r] + run[0]), int(starts[r] + run[-1]) + width))
+
+    done, held = 0, 0
+    for g, strings in enumerate(groups):
+        keys, where = list(strings), places[done : done + len(strings)].tolist()
+        done += len(strings)
+        short = gram if min(where) >= 0 else 1
+        for i in _comparable(keys, where, width, gram) if short > 1 else range(len(keys)):
+            b, q = keys[i], where[i]
+            # 0xff is in no UTF-8 text, so it can stand for the gram.
+            texts[short].append((b[:q] + b"\xff" + b[q + gram :] if short > 1 else b, g, strings[b]))
+            held += len(b)
+        if held >= together:
+            flush(1)
+            flush(gram)
+            held = 0
+    flush(1)
+    flush(gram)
     return found
 
 
@@ -240,7 +301,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
     def resolve(frame: pd.DataFrame) -> pd.DataFrame:
         flat = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
         bodies = [bytes(b) for bs in frame["bodies"] for b in bs]
-        found = _resolve(flat("ids", np.int64), flat("rids", np.int64), flat("starts", np.int64), flat("values", np.uint64), bodies, width)
+        found = _resolve(flat("ids", np.int64), flat("rids", np.int64), flat("starts", np.int64), flat("values", np.uint64), bodies, width, gram)
         by: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for i, r, a, b in found:
             by.setdefault((i, r), []).append((a, b))
@@ -311,18 +372,18 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str
     """docs with the repeated bytes cut out of the text (and `chars` counted anew, where there is such a column); no row goes. Bytes of a character that was cut in part go too."""
     rows, spans = repeated_spans(docs, width, gram, key, text)
     gone = rows.filter(F.col("copy") & (F.col("n_bytes") >= width)).select("id", "rid", F.lit(None).cast("binary").alias("spans")).distinct()
-    marks = durable(spans.unionByName(gone).withColumnsRenamed({"id": "cut_id", "rid": "cut_rid", "spans": "cut_spans"}), "cuts")
+    marks = durable(spans.unionByName(gone).withColumnsRenamed({"id": "__cut_id", "rid": "__cut_rid", "spans": "__cut_spans"}), "cuts")
     body = F.coalesce(F.col(text), F.lit(""))
-    on = (_order_id(key) == F.col("cut_id")) & (F.xxhash64(body) == F.col("cut_rid"))
-    cut_ids = broadcast_if_small(marks.select("cut_id", "cut_rid"))
+    on = (_order_id(key) == F.col("__cut_id")) & (F.xxhash64(body) == F.col("__cut_rid"))
+    cut_ids = broadcast_if_small(marks.select("__cut_id", "__cut_rid"))
     columns = docs.columns
     same = docs.join(cut_ids, on, "left_anti")
-    changed = docs.join(cut_ids, on, "left_semi").join(marks, on).drop("cut_id", "cut_rid")
+    changed = docs.join(cut_ids, on, "left_semi").join(marks, on).drop("__cut_id", "__cut_rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches, text):
             bodies = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
-            kept = [b"" if s is None else _kept(b, s) for b, s in zip(bodies, batch.column("cut_spans").to_pylist(), strict=True)]
+            kept = [b"" if s is None else _kept(b, s) for b, s in zip(bodies, batch.column("__cut_spans").to_pylist(), strict=True)]
             new = {text: pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())}
             if chars in batch.schema.names:
                 new[chars] = pa.array([len(x) for x in new[text].to_pylist()], batch.schema.field(chars).type)

@@ -14,57 +14,96 @@ import numpy as np
 
 
 def lyndon_groups(symbols: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """(group of each position, length of its Lyndon prefix, the groups in ascending order)."""
+    """(group of each position, length of its Lyndon prefix, the groups in ascending order).
+
+    A group that would move as a whole stays where it is: nothing lies between its old place and its new one."""
     n = len(symbols)
-    members: list[list[int]] = []
-    at: dict[int, int] = {}
-    for c in sorted(set(symbols)):
-        at[c] = len(members)
-        members.append([])
-    group = [at[c] for c in symbols]
-    for i, g in enumerate(group):
-        members[g].append(i)
-    above = list(range(1, len(members))) + [-1]
+    places: dict[int, list[int]] = {}
+    for i, c in enumerate(symbols):
+        if c in places:
+            places[c].append(i)
+        else:
+            places[c] = [i]
+    members = [places[c] for c in sorted(places)]
+    count = [len(m) for m in members]
+    group = [0] * n
+    for g, own in enumerate(members):
+        for i in own:
+            group[i] = g
+    above = [*range(1, len(members)), -1]
     below = list(range(-1, len(members) - 1))
-    length, previous, done = [1] * n, [-1] * n, bytearray(n)
+    length, previous = [1] * n, [-1] * n
+    done = bytearray(n + 1)  # the last place answers for position -1, which is never done
+
+    def raise_(moved: list[int], base: int) -> int:
+        """A new group of these right above the group `base`."""
+        new, up = len(members), above[base]
+        members.append(moved)
+        count.append(len(moved))
+        above.append(up)
+        below.append(base)
+        above[base] = new
+        if up >= 0:
+            below[up] = new
+        for p in moved:
+            group[p] = new
+        return new
+
     g = len(members) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        members[g] = own
-        for i in own:
+        own = members[g]
+        if count[g] == 1:
+            i = own[0]
+            if len(own) > 1:
+                i = next(x for x in own if group[x] == g)
             done[i] = 1
-        times: dict[int, int] = {}
-        for i in own:
             p = i - 1
-            while p >= 0 and done[p]:
+            while done[p]:
                 p = previous[p]
             previous[i] = p
             if p >= 0:
-                times[p] = times.get(p, 0) + 1
                 length[p] = i + length[i] - p
-        moves: dict[int, dict[int, list[int]]] = {}
-        for p, k in times.items():
-            moves.setdefault(group[p], {}).setdefault(k, []).append(p)
-        for old, by_times in moves.items():
-            last = old
-            for k in sorted(by_times):
-                new = len(members)
-                members.append(by_times[k])
-                up = above[last]
-                above.append(up)
-                below.append(last)
-                above[last] = new
-                if up >= 0:
-                    below[up] = new
-                for p in by_times[k]:
-                    group[p] = new
-                last = new
+                old = group[p]
+                if count[old] > 1:
+                    count[old] -= 1
+                    raise_([p], old)
+        elif count[g]:
+            if len(own) > count[g]:
+                own = [i for i in own if group[i] == g]
+            for i in own:
+                done[i] = 1
+            times: dict[int, int] = {}
+            for i in own:
+                p = i - 1
+                while done[p]:
+                    p = previous[p]
+                previous[i] = p
+                if p >= 0:
+                    times[p] = times.get(p, 0) + 1
+                    length[p] = i + length[i] - p
+            moves: dict[int, dict[int, list[int]]] = {}
+            for p, k in times.items():
+                old = group[p]
+                if count[old] > 1:
+                    if old in moves:
+                        moves[old].setdefault(k, []).append(p)
+                    else:
+                        moves[old] = {k: [p]}
+            for old, by_times in moves.items():
+                if len(by_times) == 1:
+                    moved = next(iter(by_times.values()))
+                    if len(moved) < count[old]:
+                        count[old] -= len(moved)
+                        raise_(moved, old)
+                else:
+                    last = old
+                    for k in sorted(by_times):
+                        count[old] -= len(by_times[k])
+                        last = raise_(by_times[k], last)
         g = below[g]
     order, g = [], 0
     while g >= 0:
-        if members[g] and group[members[g][0]] == g:
-            order.append(g)
-        elif any(group[i] == g for i in members[g]):
+        if count[g]:
             order.append(g)
         g = above[g]
     return group, length, order
