@@ -204,6 +204,21 @@ def test_bulk_numbers_rows_in_order(spark, tmp_path):
     assert got == [(i + 1, str(49 - i)) for i in range(50)]
 
 
+def test_replay_and_advice(spark, tmp_path):
+    from tidelog.operators import advisor, trace
+    from tidelog.schema import TRACE_TYPES
+
+    store = Store(spark, str(tmp_path / "r"))
+    rows = [(5, TRACE_TYPES["put"], 0, "a", 3), (9, TRACE_TYPES["delete"], 0, "a", 0), (7, TRACE_TYPES["put"], 1, "b", 2), (8, TRACE_TYPES["get"], 1, "b", 2)]
+    trace.replay(spark.createDataFrame(rows, "ts long, type int, cf_id int, key string, value_size long"), store)
+    assert {(r["cf"], r["user_key"], r["value"]) for r in store.state().collect()} == {("1", "b", "xx")}
+    metrics = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.2), ("b", 1, 0.1)], "entity string, ts long, stall_ratio double")
+    out = advisor.advise(metrics, [advisor.Rule("stalls", "stall_ratio > 0.5", "raise the write buffer")])
+    assert [(r["entity"], r["rule"], r["n"]) for r in out.collect()] == [("a", "stalls", 1)]
+    bursts = advisor.bursts(metrics, "stall_ratio", 1, 0.5)
+    assert [r["ts"] for r in bursts.collect()] == [2]
+
+
 def test_tsv_and_workload(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a\tb\tc\nno tab\n\tempty key\n")
     assert {(r["user_key"], r["value"]) for r in read_tsv(spark, str(tmp_path / "t.tsv")).collect()} == {("a", "b\tc"), ("", "empty key")}
@@ -235,5 +250,5 @@ def test_reuse_distance_and_simulators(spark):
     for capacity in (30, 60, 100):
         want = naive_lru(keys, sizes, capacity)
         assert cache_trace.lru_miss_curve(t, [capacity]).first()["misses"] == want
-        got = {r["policy"]: r["misses"] for r in cache_trace.simulate(t, ["lru", "opt", "fifo", "random", "hyperbolic"], [capacity]).collect()}
+        got = {r["policy"]: r["misses"] for r in cache_trace.simulate(t, ["lru", "opt", "fifo", "random", "hyperbolic", "arc", "thompson"], [capacity]).collect()}
         assert got["lru"] == want and got["opt"] <= min(got.values())

@@ -162,7 +162,9 @@ def lru_miss_curve(trace: DataFrame, capacities: Sequence[int], shard: Column |
 
 
 def _simulate(policy: str, keys: list, sizes: list, capacity: int, seed: int = 1) -> int:
-    """Misses of one policy: lru, mru, fifo, lfu, hyperbolic, gdsize, random, opt."""
+    """Misses of one policy: lru, mru, fifo, lfu, hyperbolic, gdsize, random, opt, arc, thompson."""
+    if policy in ("arc", "thompson"):
+        return (_arc if policy == "arc" else _bandit)(keys, sizes, capacity)
     rng = np.random.default_rng(seed)
     held: OrderedDict = OrderedDict()
     used = misses = 0
@@ -212,6 +214,62 @@ def _simulate(policy: str, keys: list, sizes: list, capacity: int, seed: int = 1
     return misses
 
 
+def _arc(keys: list, sizes: list, capacity: int) -> int:
+    """Misses of an adaptive replacement cache: a recent and a frequent list, and ghosts of both that move the border between them."""
+    recent, frequent, ghost_r, ghost_f = OrderedDict(), OrderedDict(), OrderedDict(), OrderedDict()
+    held = lambda d: sum(d.values())
+    border, misses, used = 0.0, 0, 0
+
+    def evict() -> None:
+        nonlocal used
+        own, ghost = (recent, ghost_r) if recent and (held(recent) > border or not frequent) else (frequent, ghost_f)
+        k, size = own.popitem(last=False)
+        ghost[k] = size
+        used -= size
+        while held(ghost) > capacity:
+            ghost.popitem(last=False)
+
+    for k, size in zip(keys, sizes, strict=True):
+        if k in recent or k in frequent:
+            own = recent if k in recent else frequent
+            frequent[k] = own.pop(k)
+            frequent.move_to_end(k)
+            continue
+        misses += 1
+        if size > capacity:
+            continue
+        again = k in ghost_r or k in ghost_f
+        if k in ghost_r:
+            border = min(float(capacity), border + size * max(1.0, held(ghost_f) / max(held(ghost_r), 1)))
+            del ghost_r[k]
+        elif k in ghost_f:
+            border = max(0.0, border - size * max(1.0, held(ghost_r) / max(held(ghost_f), 1)))
+            del ghost_f[k]
+        while used + size > capacity:
+            evict()
+        (frequent if again else recent)[k] = size
+        used += size
+    return misses
+
+
+def _bandit(keys: list, sizes: list, capacity: int, arms: tuple[str, ...] = ("lru", "mru", "lfu"), window: int = 200, seed: int = 1) -> int:
+    """Misses where, window by window, Thompson sampling picks the policy whose past windows hit best; each window starts from the blocks used last."""
+    rng = np.random.default_rng(seed)
+    wins, losses = dict.fromkeys(arms, 1.0), dict.fromkeys(arms, 1.0)
+    misses = 0
+    for at in range(0, len(keys), window):
+        arm = max(arms, key=lambda a: rng.beta(wins[a], losses[a]))
+        warm = list(range(max(0, at - window), at))
+        before = _simulate(arm, [keys[i] for i in warm], [sizes[i] for i in warm], capacity)
+        own = warm + list(range(at, min(at + window, len(keys))))
+        missed = _simulate(arm, [keys[i] for i in own], [sizes[i] for i in own], capacity) - before
+        misses += missed
+        hits = len(own) - len(warm) - missed
+        wins[arm] += hits
+        losses[arm] += missed
+    return misses
+
+
 def simulate(trace: DataFrame, policies: Sequence[str], capacities: Sequence[int], shards: int = 1, custom: Callable | None = None) -> DataFrame:
     """(policy, capacity, n, misses, miss_ratio). The block space is cut into `shards` caches of capacity / shards each, which run in parallel."""
     jobs = [(p, int(c)) for p in policies for c in capacities]

@@ -144,3 +144,14 @@ def time_series(trace: DataFrame) -> DataFrame:
 
 def sampled(trace: DataFrame, ratio: float, seed: int = 1) -> DataFrame:
     return trace.sample(fraction=ratio, seed=seed)
+
+
+def replay(trace: DataFrame, store, fill: str = "x") -> int:
+    """Writes a trace's puts, merges and deletes to a store in the order of their times, with values of the traced sizes; reads change nothing."""
+    names = {TRACE_TYPES["put"]: "PUT", TRACE_TYPES["put_entity"]: "PUT", TRACE_TYPES["merge"]: "MERGE", TRACE_TYPES["delete"]: "DELETE", TRACE_TYPES["single_delete"]: "SINGLE_DELETE"}
+    op = F.lit(None).cast("string")
+    for t, name in names.items():
+        op = F.when(F.col("type") == t, name).otherwise(op)
+    value = F.when(F.col("op").isin("PUT", "MERGE"), F.repeat(F.lit(fill), F.col("value_size").cast("int")))
+    rows = trace.withColumn("op", op).filter("op is not null").select("ts", "op", F.col("cf_id").cast("string").alias("cf"), F.col("key").cast("string").alias("user_key"), value.alias("value"))
+    return store.bulk(rows, "ts")
