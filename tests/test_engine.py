@@ -122,6 +122,18 @@ def test_fragments(spark):
     assert got == [(1, 4, 5, 1), (4, 6, 9, 2), (6, 8, 5, 1), (8, 10, 5, 2), (10, 12, 2, 1)]
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 64])
+def test_fragments_equal_a_count_over_points(spark, buckets):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b"]), (a := rng.randint(0, 60)), a + rng.randint(-2, 25), i) for i in range(80)]
+    out = ranges.fragments(spark.createDataFrame(rows, "cf string, user_key int, end_key int, seq long"), by=("cf",), buckets=buckets).collect()
+    for cf in "ab":
+        for x in range(90):
+            over = [s for c, a, z, s in rows if c == cf and a <= x < z]
+            got = [(r["top_seq"], r["n"]) for r in out if r["cf"] == cf and r["lo"] <= x < r["hi"]]
+            assert got == ([(max(over), len(over))] if over else [])
+
+
 def test_coalesce_and_groups(spark):
     one = spark.createDataFrame([("k", {"col_1": "foo", "col_2": "baz"})], "user_key string, columns map<string,string>")
     two = spark.createDataFrame([("k", {"col_2": "quux", "col_3": "bla"})], "user_key string, columns map<string,string>")

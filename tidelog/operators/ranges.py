@@ -6,6 +6,9 @@ found by an as-of step that runs in buckets of the key space, so that neither si
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,19 +17,62 @@ from pyspark.sql.window import Window
 FEW = 1000
 
 
-def fragments(ranges: DataFrame, lo: str = "user_key", hi: str = "end_key", seq: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
-    """Disjoint (by.., lo, hi, top_seq, n) that together cover what the ranges [lo, hi) cover; n ranges lie over each.
+def _cuts(bounds: DataFrame, column: str, buckets: int) -> list:
+    """At most `buckets` values in order, from a fixed number of rows: those whose hash is smallest."""
+    rows = bounds.select(column).distinct().orderBy(F.xxhash64(column), column).limit(16 * buckets).collect()
+    values = sorted(r[0] for r in rows)
+    return values[:: max(1, -(-len(values) // buckets))]
+
+
+def _bucket(column: Column, cuts: list) -> Column:
+    """How many cuts stand at or below the column."""
+    return sum(((column >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def _sweep(lo: list, hi: list, seq: list) -> list[tuple]:
+    """(from, to, highest seq, ranges) of the disjoint cells between the ends of ranges, in order; only cells that a range covers."""
+    begins = sorted(zip(lo, hi, seq, strict=True), key=lambda r: r[0])
+    ends = sorted(hi)
+    edges = sorted({*lo, *hi})
+    heap, out, i, j = [], [], 0, 0
+    for a, z in zip(edges, edges[1:], strict=False):
+        while i < len(begins) and begins[i][0] == a:
+            heapq.heappush(heap, (-begins[i][2], i, begins[i][1]))
+            i += 1
+        while ends[j] <= a:
+            j += 1
+        while heap and heap[0][2] <= a:
+            heapq.heappop(heap)
+        if i > j:
+            out.append((a, z, -heap[0][0], i - j))
+    return out
+
+
+def fragments(ranges: DataFrame, lo: str = "user_key", hi: str = "end_key", seq: str = "seq", by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Disjoint (by.., lo, hi, top_seq, n) that together cover what the ranges [lo, hi) cover; n ranges lie over each, the highest with top_seq.
+
+    Ranges go to every bucket of the key space that they reach and are cut to it; a sweep with a heap goes over each bucket. Buckets are cut
+    at ends of ranges, so they add no cells. Empty and reversed ranges cover nothing."""
+    real = ranges.filter(F.col(lo) < F.col(hi)).select(*by, F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.col(seq).cast("long").alias("seq"))
+    cuts = _cuts(real, "lo", buckets)
+    spread = real.withColumn("bucket_", F.explode(F.sequence(_bucket(F.col("lo"), cuts), _bucket(F.col("hi"), cuts))))
+    kinds = dict(real.dtypes)
+    schema = ", ".join([*(f"`{b}` {kinds[b]}" for b in by), f"lo {kinds['lo']}", f"hi {kinds['hi']}", "top_seq long", "n long"])
+    names = [*by, "lo", "hi", "top_seq", "n"]
+
+    def sweep(frame: pd.DataFrame) -> pd.DataFrame:
+        at = int(frame["bucket_"].iloc[0])
+        own = [frame[b].iloc[0] for b in by]
+        los, his = frame["lo"].tolist(), frame["hi"].tolist()
+        if at > 0:
+            los = [max(x, cuts[at - 1]) for x in los]
+        if at < len(cuts):
+            his = [min(x, cuts[at]) for x in his]
+        rows = [r for r in zip(los, his, frame["seq"].tolist(), strict=True) if r[0] < r[1]]
+        cells = _sweep(*map(list, zip(*rows, strict=True))) if rows else []
+        return pd.DataFrame([(*own, *c) for c in cells], columns=names)
 
-    Empty and reversed ranges cover nothing. Neighbours are merged where top_seq and n agree only if the ranges are the same."""
-    real = ranges.filter(F.col(lo) < F.col(hi)).select(*by, F.col(lo).alias("lo_"), F.col(hi).alias("hi_"), F.col(seq).alias("seq_"))
-    edges = real.select(*by, F.col("lo_").alias("lo")).unionByName(real.select(*by, F.col("hi_").alias("lo"))).distinct()
-    nxt = Window.partitionBy(*by).orderBy("lo") if by else Window.orderBy("lo")
-    cells = edges.withColumn("hi", F.lead("lo").over(nxt)).filter("hi is not null")
-    real = real.withColumnsRenamed({b: f"{b}_of" for b in by})
-    on = (F.col("lo_") <= F.col("lo")) & (F.col("hi_") >= F.col("hi"))
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"{b}_of"))
-    return cells.join(real, on).groupBy(*by, "lo", "hi").agg(F.max("seq_").alias("top_seq"), F.count("*").alias("n"))
+    return spread.groupBy(*by, "bucket_").applyInPandas(sweep, schema)
 
 
 def drop_covered(points: DataFrame, ranges: DataFrame, by: tuple[str, ...] = ("cf",), key: str = "user_key", seq: str = "seq", count: int | None = None) -> DataFrame:
@@ -49,11 +95,8 @@ def as_of(points: DataFrame, cells: DataFrame, by: tuple[str, ...], key: str, bu
 
     Keys are dealt to buckets cut at a sample of the cells' bounds; a cell goes to every bucket it reaches, and inside a bucket the last
     cell that begins at or before the key is carried forward by one sort."""
-    # At most 16 bounds for each bucket, those whose hash is smallest: a fixed number of rows on the driver, whatever the number of cells.
-    sample = cells.select("lo").distinct().orderBy(F.xxhash64("lo"), "lo").limit(16 * buckets).collect()
-    bounds = sorted(r["lo"] for r in sample)
-    cuts = bounds[:: max(1, len(bounds) // buckets)]
-    bucket = lambda c: sum((c >= F.lit(x)).cast("int") for x in cuts) if cuts else F.lit(0)
+    cuts = _cuts(cells, "lo", buckets)
+    bucket = lambda c: _bucket(c, cuts)
     names = [c for c in points.columns]
     p = points.withColumn("bucket_", bucket(F.col(key))).withColumn("at_", F.col(key)).withColumn("cell_", F.lit(None).cast("struct<lo:%s,hi:%s,top_seq:bigint,n:bigint>" % (dict(cells.dtypes)["lo"], dict(cells.dtypes)["hi"]))).withColumn("kind_", F.lit(1))
     ends = F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))
