@@ -28,11 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def durable(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors take nothing along."""
+def durable(df: DataFrame, label: str = "step", release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors take nothing along.
+
+    release: have the driver collect its garbage, on which Spark deletes the shuffle files that the write is done with; else they stay until it
+    happens to."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

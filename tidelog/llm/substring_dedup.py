@@ -58,8 +58,21 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - reach : width - reach + len(values) - width + 1])
 
 
-def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, minimizer) of each run of windows with one minimizer, over texts joined end to end."""
+def segments(texts: list[bytes], width: int = WIDTH, gram: int = GRAM, together: int = 1 << 19) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, minimizer) of each run of windows with one minimizer; about `together` bytes are hashed at a time."""
+    parts, at = [], 0
+    while at < len(texts) or not parts:
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= together):
+            size += len(texts[stop])
+            stop += 1
+        text, *rest = _segments(texts[at:stop], width, gram)
+        parts.append((text + at, *rest))
+        at = stop
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _segments(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     empty = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
@@ -97,7 +110,10 @@ def _packed(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 
 def shared_minimizers(texts: DataFrame, parts: int, width: int, gram: int) -> DataFrame:
-    """(rid, minimizers): for each text, packed, those of its minimizers that another text has too."""
+    """(rid, minimizers): for each text, packed, those of its minimizers that another text has too.
+
+    Rows hold many entries each: minimizers travel by range, answers by bucket of texts, so the number of rows depends on tasks, ranges and buckets only."""
+    names = ["part", "rids", "values", "known"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("values", pa.binary()), ("known", pa.binary())])
@@ -113,34 +129,35 @@ def shared_minimizers(texts: DataFrame, parts: int, width: int, gram: int) -> Da
             lead[1:] = value[1:] != value[:-1]
             run = np.cumsum(lead) - 1
             known = (np.bincount(run, minlength=1) > 1)[run] if len(run) else lead
-            rows = [(-1, r, v, b"") for _, r, v in _packed(text[known], rids[text[known]], value[known])]
+            here = rids[text[known]]
+            rows = [(-1 - p, r, v, b"") for p, r, v in _packed(here % parts, here, value[known])]
             rows += _packed((value[lead] % np.uint64(parts)).astype(np.int64), rids[text[lead]], value[lead], known[lead])
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
         rids = np.frombuffer(b"".join(frame["rids"]), np.int64)
         value = np.frombuffer(b"".join(frame["values"]), np.uint64)
-        known = np.frombuffer(b"".join(frame["known"]), bool)
-        order = np.argsort(value, kind="stable")
-        again = np.zeros(len(order), bool)
-        same = value[order][1:] == value[order][:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        rows = order[again & ~known[order]]
-        names, where = np.unique(rids[rows], return_inverse=True)
-        return pd.DataFrame([(int(names[k]), v) for k, v in _packed(where, value[rows])], columns=["rid", "values"])
-
-    sent = durable(texts.mapInArrow(send, "part int, rids binary, values binary, known binary"), "minimizers")
-    here = sent.filter("part = -1").select("rids", "values")
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids = [int.from_bytes(x[:8], "little", signed=True) for x in batch.column("rids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), batch.column("values")], names=["rid", "values"])
+        if part >= 0:
+            known = np.frombuffer(b"".join(frame["known"]), bool)
+            order = np.argsort(value, kind="stable")
+            again = np.zeros(len(order), bool)
+            same = value[order][1:] == value[order][:-1]
+            again[1:] |= same
+            again[:-1] |= same
+            rows = order[again & ~known[order]]
+            rids, value = rids[rows], value[rows]
+        return pd.DataFrame(list(_packed(rids % parts, rids, value)), columns=["bucket", "rids", "values"])
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        rids = np.frombuffer(b"".join(frame["rids"]), np.int64)
+        value = np.frombuffer(b"".join(frame["values"]), np.uint64)
+        ids, where = np.unique(rids, return_inverse=True)
+        return pd.DataFrame([(int(ids[k]), v) for k, v in _packed(where, value)], columns=["rid", "minimizers"])
 
-    far = sent.filter("part >= 0").groupBy("part").applyInPandas(answer, "rid long, values binary")
-    both = here.mapInArrow(local, "rid long, values binary").unionByName(far)
-    return both.groupBy("rid").agg(F.collect_list("values").alias("minimizers"))
+    sent = texts.mapInArrow(send, "part int, rids binary, values binary, known binary")
+    answers = sent.groupBy("part").applyInPandas(answer, "bucket int, rids binary, values binary")
+    return answers.groupBy("bucket").applyInPandas(gather, "rid long, minimizers binary")
 
 
 def _gram_places(strings: list[bytes], values: np.ndarray, gram: int) -> np.ndarray:
@@ -263,18 +280,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
     copies = durable(rows.filter("copy").select(F.col("id").alias("copy_id"), F.col("rid").alias("copy_rid")).distinct(), "copies")
     source = docs.select(_order_id(key).alias("id"), rid.alias("rid"), body.alias("text")).filter(F.octet_length("text") >= width)
     source = source.join(broadcast_if_small(copies), (F.col("id") == F.col("copy_id")) & (F.col("rid") == F.col("copy_rid")), "left_anti")
-    shared = durable(shared_minimizers(source.select("rid", "text"), parts, width, gram), "shared-minimizers").withColumnRenamed("rid", "shared_rid")
-
-    few = shared.select(F.col("shared_rid").alias("some_rid"))
-    near = source.join(broadcast_if_small(few), F.col("rid") == F.col("some_rid"), "left_semi")
-    near = near.join(shared, F.col("rid") == F.col("shared_rid")).select("id", "rid", "text", "minimizers")
+    shared = durable(shared_minimizers(source.select("rid", "text"), parts, width, gram), "shared-minimizers", release=True)
+    near = source.join(shared.withColumnRenamed("rid", "shared_rid"), F.col("rid") == F.col("shared_rid")).select("id", "rid", "text", "minimizers")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("rids", pa.binary()), ("starts", pa.binary()), ("values", pa.binary()), ("bodies", pa.list_(pa.binary()))])
         for batch in byte_chunks(batches):
             batch = batch.take(pa.array(np.argsort(batch.column("id").to_numpy(), kind="stable")))
             ids, rids, texts = batch.column("id").to_numpy(), batch.column("rid").to_numpy(), _bytes(batch)
-            wanted = np.unique(np.frombuffer(b"".join(x for xs in batch.column("minimizers").to_pylist() for x in xs), np.uint64))
+            wanted = np.unique(np.frombuffer(b"".join(batch.column("minimizers").to_pylist()), np.uint64))
             of, first, last, value = segments(texts, width, gram)
             mine = wanted[np.minimum(np.searchsorted(wanted, value), max(len(wanted) - 1, 0))] == value if len(wanted) else np.zeros(len(value), bool)
             of, first, last, value = of[mine], first[mine], last[mine], value[mine]
@@ -287,10 +301,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
                 else:
                     go.append(k)
                     bodies.append(b)
-            rows = []
-            if gone:
-                g = np.array(gone, np.int64)
-                rows = [(-1, ids[g[r[0], 0]].tobytes(), rids[g[r[0], 0]].tobytes(), g[r, 1:].tobytes(), b"", []) for r in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g[:, 0])) + 1)]
+            g = np.array(gone, np.int64).reshape(-1, 3)
+            cut = (ids[g[:, 0]], rids[g[:, 0]], g[:, 1:])
+            rows = [(-1 - p, *x, b"", []) for p, *x in _packed(cut[1] % parts, *cut)]
             go = np.array(go, np.int64)
             part = (value[go] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -300,30 +313,28 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
 
     def resolve(frame: pd.DataFrame) -> pd.DataFrame:
         flat = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
-        bodies = [bytes(b) for bs in frame["bodies"] for b in bs]
-        found = _resolve(flat("ids", np.int64), flat("rids", np.int64), flat("starts", np.int64), flat("values", np.uint64), bodies, width, gram)
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i, r, a, b in found:
-            by.setdefault((i, r), []).append((a, b))
-        return pd.DataFrame([(i, r, _merged(np.array(x, np.int64)).tobytes()) for (i, r), x in by.items()], columns=["id", "rid", "spans"])
-
-    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one = lambda c: pa.array([int.from_bytes(x, "little", signed=True) for x in batch.column(c).to_pylist()], pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([one("ids"), one("rids"), batch.column("starts")], names=["id", "rid", "spans"])
-
-    sent = durable(near.mapInArrow(send, "part int, ids binary, rids binary, starts binary, values binary, bodies array<binary>"), "segments")
-    kind = "id long, rid long, spans binary"
-    cut = sent.filter("part = -1").select("ids", "rids", "starts").mapInArrow(here, kind)
-    cut = cut.unionByName(sent.filter("part >= 0").groupBy("part").applyInPandas(resolve, kind))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [_merged(np.frombuffer(b"".join(x), np.int64).reshape(-1, 2)).tobytes() for x in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rid"), pa.array(spans, pa.binary())], names=["id", "rid", "spans"])
-
-    spans = cut.groupBy("id", "rid").agg(F.collect_list("spans").alias("spans")).mapInArrow(join, kind)
-    return rows, durable(spans, "spans")
+        ids, rids = flat("ids", np.int64), flat("rids", np.int64)
+        if int(frame["part"].iloc[0]) < 0:
+            spans = flat("starts", np.int64).reshape(-1, 2)
+        else:
+            bodies = [bytes(b) for bs in frame["bodies"] for b in bs]
+            found = np.array(_resolve(ids, rids, flat("starts", np.int64), flat("values", np.uint64), bodies, width, gram), np.int64).reshape(-1, 4)
+            ids, rids, spans = found[:, 0], found[:, 1], found[:, 2:]
+        return pd.DataFrame(list(_packed(rids % parts, ids, rids, spans)), columns=["bucket", "ids", "rids", "spans"])
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, rids = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("ids", "rids"))
+        spans = np.frombuffer(b"".join(frame["spans"]), np.int64).reshape(-1, 2)
+        order = np.lexsort((rids, ids))
+        ids, rids, spans = ids[order], rids[order], spans[order]
+        new = np.flatnonzero((np.diff(ids) != 0) | (np.diff(rids) != 0)) + 1
+        own = np.split(np.arange(len(ids)), new) if len(ids) else []
+        return pd.DataFrame([(int(ids[r[0]]), int(rids[r[0]]), _merged(spans[r]).tobytes()) for r in own], columns=["id", "rid", "spans"])
+
+    sent = near.mapInArrow(send, "part int, ids binary, rids binary, starts binary, values binary, bodies array<binary>")
+    cut = sent.groupBy("part").applyInPandas(resolve, "bucket int, ids binary, rids binary, spans binary")
+    spans = cut.groupBy("bucket").applyInPandas(join, "id long, rid long, spans binary")
+    return rows, durable(spans, "spans", release=True)
 
 
 def _kept(body: bytes, spans: bytes) -> bytes:
@@ -345,7 +356,7 @@ def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "d
     source = docs.select(_order_id(key).alias("id"), F.xxhash64(body).alias("rid"), body.alias("text"))
     named = spans.withColumnsRenamed({"id": "cut_id", "rid": "cut_rid"})
     on = (F.col("id") == F.col("cut_id")) & (F.col("rid") == F.col("cut_rid"))
-    source = source.join(broadcast_if_small(named.select("cut_id", "cut_rid")), on, "left_semi").join(named, on).select("id", "rid", "text", "spans")
+    source = source.join(broadcast_if_small(named.select("cut_id", "cut_rid"), most=250_000), on, "left_semi").join(named, on).select("id", "rid", "text", "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches):
@@ -375,7 +386,7 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str
     marks = durable(spans.unionByName(gone).withColumnsRenamed({"id": "__cut_id", "rid": "__cut_rid", "spans": "__cut_spans"}), "cuts")
     body = F.coalesce(F.col(text), F.lit(""))
     on = (_order_id(key) == F.col("__cut_id")) & (F.xxhash64(body) == F.col("__cut_rid"))
-    cut_ids = broadcast_if_small(marks.select("__cut_id", "__cut_rid"))
+    cut_ids = broadcast_if_small(marks.select("__cut_id", "__cut_rid"), most=250_000)
     columns = docs.columns
     same = docs.join(cut_ids, on, "left_anti")
     changed = docs.join(cut_ids, on, "left_semi").join(marks, on).drop("__cut_id", "__cut_rid")
