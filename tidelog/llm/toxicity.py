@@ -63,6 +63,11 @@ class Model:
     def words(self) -> Words:
         return _words(self)
 
+    def forget(self) -> None:
+        """Frees the words seen; a worker may live on to do other work."""
+        if self.toxic:
+            self.words().clear()
+
     def features(self, text: str) -> tuple[float, float, float]:
         tokens = text.lower().split()
         found = np.fromiter(map(self.words().__getitem__, tokens), np.float32, len(tokens))
@@ -182,6 +187,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, cut
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([model.score(t) for t in texts_of(batch)], pa.float64())], names=["doc_id", "score"])
+        model.forget()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
@@ -194,5 +200,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_chunks(batches, text):
             yield batch.filter(pa.array([model.score(t) < cut for t in texts_of(batch, text)], pa.bool_()))
+        model.forget()
 
     return docs.mapInArrow(run, docs.schema)
