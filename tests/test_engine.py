@@ -264,3 +264,39 @@ def test_reuse_distance_and_simulators(spark):
         assert cache_trace.lru_miss_curve(t, [capacity]).first()["misses"] == want
         got = {r["policy"]: r["misses"] for r in cache_trace.simulate(t, ["lru", "opt", "fifo", "random", "hyperbolic", "arc", "thompson"], [capacity]).collect()}
         assert got["lru"] == want and got["opt"] <= min(got.values())
+
+
+def test_registered_reuse_distances_span_the_trace(spark, small, monkeypatch):
+    from __spark_entry__ import queries
+    from tidelog.plans import inputs
+
+    monkeypatch.setattr(cache_trace, "SLOT", 700)
+    rows = inputs.block_trace(spark, small).select("ts", "block_key", "block_size").orderBy("ts", "block_key").collect()
+    stack, want = {}, []  # blocks by their last access, the latest at the end
+    for r in rows:
+        later, distance = 0, -1
+        for k in reversed(stack) if r["block_key"] in stack else ():
+            if k == r["block_key"]:
+                distance = later
+                break
+            later += stack[k]
+        stack.pop(r["block_key"], None)
+        stack[r["block_key"]] = r["block_size"]
+        want.append((r["block_key"], r["ts"], r["block_size"], distance))
+    assert sorted(map(tuple, queries()["cache_reuse_distance"](spark, small).collect())) == sorted(want)
+    for r in queries()["cache_miss_curve"](spark, small).collect():
+        assert r["n"] == len(want) and r["misses"] == sum(d < 0 or d + s > r["capacity"] for _, _, s, d in want)
+
+
+def test_reuse_distances_of_changing_sizes(spark, monkeypatch):
+    monkeypatch.setattr(cache_trace, "SLOT", 37)
+    rng = random.Random(5)
+    rows = [(i, min(rng.randint(0, 40), rng.randint(0, 40)), rng.randint(1, 9)) for i in range(500)]
+    want, last = [], {}
+    for i, k, size in rows:
+        between = {x: s for _, x, s in rows[last[k] + 1 : i]} if k in last else None
+        want.append((k, i, size, -1 if between is None else sum(between.values())))
+        last[k] = i
+    t = spark.createDataFrame(rows, "ts long, block_key long, block_size long")
+    assert sorted(map(tuple, cache_trace.reuse_distances(t).collect())) == sorted(want)
+    assert cache_trace.reuse_distances(t.limit(0)).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 
@@ -110,57 +112,108 @@ def reuse_features(trace: DataFrame, horizon: int) -> DataFrame:
     return trace.withColumn("recent", F.count("*").over(near)).withColumn("next_in", F.lead("ts").over(past()) - F.col("ts"))
 
 
-# ------------------------------------------------------------------ simulators, one shard of the block space at a time
+# ------------------------------------------------------------------ reuse distances over the whole trace
 
+#: Accesses in a slot of the trace, about, and the most slots: the driver holds a table of slots x slots.
+SLOT, SLOTS = 1 << 16, 512
+#: The end of a block's last interval. It and -1 stand for nulls, with which pandas would read longs as floats.
+OPEN = 1 << 62
 
-def _reuse_bytes(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bytes of the distinct other blocks touched since each block's previous access; -1 on the first. A Fenwick tree over last places."""
-    n = len(keys)
-    tree, last, out = [0] * (n + 1), {}, np.full(n, -1, np.int64)
-
-    def add(i: int, v: int) -> None:
-        i += 1
-        while i <= n:
-            tree[i] += v
-            i += i & -i
-
-    def upto(i: int) -> int:
-        s = 0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    for i, (k, size) in enumerate(zip(keys.tolist(), sizes.tolist(), strict=True)):
-        p = last.get(k)
-        if p is not None:
-            out[i] = upto(i) - upto(p[0] + 1)
-            add(p[0], -p[1])
-        add(i, size)
-        last[k] = (i, size)
-    return out
 
+def _written(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir and read again."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tidelog-')).rstrip('/')}/reuse-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def reuse_distances(trace: DataFrame, shard: Column | None = None) -> DataFrame:
-    """(block_key, ts, block_size, distance); with a shard column each shard is a cache of its own, as in a sharded cache."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "block_key"], kind="stable")
-        frame["distance"] = _reuse_bytes(frame["block_key"].to_numpy(), frame["block_size"].to_numpy())
-        return frame[["block_key", "ts", "block_size", "distance"]]
+def _enclosing(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row the summed sizes of the earlier rows with a larger end: bit by bit of the ends' ranks, from the top."""
+    n, out = len(ends), np.zeros(len(ends), np.int64)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(ends, kind="stable")] = np.arange(n)
+    order = np.arange(n)
+    for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        r = rank[order]
+        high = (r >> bit & 1).astype(bool)
+        upto = np.concatenate([[0], np.cumsum(np.where(high, sizes[order], 0))])
+        low = np.flatnonzero(~high)
+        out[order[low]] += upto[low] - upto[r[low] >> (bit + 1) << (bit + 1)]
+        order = order[np.argsort(r >> bit, kind="stable")]
+    return out
+
+
+def _intervals(trace: DataFrame) -> DataFrame:
+    """(start, w, at, block_key, ts, block_size): each access at `at` with the place of its block's previous one and the size it had there, -1 and 0
+    on the first; and a row that ends at OPEN for each block's last access. Places ascend with (ts, block_key), 33 bits below the slot."""
+    rows = trace.select("block_key", "ts", "block_size")
+    slots = min(SLOTS, max(1, -(-rows.count() // SLOT)))
+    rows = rows.repartitionByRange(slots, "ts", "block_key").sortWithinPartitions("ts", "block_key").withColumn("at", F.monotonically_increasing_id())
+    rows = _written(rows).withColumn("slot", F.shiftright("at", 33))
+    # A block's accesses are linked within a slot, then its slots: no window holds more than a slot or one row for each slot.
+    own, across = Window.partitionBy("slot", "block_key").orderBy("at"), Window.partitionBy("block_key").orderBy("slot")
+    edges = rows.groupBy("slot", "block_key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max_by("block_size", "at").alias("block_size"), F.max("ts").alias("ts"))
+    edges = edges.withColumn("earlier", F.lag("last").over(across)).withColumn("held", F.lag("block_size").over(across)).withColumn("later", F.lead("first").over(across))
+    edges = _written(edges)
+    near = rows.withColumn("start", F.lag("at").over(own)).withColumn("w", F.lag("block_size").over(own))
+    near = near.join(edges.filter("earlier is not null").select(F.col("first").alias("at"), "earlier", "held"), "at", "left")
+    near = near.select(F.coalesce("start", "earlier", F.lit(-1)).alias("start"), F.coalesce("w", "held", F.lit(0)).cast("long").alias("w"), "at", "block_key", "ts", "block_size")
+    last = edges.filter("later is null").select(F.col("last").alias("start"), F.col("block_size").cast("long").alias("w"), F.lit(OPEN).alias("at"), "block_key", "ts", "block_size")
+    return _written(near.unionByName(last))
+
+
+def reuse_distances(trace: DataFrame) -> DataFrame:
+    """(block_key, ts, block_size, distance): bytes of the distinct other blocks of the whole trace touched since the block's previous access; -1 on the first.
+
+    An access spans the interval up to its block's next one. The distance of an access that ends the interval (p, i) is the size of all intervals
+    open at i, less that of those open at p already. The latter are summed in three parts: intervals that start in p's slot, by a task for each
+    slot; intervals from earlier slots that end in i's slot, likewise; the others by a table of slot pairs."""
+    spans = _intervals(trace)
+    a, c = F.shiftright("start", 33).alias("a"), F.shiftright("at", 33).alias("c")
+    cells = spans.filter("start >= 0").groupBy(a, c).agg(F.sum("w").alias("w")).collect()
+    width = 1 + max((r["a"] for r in cells), default=-1)
+    table = np.zeros((width, width + 1), np.int64)
+    for r in cells:
+        table[r["a"], min(r["c"], width)] = r["w"]
+    earlier = np.cumsum(table, 0) - table
+    outside = np.cumsum(earlier[:, ::-1], 1)[:, ::-1] - earlier
+    begun, ended = table.sum(1), table.sum(0)[:width]
+    base = np.cumsum(begun) - begun - np.cumsum(ended) + ended
+
+    def starts(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("start")
+        frame["inner"] = _enclosing(frame["at"].to_numpy(), frame["w"].to_numpy())
+        return frame[frame["at"] < OPEN]
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        size, w, at, start, inner = (frame[x].to_numpy(np.int64) for x in ("block_size", "w", "at", "start", "inner"))
+        here = at[0] >> 33
+        live = base[here] + np.cumsum(size) - size - np.cumsum(w)
+        again = np.flatnonzero(start >= 0)
+        again = again[np.lexsort((at[again], start[again] >> 33))]
+        out = np.full(len(frame), -1, np.int64)
+        out[again] = live[again] - inner[again] - outside[start[again] >> 33, here] - _enclosing(at[again], w[again])
+        return frame.assign(distance=out)[["block_key", "ts", "block_size", "distance"]]
 
     kind = dict(trace.dtypes)
-    rows = trace.select("block_key", "ts", "block_size", (F.lit(0) if shard is None else shard).alias("shard_"))
-    return rows.groupBy("shard_").applyInPandas(run, f"block_key {kind['block_key']}, ts {kind['ts']}, block_size {kind['block_size']}, distance long")
+    row = f"block_key {kind['block_key']}, ts {kind['ts']}, block_size {kind['block_size']}"
+    again = spans.filter("start >= 0").groupBy(a).applyInPandas(starts, f"start long, w long, at long, {row}, inner long")
+    first = spans.filter("start < 0").withColumn("inner", F.lit(0).cast("long"))
+    return again.unionByName(first).groupBy(c).applyInPandas(finish, f"{row}, distance long")
 
 
-def lru_miss_curve(trace: DataFrame, capacities: Sequence[int], shard: Column | None = None) -> DataFrame:
+def lru_miss_curve(trace: DataFrame, capacities: Sequence[int]) -> DataFrame:
     """(capacity, n, misses, miss_ratio) of an LRU cache of each capacity in bytes: an access misses on its first turn, and where the reuse distance with its own size exceeds the capacity."""
-    rows = reuse_distances(trace, shard).withColumn("capacity", F.explode(F.array(*[F.lit(int(c)).cast("long") for c in capacities])))
+    rows = reuse_distances(trace).withColumn("capacity", F.explode(F.array(*[F.lit(int(c)).cast("long") for c in capacities])))
     miss = ((F.col("distance") < 0) | (F.col("distance") + F.col("block_size") > F.col("capacity"))).cast("long")
     return rows.groupBy("capacity").agg(F.count("*").alias("n"), F.sum(miss).alias("misses"), F.round(F.avg(miss), 6).alias("miss_ratio"))
 
 
+# ------------------------------------------------------------------ simulators, one shard of the block space at a time
+
+
 def _simulate(policy: str, keys: list, sizes: list, capacity: int, seed: int = 1) -> int:
     """Misses of one policy: lru, mru, fifo, lfu, hyperbolic, gdsize, random, opt, arc, thompson."""
     if policy in ("arc", "thompson"):

@@ -518,13 +518,9 @@ query("cache_spatial_locality", f"""WITH {S.BLOCK_TRACE}, u AS (SELECT block_key
 query("cache_features", f"""WITH {S.BLOCK_TRACE} SELECT block_key, ts, count(*) OVER (PARTITION BY block_key ORDER BY ts RANGE BETWEEN 300000000000000 PRECEDING AND 1 PRECEDING) AS recent, lead(ts) OVER (PARTITION BY block_key ORDER BY ts) - ts AS next_in FROM trace""")(
     _b(lambda t: C.reuse_features(t, 300000000000000).select("block_key", "ts", "recent", "next_in"))
 )
-#: Simulators and reuse distances are sequential by nature: caches sharded by block, checked against a brute-force version in the tests.
-def _shard():
-    return F.pmod(F.xxhash64("block_key"), F.lit(32))
-
-
-query("cache_reuse_distance")(_b(lambda t: C.reuse_distances(t, _shard())))
-query("cache_miss_curve")(_b(lambda t: C.lru_miss_curve(t, (20_000, 100_000, 400_000), _shard())))
+#: Checked against brute-force versions in the tests: reuse distances run over the whole trace; simulators are sequential by nature and run as caches sharded by block.
+query("cache_reuse_distance")(_b(C.reuse_distances))
+query("cache_miss_curve")(_b(lambda t: C.lru_miss_curve(t, (20_000, 100_000, 400_000))))
 query("cache_policies")(_b(lambda t: C.simulate(t, ("lru", "fifo", "mru", "lfu", "gdsize", "opt"), (640_000,), 32)))
 
 
