@@ -32,6 +32,16 @@ def test_token_counts(edge, vocabulary, exact, monkeypatch):
     assert got == sorted((k or -1, len(exact(t or ""))) for k, t in CASES if "<|" not in (t or ""))
 
 
+def test_token_counts_of_texts_that_spell_the_separator(spark, edge, vocabulary, exact):
+    got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in token_scan.token_counts(edge, vocabulary).collect())
+    assert got == sorted((k or -1, len(exact(t or ""))) for k, t in CASES)
+    rows = [(i, "<|endoftext|>" * (i % 3) + " word" * i) for i in range(20)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # a single stream: a count too many would shift all later ones
+    assert {r["doc_id"]: r["n_tokens"] for r in token_scan.token_counts(one, vocabulary).collect()} == {k: len(exact(t)) for k, t in rows}
+    with pytest.raises(Exception, match="encodes to the separator"):
+        token_scan.token_counts(one, vocabulary, eod=token_scan.EOD).count()
+
+
 def brute_scan(ids, eod):
     out, n, start = [], 0, 0
     for i, t in enumerate(ids):

@@ -20,14 +20,17 @@ from . import tokens
 from .common import byte_chunks, durable, texts_of
 
 EOD = 50256
+#: What write_flat() closes documents with: a text that spells out <|endoftext|> encodes to EOD, but none to this.
+SEPARATOR = 65535
 BLOCK_TOKENS = 1 << 16
 #: Blocks whose summaries one task of the prefix scan sorts.
 SPAN = 1024
 
 
-def write_flat(docs: DataFrame, vocabulary: dict, eod: int = EOD, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_flat(docs: DataFrame, vocabulary: dict, eod: int = SEPARATOR, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (kind, stream, at, data, ids): kind 'block' holds a block of a flat token stream, kind 'order' the keys of the
-    documents in the order written. One stream for each task; the separator stands after every document, empty ones too."""
+    documents in the order written. One stream for each task; the separator stands after every document, empty ones too. An id of a text that
+    is the separator or doesn't fit the width is an error."""
     width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +41,10 @@ def write_flat(docs: DataFrame, vocabulary: dict, eod: int = EOD, dtype: str = "
         out = lambda kind, at, data, ids: pa.RecordBatch.from_pylist([{"kind": kind, "stream": stream, "at": at, "data": data, "ids": ids}], schema)
         for batch in byte_chunks(batches):
             for body in texts_of(batch):
-                ids = np.frombuffer(encode(body), "<u4").astype(dtype).tobytes() + end
+                ids = np.frombuffer(encode(body), "<u4")
+                if len(ids) and (ids.max() > np.iinfo(dtype).max or (ids == eod).any()):
+                    raise ValueError(f"a text encodes to the separator {eod} or to an id beyond {dtype}")
+                ids = ids.astype(dtype).tobytes() + end
                 held.append(ids)
                 size += len(ids)
                 while size >= most:
@@ -124,7 +130,7 @@ def scan_blocks(blocks: DataFrame, eod: int = EOD, dtype: str = "<u2") -> DataFr
     return closed.unionByName(rest)
 
 
-def token_counts(docs: DataFrame, vocabulary: dict, eod: int = EOD, dtype: str = "<u2") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: dict, eod: int = SEPARATOR, dtype: str = "<u2") -> DataFrame:
     """(doc_id, stream, ordinal, start, n_tokens) of each row of docs, counted from the flat streams that write_flat() makes of it.
 
     Null text: no tokens. Null or repeated keys: a row each. Empty table: empty result."""
