@@ -59,6 +59,24 @@ def test_leaks_equal_brute_force(spark, seed):
     assert {r["doc_id"] for r in decontaminate.drop_leaks(d, b).collect()} == {k for k, _ in docs} - {k for k, _ in want}
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    item = [f"v{i}" for i in range(40)]
+    docs = [(1, item[:-1]), (2, item[1:-1]), (3, item[:33]), (4, item[:32]), (5, item[:20] + ["changed"] + item[21:39]), (6, ["x"] * 18), (7, ["x"] * 16), (8, item[:4]), (9, []), (10, [*item[3:], "more"]), (11, item)]
+    items = [(1, " ".join(item)), (2, "x " * 20)]
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in docs] + [(12, " ".join(item[:-2])), (12, "of the same id " * 30)], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], r["similarity"]) for r in decontaminate.find_leaks(d, b).collect()}
+    want = {}
+    for key, w in [*docs, (12, item[:-2])]:
+        for i, body in items:
+            have, of = (Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (w, words(body)))
+            shared = sum((have & of).values())
+            if shared and (similarity := shared / (sum(have.values()) + sum(of.values()) - shared)) >= 0.8:
+                want[key, i] = (0, len(w), round(similarity, 6))
+    assert got == want and {k for k, _ in want} == {1, 2, 3, 6, 10, 11, 12}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(d, b).collect()} == {4, 5, 7, 8, 9}
+
+
 def test_leaks_of_empty_tables(spark, none, edge):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(edge, b).count() == 0

@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A window has as many words as the benchmark item it is held against. Windows that could reach the similarity are found from shared shingles (a lossless
+A window has as many words as the benchmark item it is held against; a document with fewer is one window. Windows that could reach the similarity are found from shared shingles (a lossless
 filter: similarity s of two windows of m shingles needs ceil(2sm / (1+s)) shared ones); they are fingerprinted with SimHash; a
 multi-index of radius+1 bit blocks joins them to the items' fingerprints, which by the pigeonhole rule loses no pair within
-the radius; the pairs are then verified by exact weighted Jaccard similarity, a shingle's weight being its count.
+the radius; the pairs are then verified by exact weighted Jaccard similarity, a shingle's weight being its count. A shorter window of similarity s
+has s * m shared shingles at least.
 """
 
 from __future__ import annotations
@@ -79,9 +80,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, k: int = SHINGLE, similarity:
     seeds = durable(items.select(F.explode(F.array_distinct("item")).alias("h"), "item_id", "n", "m"), "seeds")
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spots = source.select("doc_id", F.posexplode(shingle_hashes(words(F.col("text")), k)).alias("pos", "h"))
-    hits = spots.join(broadcast_if_small(seeds), "h").groupBy("doc_id", "item_id", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    need = _shared(F.col("m"), similarity)
+    spots = source.select("doc_id", let(words(F.col("text")), lambda w: F.struct((F.size(w) - k + 1).alias("t"), shingle_hashes(w, k).alias("all"))).alias("x"))
+    spots = spots.select("doc_id", "x.t", F.posexplode("x.all").alias("pos", "h"))
+    hits = spots.join(broadcast_if_small(seeds), "h").groupBy("doc_id", "item_id", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.min("t").alias("t"))
+    least = F.ceil(F.lit(similarity) * F.col("m") - 1e-9).cast("int")
+    need = F.when(F.col("t") < F.col("m"), least).otherwise(_shared(F.col("m"), similarity))
     hits = hits.withColumn("need", need).filter(F.size("at") >= F.col("need"))
     # A window of m shingles holds `need` hits only if it spans hits j .. j+need-1.
     spans = F.transform(F.sequence(F.lit(1), F.size("at") - F.col("need") + 1), lambda j: F.struct(F.get("at", j - 1).alias("a"), F.get("at", j + F.col("need") - 2).alias("z")))
@@ -93,7 +96,9 @@ def find_leaks(docs: DataFrame, bench: DataFrame, k: int = SHINGLE, similarity:
     near = source.join(broadcast_if_small(wanted, most=50_000), F.col("doc_id").eqNullSafe(F.col("at_doc")))
     near = durable(near.select("doc_id", shingle_hashes(words(F.col("text")), k).alias("all"), "wanted"), "hashed")
     windows = near.select("doc_id", "all", F.explode("wanted").alias("x")).select("doc_id", "x.start", "x.n", F.slice("all", F.col("x.start") + 1, F.col("x.n") - k + 1).alias("window"))
-    windows = durable(windows.filter(F.size("window") == F.col("n") - k + 1).withColumn("fp", simhash(F.col("window"))).withColumn("place", F.monotonically_increasing_id()), "windows")
+    full, size = F.col("n") - k + 1, F.size("window")
+    whole = (F.col("start") == 0) & (size < full) & (size >= F.lit(similarity) * full - 1e-9)
+    windows = durable(windows.filter((size == full) | whole).withColumn("fp", simhash(F.col("window"))).withColumn("place", F.monotonically_increasing_id()), "windows")
 
     cell = lambda fp: F.explode(_blocks(F.col(fp), radius)).alias("block")
     left = windows.select("place", "n", "fp", cell("fp"))
@@ -103,8 +108,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, k: int = SHINGLE, similarity:
     found = durable(found.select("place", "item_id", "hamming").distinct(), "candidates")
     pairs = windows.join(found, "place").join(broadcast_if_small(items.select("item_id", "item", "m"), most=20_000), "item_id")
     o = _overlap(F.col("window"), F.col("item"))
-    pairs = pairs.withColumn("o", o).withColumn("similarity", F.col("o") / (2 * F.col("m") - F.col("o"))).filter(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"), "n")).alias("b")
+    pairs = pairs.withColumn("o", o).withColumn("similarity", F.col("o") / (F.col("m") + F.size("window") - F.col("o"))).filter(F.col("similarity") >= similarity)
+    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"), (F.size("window") + k - 1).alias("n"))).alias("b")
     best = pairs.groupBy("doc_id", "item_id").agg(best)
     return best.select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"), (-F.col("b.h")).alias("hamming"), F.round("b.similarity", 6).alias("similarity"))
 
