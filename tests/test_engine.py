@@ -300,3 +300,11 @@ def test_reuse_distances_of_changing_sizes(spark, monkeypatch):
     t = spark.createDataFrame(rows, "ts long, block_key long, block_size long")
     assert sorted(map(tuple, cache_trace.reuse_distances(t).collect())) == sorted(want)
     assert cache_trace.reuse_distances(t.limit(0)).count() == 0
+
+
+def test_thompson_keeps_blocks_between_windows():
+    keys = list(range(300)) * 3
+    assert cache_trace._simulate("thompson", keys, [10] * 900, 3000) == 300  # all fit: each block misses once
+    rng = random.Random(4)
+    keys = [rng.randint(0, 99) for _ in range(2000)]
+    assert cache_trace._bandit(keys, [10] * 2000, 300, ("lru",)) == naive_lru(keys, [10] * 2000, 300)

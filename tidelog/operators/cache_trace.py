@@ -306,20 +306,31 @@ def _arc(keys: list, sizes: list, capacity: int) -> int:
 
 
 def _bandit(keys: list, sizes: list, capacity: int, arms: tuple[str, ...] = ("lru", "mru", "lfu"), window: int = 200, seed: int = 1) -> int:
-    """Misses where, window by window, Thompson sampling picks the policy whose past windows hit best; each window starts from the blocks used last."""
+    """Misses where, window by window, Thompson sampling picks the policy whose past windows hit best; the blocks held stay from window to window."""
+    if set(arms) - {"lru", "mru", "lfu"}:
+        raise ValueError(f"arms are lru, mru and lfu, not {arms}")
     rng = np.random.default_rng(seed)
     wins, losses = dict.fromkeys(arms, 1.0), dict.fromkeys(arms, 1.0)
-    misses = 0
-    for at in range(0, len(keys), window):
-        arm = max(arms, key=lambda a: rng.beta(wins[a], losses[a]))
-        warm = list(range(max(0, at - window), at))
-        before = _simulate(arm, [keys[i] for i in warm], [sizes[i] for i in warm], capacity)
-        own = warm + list(range(at, min(at + window, len(keys))))
-        missed = _simulate(arm, [keys[i] for i in own], [sizes[i] for i in own], capacity) - before
-        misses += missed
-        hits = len(own) - len(warm) - missed
-        wins[arm] += hits
-        losses[arm] += missed
+    held: OrderedDict = OrderedDict()  # the latest access at the end
+    used = misses = 0
+    arm = arms[0]
+    for i, (k, size) in enumerate(zip(keys, sizes, strict=True)):
+        if i % window == 0:
+            arm = max(arms, key=lambda a: rng.beta(wins[a], losses[a]))
+        if k in held:
+            held[k]["hits"] += 1
+            held.move_to_end(k)
+            wins[arm] += 1
+            continue
+        misses += 1
+        losses[arm] += 1
+        if size > capacity:
+            continue
+        while used + size > capacity:
+            victim = next(iter(held)) if arm == "lru" else next(reversed(held)) if arm == "mru" else min(held, key=lambda x: held[x]["hits"])
+            used -= held.pop(victim)["size"]
+        held[k] = {"size": size, "hits": 1}
+        used += size
     return misses
 
 
