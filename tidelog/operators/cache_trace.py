@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 
@@ -13,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import written
+
+
 def past():
     """A block's accesses in order. Made when called: importing this module on a worker must not need a session."""
     return Window.partitionBy("block_key").orderBy("ts")
@@ -120,14 +121,6 @@ SLOT, SLOTS = 1 << 16, 512
 OPEN = 1 << 62
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tidelog-')).rstrip('/')}/reuse-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _enclosing(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each row the summed sizes of the earlier rows with a larger end: bit by bit of the ends' ranks, from the top."""
     n, out = len(ends), np.zeros(len(ends), np.int64)
@@ -150,17 +143,17 @@ def _intervals(trace: DataFrame) -> DataFrame:
     rows = trace.select("block_key", "ts", "block_size")
     slots = min(SLOTS, max(1, -(-rows.count() // SLOT)))
     rows = rows.repartitionByRange(slots, "ts", "block_key").sortWithinPartitions("ts", "block_key").withColumn("at", F.monotonically_increasing_id())
-    rows = _written(rows).withColumn("slot", F.shiftright("at", 33))
+    rows = written(rows).withColumn("slot", F.shiftright("at", 33))
     # A block's accesses are linked within a slot, then its slots: no window holds more than a slot or one row for each slot.
     own, across = Window.partitionBy("slot", "block_key").orderBy("at"), Window.partitionBy("block_key").orderBy("slot")
     edges = rows.groupBy("slot", "block_key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max_by("block_size", "at").alias("block_size"), F.max("ts").alias("ts"))
     edges = edges.withColumn("earlier", F.lag("last").over(across)).withColumn("held", F.lag("block_size").over(across)).withColumn("later", F.lead("first").over(across))
-    edges = _written(edges)
+    edges = written(edges)
     near = rows.withColumn("start", F.lag("at").over(own)).withColumn("w", F.lag("block_size").over(own))
     near = near.join(edges.filter("earlier is not null").select(F.col("first").alias("at"), "earlier", "held"), "at", "left")
     near = near.select(F.coalesce("start", "earlier", F.lit(-1)).alias("start"), F.coalesce("w", "held", F.lit(0)).cast("long").alias("w"), "at", "block_key", "ts", "block_size")
     last = edges.filter("later is null").select(F.col("last").alias("start"), F.col("block_size").cast("long").alias("w"), F.lit(OPEN).alias("at"), "block_key", "ts", "block_size")
-    return _written(near.unionByName(last))
+    return written(near.unionByName(last))
 
 
 def reuse_distances(trace: DataFrame) -> DataFrame:

@@ -13,13 +13,13 @@ from . import ranges
 
 
 def visible(log: DataFrame, snapshot: int | None = None, read_ts: int | None = None, from_ts: int | None = None, cfs: Sequence[str] | None = None, key_pred: Column | None = None) -> DataFrame:
-    """Entries a reader at the snapshot sees. Predicates on cf, key, seq and time stand here, next to the scan, because they can't pass a resolve."""
+    """Entries a reader at the snapshot sees; one without a timestamp is in all times. Predicates on cf, key, seq and time stand here, next to the scan, because they can't pass a resolve."""
     if snapshot is not None:
         log = log.filter(F.col("seq") <= snapshot)
     if read_ts is not None:
-        log = log.filter(F.col("udt") <= read_ts)
+        log = log.filter(F.col("udt").isNull() | (F.col("udt") <= read_ts))
     if from_ts is not None:
-        log = log.filter(F.col("udt") >= from_ts)
+        log = log.filter(F.col("udt").isNull() | (F.col("udt") >= from_ts))
     if cfs is not None:
         log = log.filter(F.col("cf").isin(*cfs))
     if key_pred is not None:
@@ -40,10 +40,11 @@ def resolve(
 ) -> DataFrame:
     """(cf, user_key, value, seq[, columns, udt]): the newest visible version of each key, deletes applied, merge operands folded.
 
-    Without merges it is one aggregation that combines before its shuffle, so a key with very many versions is no burden. With merges the newest base of
-    each key is aggregated the same way and joined back (adaptive execution splits a hot key there) to leave only newer operands; the fold is the
-    operator's own aggregate. Range tombstones hide entries with strictly lower sequence numbers. has_merges / has_ranges spare a look at the log where
-    the caller knows.
+    Without merges it is one aggregation that combines before its shuffle, so a key with very many versions is no burden: a hash aggregate where
+    values are numbers, a sort of each partition where they are strings, whose aggregate buffers can't change in place. With merges
+    the newest base of each key is aggregated the same way and joined back (adaptive execution splits a hot key there) to leave only newer operands;
+    the fold is the operator's own aggregate. Range tombstones hide entries with strictly lower sequence numbers. has_merges / has_ranges spare a look
+    at the log where the caller knows.
     """
     v = visible(log, snapshot, read_ts, None, cfs, key_pred)
     if "cf" not in v.columns:
@@ -58,34 +59,55 @@ def resolve(
     extra = [c for c in ("columns", "udt") if c in v.columns]
     keys = ["cf", "user_key"]
     if not has_merges:
-        newest = points.groupBy(*keys).agg(F.max(F.struct("seq")).alias("s"), F.max_by(F.struct("op", "value", *extra), "seq").alias("e"))
-        return newest.filter(~F.col("e.op").isin(*DELETES)).select(*keys, "e.value", "s.seq", *[F.col(f"e.{c}").alias(c) for c in extra])
-    fold = merges.named(merge).fold
+        newest = _newest(points, keys, ["value", *extra])
+        return newest.filter(~F.col("gone")).select(*keys, "value", "seq", *extra)
+    out = folded(points, keys, merges.named(merge), extra)
+    return out.filter((F.col("n_operands") > 0) | ~F.col("base_op").isin(*DELETES)).select(*keys, "value", "seq", *extra)
+
+
+def _newest(points: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys.., seq, gone, columns..) of the newest entry of each key."""
+    kinds = dict(points.dtypes)
+    gone = F.col("op").isin(*DELETES)
+    if all(kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp") for c in columns):
+        # One max_by for each: their buffers are fixed-width, so it is a hash aggregate.
+        each = [F.max_by(F.col(c), "seq").alias(c) for c in columns]
+        return points.groupBy(*keys).agg(F.max("seq").alias("seq"), F.max_by(gone, "seq").alias("gone"), *each)
+    newest = points.groupBy(*keys).agg(F.max("seq").alias("seq"), F.max_by(F.struct(gone.alias("gone"), *columns), "seq").alias("e"))
+    return newest.select(*keys, "seq", "e.*")
+
+
+def folded(points: DataFrame, keys: Sequence[str], merge: merges.Merge, extra: Sequence[str] = ()) -> DataFrame:
+    """(keys.., value, seq, extra.., base_op, n_operands): each key's newest base, a delete too, with the operands above it folded in.
+
+    base_op is null where a key has operands only. Operands over an entity fold into its unnamed column and leave its others; operands over a
+    delete have no base."""
     is_base = F.col("op") != MERGE
+    kind = dict(points.dtypes)["value"]
     base = points.filter(is_base).groupBy(*keys).agg(F.max("seq").alias("base_seq"), F.max_by(F.struct("op", "value", *extra), "seq").alias("base"))
-    later = points.filter(~is_base).join(base, keys, "left").filter(F.col("seq") > F.coalesce("base_seq", F.lit(-1)))
-    live = F.when(~F.col("base.op").isin(*DELETES), F.col("base.value"))
-    kind = dict(v.dtypes)["value"]
-    if "columns" in extra:  # operands over an entity fold into its unnamed column
-        live = F.when(F.col("base.op") == ENTITY, F.try_element_at(F.col("base.columns"), F.lit("")).cast(kind)).otherwise(live)
     alive = ~F.coalesce(F.col("base.op").isin(*DELETES), F.lit(True))
-    operands = later.select(*keys, "seq", "value", live.alias("base_value"), *[F.when(alive, F.col(f"base.{c}")).alias(c) for c in extra])
-    kept = base.filter(~F.col("base.op").isin(*DELETES)).select(*keys, F.col("base_seq").alias("seq"), F.lit(None).cast(kind).alias("value"), live.alias("base_value"), *[F.col(f"base.{c}").alias(c) for c in extra])
-    both = operands.unionByName(kept)
-    folded = both.groupBy(*keys).agg(
-        F.when(F.count("value") > 0, fold(F.col("value"), F.col("seq"), F.col("base_value"))).alias("merged"),
+    live = F.when(alive, F.col("base.value"))
+    if "columns" in extra:
+        live = F.when(F.col("base.op") == ENTITY, F.try_element_at(F.col("base.columns"), F.lit("")).cast(kind)).otherwise(live)
+    about = [live.alias("base_value"), F.col("base.op").alias("base_op"), *[F.when(alive, F.col(f"base.{c}")).alias(c) for c in extra]]
+    later = points.filter(~is_base).select(*keys, "seq", "value").join(base, keys, "left").filter(F.col("seq") > F.coalesce("base_seq", F.lit(-1)))
+    operands = later.select(*keys, "seq", "value", F.lit(1).alias("one"), *about)
+    kept = base.select(*keys, F.col("base_seq").alias("seq"), F.lit(None).cast(kind).alias("value"), F.lit(0).alias("one"), *about)
+    out = operands.unionByName(kept).groupBy(*keys).agg(
+        F.when(F.count("value") > 0, merge.fold(F.col("value"), F.col("seq"), F.col("base_value"))).alias("merged"),
         F.first("base_value", ignorenulls=True).alias("base_value"),
         F.max("seq").alias("seq"),
+        F.first("base_op", ignorenulls=True).alias("base_op"),
+        F.sum("one").alias("n_operands"),
         *[F.first(c, ignorenulls=True).alias(c) for c in extra],
     )
-    out = dict(folded.dtypes)["merged"]
-    value = F.coalesce("merged", F.col("base_value").cast(out))
-    if "columns" not in extra:
-        return folded.select(*keys, value.alias("value"), "seq", *extra)
-    others = F.map_filter("columns", lambda k, _: k != "")
-    entity = F.when(F.col("merged").isNull() | F.col("columns").isNull(), F.col("columns")).otherwise(F.map_concat(others, F.create_map(F.lit(""), F.col("merged").cast("string"))))
-    plain = F.when(F.col("columns").isNull(), value).alias("value")
-    return folded.select(*keys, plain, "seq", entity.alias("columns"), *[c for c in extra if c != "columns"])
+    value = F.coalesce("merged", F.col("base_value").cast(dict(out.dtypes)["merged"]))
+    if "columns" in extra:
+        others = F.map_filter("columns", lambda k, _: k != "")
+        entity = F.when(F.col("merged").isNull(), F.col("columns")).otherwise(F.map_concat(others, F.create_map(F.lit(""), F.col("merged").cast("string"))))
+        out = out.withColumn("value_", F.when(F.col("columns").isNull(), value)).withColumn("columns", F.when(F.col("columns").isNotNull(), entity))
+        value = F.col("value_")
+    return out.select(*keys, value.alias("value"), "seq", *extra, "base_op", "n_operands")
 
 
 def versions(log: DataFrame, from_ts: int, read_ts: int, snapshot: int | None = None) -> DataFrame:

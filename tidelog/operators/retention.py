@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import DELETES
+from ..schema import DELETE_RANGE, DELETES, ENTITY, MERGE, PUT
+from . import merge as merges
+from . import ranges
+from .resolve import folded
 
 
 def stripe(seq: Column, snapshots: Sequence[int]) -> Column:
@@ -19,24 +22,52 @@ def stripe(seq: Column, snapshots: Sequence[int]) -> Column:
     return out
 
 
-def compact(log: DataFrame, snapshots: Sequence[int] = (), bottom: bool = True) -> DataFrame:
-    """The newest entry of each key in each snapshot stripe, older ones dropped; at the bottom a delete that nothing older needs goes too.
+def compact(log: DataFrame, snapshots: Sequence[int] = (), bottom: bool = True, merge: str | merges.Merge | None = None, has_ranges: bool | None = None) -> DataFrame:
+    """The log's columns and stripe: what every snapshot, and the newest reader, still need of the log.
 
-    Merge operands are not folded here: compact a log that has them by resolve() for each snapshot."""
+    In each snapshot stripe a key keeps its newest entry, with the operands above it folded in; operands without a base in their stripe become one
+    operand, or at the bottom, where nothing older exists, the value itself. Entries that a range tombstone of their own stripe covers go. At the
+    bottom a delete that nothing older needs goes, and so do range tombstones of the first stripe. Operators that can't be
+    folded without their base (stringappendtest) keep their operands as they are."""
     rows = log.withColumn("stripe", stripe(F.col("seq"), snapshots))
-    newest = rows.groupBy("cf", "user_key", "stripe").agg(F.max_by(F.struct(*log.columns), "seq").alias("e"))
-    out = newest.select("e.*", "stripe")
+    names = [*log.columns, "stripe"]
+    is_range = F.col("op") == DELETE_RANGE
+    points, dead = rows.filter(~is_range), rows.filter(is_range)
+    if has_ranges is None:
+        has_ranges = "end_key" in log.columns and bool(dead.head(1))
+    if has_ranges:
+        points = ranges.drop_covered(points, dead, by=("cf", "stripe"))
+    keys = ["cf", "user_key", "stripe"]
+    extra = [c for c in log.columns if c not in ("cf", "user_key", "seq", "op", "value")]
+    older = F.col("stripe") > F.min("stripe").over(Window.partitionBy("cf", "user_key"))
+    if points.filter(F.col("op") == MERGE).head(1):
+        how = merges.named(merge)
+        if how.name == "stringappendtest":
+            raise NotImplementedError("operands of this operator can't be folded without their base")
+        out = folded(points, keys, how, [c for c in extra if c == "columns"]).withColumn("older_", older)
+        lone = F.col("base_op").isNull()
+        entity = F.col("columns").isNotNull() if "columns" in extra else F.lit(False)
+        op = F.when(F.col("n_operands") == 0, F.col("base_op")).when(entity, F.lit(ENTITY)).when(lone & (F.col("older_") | F.lit(not bottom)), F.lit(MERGE)).otherwise(F.lit(PUT))
+        out = out.withColumn("op", op).drop("base_op", "n_operands")
+        rest = [c for c in extra if c != "columns"]
+        if rest:  # what the newest entry of the stripe says besides its value
+            out = out.join(points.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("x_")), keys).select("*", "x_.*").drop("x_")
+    else:
+        out = points.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in log.columns if c not in keys]), "seq").alias("e")).select(*keys, "e.*").withColumn("older_", older)
     if bottom:
-        first = F.min("stripe").over(Window.partitionBy("cf", "user_key"))
-        out = out.withColumn("first_", first).filter(~(F.col("op").isin(*DELETES) & (F.col("stripe") == F.col("first_")))).drop("first_")
-    return out
+        out = out.filter(~F.col("op").isin(*DELETES) | F.col("older_"))
+    out = out.select([F.col(c).cast(k).alias(c) for c, k in rows.dtypes])
+    if has_ranges:
+        first = min(snapshots, default=(1 << 63) - 1)
+        out = out.unionByName(dead.filter(F.col("stripe") > first) if bottom else dead)
+    return out.select(*names)
 
 
 def expired(write_time: Column, ttl: Column | int, now: Column | int) -> Column:
-    """ttl of 0 or less never expires; a row expires when write_time + ttl < now."""
+    """ttl of 0 or less never expires; a row expires when write_time + ttl < now. A row without a write time does not."""
     ttl = F.lit(ttl) if isinstance(ttl, int) else ttl
     now = F.lit(now) if isinstance(now, int) else now
-    return (ttl > 0) & (write_time + ttl < now)
+    return F.coalesce((ttl > 0) & (write_time + ttl < now), F.lit(False))
 
 
 def drop_expired(state: DataFrame, ttl: Column | int, now: Column | int, strict: bool = True) -> DataFrame:
@@ -77,19 +108,50 @@ def remove_empty_values(log: DataFrame) -> DataFrame:
     return log.filter(F.octet_length(F.coalesce(F.col("value").cast("string"), F.lit(""))) > 0)
 
 
+def _cut(log: DataFrame, key: str, *kept: tuple) -> DataFrame:
+    """log within the half-open key ranges: other entries by their keys, range tombstones cut to what lies inside. None is an open end."""
+    inside, pieces = F.lit(False), None
+    for lo, hi in kept:
+        here = F.lit(True)
+        if lo is not None:
+            here = here & (F.col(key) >= F.lit(lo))
+        if hi is not None:
+            here = here & (F.col(key) < F.lit(hi))
+        inside = inside | here
+    if "end_key" not in log.columns:
+        return log.filter(inside)
+    is_range = F.col("op") == DELETE_RANGE
+    kinds = dict(log.dtypes)
+    for lo, hi in kept:
+        part = log.filter(is_range)
+        if lo is not None:
+            part = part.withColumn(key, F.greatest(key, F.lit(lo).cast(kinds[key])))
+        if hi is not None:
+            part = part.withColumn("end_key", F.least("end_key", F.lit(hi).cast(kinds["end_key"])))
+        part = part.filter(F.col(key) < F.col("end_key")).select(*log.columns)
+        pieces = part if pieces is None else pieces.unionByName(part)
+    return log.filter(~is_range & inside).unionByName(pieces)
+
+
 def clip(log: DataFrame, lo, hi, key: str = "user_key") -> DataFrame:
-    return log.filter((F.col(key) >= F.lit(lo)) & (F.col(key) < F.lit(hi)))
+    """What the log says of keys in [lo, hi): a range tombstone that reaches in from outside still deletes there."""
+    return _cut(log, key, (lo, hi))
+
+
+def cut_out(log: DataFrame, lo, hi, key: str = "user_key") -> DataFrame:
+    """What the log says of keys outside [lo, hi); a range tombstone over it is split in two."""
+    return _cut(log, key, (None, lo), (hi, None))
 
 
 def trim_history(log: DataFrame, newest: int) -> DataFrame:
-    """Drops everything with a user timestamp above `newest`."""
-    return log.filter(F.col("udt") <= newest)
+    """Drops everything with a user timestamp above `newest`; an entry without one stays."""
+    return log.filter(F.col("udt").isNull() | (F.col("udt") <= newest))
 
 
 def drop_history_below(log: DataFrame, low: int) -> DataFrame:
-    """Keeps every version at or above `low` and, of each key, the newest one below it."""
+    """Keeps every version at or above `low`, those without a timestamp and, of each key, the newest one below it."""
     below = F.max(F.when(F.col("udt") < low, F.struct("udt", "seq"))).over(Window.partitionBy("cf", "user_key"))
-    return log.withColumn("b_", below).filter((F.col("udt") >= low) | ((F.col("udt") == F.col("b_.udt")) & (F.col("seq") == F.col("b_.seq")))).drop("b_")
+    return log.withColumn("b_", below).filter(F.col("udt").isNull() | (F.col("udt") >= low) | ((F.col("udt") == F.col("b_.udt")) & (F.col("seq") == F.col("b_.seq")))).drop("b_")
 
 
 def deletion_windows(log: DataFrame, size: int = 128, deletes: int = 50, ratio: float = 0.0, by: Sequence[str] = ("cf",)) -> DataFrame:

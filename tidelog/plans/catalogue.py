@@ -15,45 +15,38 @@ from ..operators import merge as M
 from ..operators import multicf, ranges, retention, scan, trace, txn
 from ..operators import resolve as R
 from . import inputs as S
+from .registry import QUERIES, SQL, Query, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
+__all__ = ["QUERIES", "SQL"]
 
 # ------------------------------------------------------------------ versions and snapshots
 
-_NO_MERGE = "puts AS (SELECT * FROM log WHERE op <> 'MERGE')"
-_LATEST = "SELECT user_key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS r FROM puts{where}) WHERE r = 1 AND op <> 'DELETE'"
+def _shown(state: DataFrame) -> DataFrame:
+    part = lambda n: F.try_element_at("columns", F.lit(n))
+    return state.select("user_key", F.col("value").cast("long").alias("value"), part("").alias("default_column"), part("kind").alias("kind"), "seq")
 
 
-def _plain(spark: SparkSession, d: str) -> DataFrame:
-    return S.event_log(spark, d).filter("op <> 'MERGE'")
+@query("mvcc_latest", f"WITH {S.FULL_LOG}, {S.resolved_sql()} SELECT * FROM state")
+def _(spark, d):
+    return _shown(R.resolve(S.full_log(spark, d), merge="sum", has_merges=True, has_ranges=True))
 
 
-@query("mvcc_latest", f"WITH {S.EVENT_LOG}, {_NO_MERGE} " + _LATEST.format(where=""))
+@query("mvcc_snapshot", f"WITH {S.FULL_LOG}, {S.resolved_sql(where='seq <= 600')} SELECT * FROM state")
 def _(spark, d):
-    return R.resolve(_plain(spark, d), has_merges=False).select("user_key", "value", "seq")
+    return _shown(R.resolve(S.full_log(spark, d), snapshot=600, merge="sum", has_merges=True, has_ranges=True))
 
 
-@query("mvcc_snapshot", f"WITH {S.EVENT_LOG}, {_NO_MERGE} " + _LATEST.format(where=" WHERE seq <= 600"))
+@query("mvcc_read_timestamp", f"WITH {S.FULL_LOG}, {S.resolved_sql(where='udt <= 1704844800')} SELECT * FROM state")
 def _(spark, d):
-    return R.resolve(_plain(spark, d), snapshot=600, has_merges=False).select("user_key", "value", "seq")
+    return _shown(R.resolve(S.full_log(spark, d), read_ts=1704844800, merge="sum", has_merges=True, has_ranges=True))
 
 
-@query("mvcc_read_timestamp", f"WITH {S.EVENT_LOG}, {_NO_MERGE} " + _LATEST.format(where=" WHERE udt <= 1704844800"))
+@query("mvcc_puts_only", """WITH p AS (SELECT user_id AS user_key, event_id AS seq, round(value * 100)::BIGINT AS value, event_type FROM events WHERE event_type <> 'view')
+SELECT user_key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS r FROM p) WHERE r = 1 AND event_type <> 'error'""")
 def _(spark, d):
-    return R.resolve(_plain(spark, d), read_ts=1704844800, has_merges=False).select("user_key", "value", "seq")
+    e = S.table(spark, d, "events").filter("event_type <> 'view'")  # a log in which nothing merges: its newest entries are a hash aggregate
+    log = e.select(F.col("user_id").alias("user_key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT").alias("op"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    return R.resolve(log, has_merges=False).select("user_key", "value", "seq")
 
 
 @query("history_scan", f"WITH {S.EVENT_LOG} SELECT user_key, seq, op, value, udt FROM log WHERE udt BETWEEN 1704412800 AND 1705276800")
@@ -61,9 +54,10 @@ def _(spark, d):
     return R.versions(S.event_log(spark, d), 1704412800, 1705276800).select("user_key", "seq", "op", "value", "udt")
 
 
-@query("get_with_timestamp", f"WITH {S.EVENT_LOG}, {_NO_MERGE} SELECT user_key, value, udt FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS r FROM puts WHERE user_key = 7) WHERE r = 1 AND op <> 'DELETE'")
+@query("get_with_timestamp", f"WITH {S.FULL_LOG}, {S.resolved_sql()}, u AS (SELECT a.user_key, max(a.udt) AS udt FROM alive a JOIN base b ON a.user_key = b.user_key AND a.seq = b.bseq AND a.op <> 'DELETE' GROUP BY 1) SELECT s.*, u.udt FROM state s LEFT JOIN u USING (user_key) WHERE s.user_key IN (7, 8, 26)")
 def _(spark, d):
-    return R.resolve(_plain(spark, d), key_pred=F.col("user_key") == 7, has_merges=False).select("user_key", "value", "udt")
+    out = R.resolve(S.full_log(spark, d), key_pred=F.col("user_key").isin(7, 8, 26), merge="sum", has_merges=True, has_ranges=True)
+    return _shown(out).join(out.select("user_key", "udt"), "user_key")
 
 
 @query("log_tail", f"WITH {S.EVENT_LOG} SELECT seq, user_key, op, value FROM log WHERE seq >= 500")
@@ -174,6 +168,44 @@ def _(spark, d):
     return ranges.drop_covered(points, dead, count=ranges.FEW + 1).select("user_key", "value")
 
 
+def _many(n: int) -> str:
+    """n tombstones over the order keys: spans of growing width, at sequence numbers that some keys exceed."""
+    return f"rt AS (SELECT lo, lo + 1 + i % 37 AS hi, CASE WHEN i % 3 = 0 THEN lo ELSE lo + i % 50 END AS seq FROM (SELECT i, i * 7919 % (SELECT max(o_orderkey) FROM orders) AS lo FROM range({n}) t(i)))"
+
+
+def _many_tombstones(spark: SparkSession, d: str, n: int) -> DataFrame:
+    top = S.table(spark, d, "orders").agg(F.max("o_orderkey").alias("top"))
+    i = F.col("id")
+    lo = i * 7919 % F.col("top")
+    out = spark.range(n).join(F.broadcast(top))
+    return out.select(F.lit("default").alias("cf"), lo.alias("user_key"), F.when(i % 3 == 0, lo).otherwise(lo + i % 50).alias("seq"), F.lit("DELETE_RANGE").alias("op"), F.lit(None).cast("long").alias("value"), (lo + 1 + i % 37).alias("end_key"))
+
+
+def _range_deletes(n: int) -> None:
+    @query(f"range_delete_{n}", f"WITH {_many(n)} SELECT o_orderkey AS user_key, o_custkey AS value FROM orders o WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.lo <= o.o_orderkey AND o.o_orderkey < rt.hi AND rt.seq > o.o_orderkey)")
+    def _(spark, d):
+        log = S.order_log(spark, d).filter("op = 'PUT'").unionByName(_many_tombstones(spark, d, n))
+        return R.resolve(log, has_merges=False, has_ranges=True).select("user_key", "value")
+
+    @query(f"multi_scan_{n}", f"WITH {_many(n)}, r AS (SELECT row_number() OVER (ORDER BY lo, hi, seq) AS range_id, lo, hi FROM (SELECT DISTINCT lo, hi, seq FROM rt)) SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, lo, hi, count(DISTINCT range_id) AS n_ranges FROM orders JOIN r ON o_orderkey >= lo AND o_orderkey < hi GROUP BY lo, hi")
+    def _(spark, d):
+        dead = _many_tombstones(spark, d, n).select(F.col("user_key").alias("lo"), F.col("end_key").alias("hi"), "seq").distinct()
+        ranges_ = dead.withColumn("range_id", F.xxhash64("lo", "hi", "seq"))
+        found = ranges.multi_scan(_orders(spark, d), ranges_)
+        return found.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.sum("user_key").alias("keys"), F.countDistinct("range_id").alias("n_ranges")).select("n", "keys", "lo", "hi", "n_ranges")
+
+
+for _n in (10, 1_000, 10_000):
+    _range_deletes(_n)
+
+
+@query("range_delete_as_of", f"WITH {_many(10_000)} SELECT o_orderkey AS user_key, o_custkey AS value FROM orders o WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.lo <= o.o_orderkey AND o.o_orderkey < rt.hi AND rt.seq > o.o_orderkey)")
+def _(spark, d):
+    cells = ranges.fragments(_many_tombstones(spark, d, 10_000), by=("cf",))
+    found = ranges.as_of(S.order_log(spark, d).filter("op = 'PUT'"), cells, ("cf",), "user_key", rows=5_000)
+    return found.filter("coalesce(top_seq <= seq, true)").select("user_key", "value")
+
+
 @query("range_fragments", f"""WITH {S.TOMBSTONES_SQL}, good AS (SELECT * FROM rt WHERE lo < hi), e AS (SELECT lo AS b FROM good UNION SELECT hi FROM good),
 c AS (SELECT b AS lo, lead(b) OVER (ORDER BY b) AS hi FROM e) SELECT c.lo, c.hi, max(g.seq) AS top_seq, count(*) AS n FROM c JOIN good g ON g.lo <= c.lo AND g.hi >= c.hi GROUP BY 1, 2""")
 def _(spark, d):
@@ -309,11 +341,25 @@ def _(spark, d):
 _SNAPS = (200, 500, 900)
 
 
-@query("compaction_stripes", f"""WITH {S.EVENT_LOG}, {_NO_MERGE}, s AS (SELECT *, CASE WHEN seq <= 200 THEN 200 WHEN seq <= 500 THEN 500 WHEN seq <= 900 THEN 900 ELSE 9223372036854775807 END AS stripe FROM puts),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_key, stripe ORDER BY seq DESC) AS r FROM s), f AS (SELECT *, min(stripe) OVER (PARTITION BY user_key) AS first_ FROM n WHERE r = 1)
-SELECT user_key, seq, op, stripe::BIGINT AS stripe FROM f WHERE NOT (op = 'DELETE' AND stripe = first_)""")
+@query("compaction_stripes", f"""WITH {S.FULL_LOG}, striped AS (SELECT *, CASE WHEN seq <= 200 THEN 200 WHEN seq <= 500 THEN 500 WHEN seq <= 900 THEN 900 ELSE 9223372036854775807 END::BIGINT AS stripe FROM points),
+ts AS (SELECT *, CASE WHEN seq <= 200 THEN 200 WHEN seq <= 500 THEN 500 WHEN seq <= 900 THEN 900 ELSE 9223372036854775807 END::BIGINT AS stripe FROM tomb),
+alive AS (SELECT * FROM striped p WHERE NOT EXISTS (SELECT 1 FROM ts t WHERE t.stripe = p.stripe AND t.lo <= p.user_key AND p.user_key < t.hi AND t.seq > p.seq)),
+base AS (SELECT user_key, stripe, max(seq) AS bseq FROM alive WHERE op <> 'MERGE' GROUP BY 1, 2),
+st AS (SELECT a.user_key, a.stripe, max(a.seq) AS seq, max(CASE WHEN a.seq = b.bseq THEN op END) AS bop, max(CASE WHEN op IN ('PUT', 'PUT_ENTITY') THEN value END) AS bv, count(*) FILTER (op = 'MERGE') AS n,
+  sum(value) FILTER (op = 'MERGE') AS m FROM alive a LEFT JOIN base b USING (user_key, stripe) WHERE a.seq >= coalesce(b.bseq, -1) GROUP BY 1, 2),
+f AS (SELECT *, stripe > min(stripe) OVER (PARTITION BY user_key) AS older, (coalesce(bv, 0) + coalesce(m, 0))::BIGINT AS v FROM st)
+SELECT user_key, seq, CASE WHEN n = 0 OR bop = 'PUT_ENTITY' THEN bop WHEN bop IS NULL AND older THEN 'MERGE' ELSE 'PUT' END AS op, CASE WHEN bop = 'PUT_ENTITY' OR (bop = 'DELETE' AND n = 0) THEN NULL ELSE v END AS value,
+  CASE WHEN bop = 'PUT_ENTITY' THEN v::VARCHAR END AS default_column, NULL::BIGINT AS end_key, stripe FROM f WHERE NOT (bop = 'DELETE' AND n = 0 AND NOT older)
+UNION ALL SELECT lo, seq, 'DELETE_RANGE', NULL, NULL, hi, stripe FROM ts WHERE stripe > 200""")
+def _(spark, d):
+    out = retention.compact(S.full_log(spark, d), _SNAPS, merge="sum", has_ranges=True)
+    return out.select("user_key", "seq", "op", "value", F.try_element_at("columns", F.lit("")).alias("default_column"), "end_key", "stripe")
+
+
+@query("compaction_keeps_snapshots", f"WITH {S.FULL_LOG}, {S.resolved_sql(where='seq <= 500')} SELECT * FROM state")
 def _(spark, d):
-    return retention.compact(_plain(spark, d), _SNAPS).select("user_key", "seq", "op", "stripe")
+    log = retention.compact(S.full_log(spark, d), _SNAPS, merge="sum", has_ranges=True).drop("stripe")
+    return _shown(R.resolve(log, snapshot=500, merge="sum", has_merges=True, has_ranges=True))
 
 
 @query("ttl_expire", f"WITH {S.EVENT_LOG} SELECT user_key, seq, value FROM log WHERE op = 'PUT' AND NOT (write_time + 864000 < 1706400000)")
@@ -527,12 +573,12 @@ query("cache_policies")(_b(lambda t: C.simulate(t, ("lru", "fifo", "mru", "lfu",
 # ------------------------------------------------------------------ transactions
 
 
-@query("txn_overlay", f"""WITH {S.EVENT_LOG}, {_NO_MERGE}, b AS (SELECT user_key, seq + 4611686018427387904 AS seq, CASE WHEN user_key % 2 = 0 THEN 'DELETE' ELSE 'PUT' END AS op, 7::BIGINT AS value FROM puts WHERE seq < 40),
-u AS (SELECT user_key, seq, op, value FROM puts UNION ALL SELECT * FROM b) SELECT user_key, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS r FROM u) WHERE r = 1 AND op <> 'DELETE'""")
+@query("txn_overlay", f"""WITH {S.FULL_LOG}, b AS (SELECT user_key, seq + 4611686018427387904 AS seq, CASE user_key % 3 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'PUT' ELSE 'MERGE' END AS op, CASE WHEN user_key % 3 > 0 THEN 7::BIGINT END AS value, udt FROM points WHERE seq < 40),
+u AS (SELECT * FROM points UNION ALL SELECT * FROM b), {S.resolved_sql(points='u')} SELECT user_key, value, default_column FROM state""")
 def _(spark, d):
-    log = _plain(spark, d)
-    batch = log.filter("seq < 40").withColumn("op", F.when(F.col("user_key") % 2 == 0, "DELETE").otherwise("PUT")).withColumn("value", F.lit(7).cast("long"))
-    return R.resolve(txn.overlay(log, batch), has_merges=False).select("user_key", "value")
+    log, way = S.full_log(spark, d), F.col("user_key") % 3
+    batch = log.filter("seq < 40 and op <> 'DELETE_RANGE'").withColumns({"op": F.when(way == 0, "DELETE").when(way == 1, "PUT").otherwise("MERGE"), "value": F.when(way > 0, F.lit(7).cast("long")), "columns": F.lit(None).cast("map<string,string>")})
+    return _shown(R.resolve(txn.overlay(log, batch), merge="sum", has_merges=True, has_ranges=True)).select("user_key", "value", "default_column")
 
 
 @query("occ_conflicts", f"""WITH {S.EVENT_LOG}, k AS (SELECT user_key % 10 AS txn_id, user_key, min(seq) + 900 AS snapshot FROM log GROUP BY 1, 2), l AS (SELECT user_key, max(seq) AS last_seq FROM log GROUP BY 1)

@@ -32,6 +32,43 @@ EVENT_LOG = """log AS (SELECT 'default' AS cf, user_id AS user_key, event_id AS
   CASE WHEN event_type IN ('signup', 'purchase') THEN 'PUT' WHEN event_type = 'error' THEN 'DELETE' ELSE 'MERGE' END AS op,
   round(value * 100)::BIGINT AS value, (epoch_us(ts) // 1000000)::BIGINT AS write_time, (epoch_us(ts) // 1000000)::BIGINT AS udt FROM events)"""
 
+#: Ranges of users deleted at a sequence number and time each.
+USER_RANGES = ((10, 30, 300, 1_704_500_000), (25, 60, 700, 1_705_600_000), (100, 120, 950, 1_706_400_000), (130, 130, 5_000, 1_704_067_200))
+
+
+def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a log with every kind of operation: signups put entities, purchases put, clicks and views merge, errors delete, and ranges of users go."""
+    op = F.when(F.col("event_type") == "signup", "PUT_ENTITY").when(F.col("event_type") == "purchase", "PUT").when(F.col("event_type") == "error", "DELETE").otherwise("MERGE")
+    value, at = F.round(F.col("value") * 100).cast("long"), F.floor(_micros() / 1_000_000).cast("long")
+    rows = table(spark, sf_dir, "events").select(
+        F.lit("default").alias("cf"),
+        F.col("user_id").alias("user_key"),
+        F.col("event_id").alias("seq"),
+        op.alias("op"),
+        F.when(op.isin("PUT", "MERGE"), value).alias("value"),
+        F.when(op == "PUT_ENTITY", F.create_map(F.lit(""), value.cast("string"), F.lit("kind"), F.col("event_type"))).alias("columns"),
+        F.lit(None).cast("long").alias("end_key"),
+        at.alias("udt"),
+    )
+    ranges = spark.createDataFrame([("default", a, s, "DELETE_RANGE", None, None, z, t) for a, z, s, t in USER_RANGES], rows.schema)
+    return rows.unionByName(ranges)
+
+
+FULL_LOG = f"""points AS (SELECT user_id AS user_key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'PUT_ENTITY' WHEN 'purchase' THEN 'PUT' WHEN 'error' THEN 'DELETE' ELSE 'MERGE' END AS op,
+  CASE WHEN event_type <> 'error' THEN round(value * 100)::BIGINT END AS value, (epoch_us(ts) // 1000000)::BIGINT AS udt FROM events),
+tomb(lo, hi, seq, udt) AS (VALUES {", ".join(map(str, USER_RANGES))})"""
+
+
+def resolved_sql(points: str = "points", tomb: str = "tomb", where: str = "true") -> str:
+    """CTEs that end in state(user_key, value, default_column, kind, seq): points and tombstones resolved with a sum as the merge."""
+    return f"""alive AS (SELECT * FROM {points} p WHERE {where} AND NOT EXISTS (SELECT 1 FROM {tomb} t WHERE {where} AND t.lo <= p.user_key AND p.user_key < t.hi AND t.seq > p.seq)),
+base AS (SELECT user_key, max(seq) AS bseq FROM alive WHERE op <> 'MERGE' GROUP BY 1),
+st AS (SELECT a.user_key, max(a.seq) AS seq, max(CASE WHEN op IN ('PUT', 'PUT_ENTITY') THEN value END) AS bv, bool_or(op = 'PUT_ENTITY') AS ent, count(*) FILTER (op = 'MERGE') AS n,
+  sum(value) FILTER (op = 'MERGE') AS m FROM alive a LEFT JOIN base b USING (user_key) WHERE a.seq >= coalesce(b.bseq, -1) GROUP BY 1),
+state AS (SELECT user_key, CASE WHEN NOT ent THEN (coalesce(bv, 0) + coalesce(m, 0))::BIGINT END AS value, CASE WHEN ent THEN ((bv + coalesce(m, 0))::BIGINT)::VARCHAR END AS default_column,
+  CASE WHEN ent THEN 'signup' END AS kind, seq FROM st WHERE n > 0 OR bv IS NOT NULL)"""
+
+
 #: Half-open key ranges over order keys, deleted at a sequence number each; the orders' own numbers are their keys.
 TOMBSTONES = ((100, 400, 350), (300, 900, 700), (2_000, 2_600, 10_000_000), (2_500, 2_501, 1), (5_000, 4_000, 9_000_000), (12_000, 30_000, 20_000))
 SCAN_RANGES = ((0, 10, 50), (1, 40, 90), (2, 1_000, 1_040), (3, 7_000, None))

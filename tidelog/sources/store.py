@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.resolve import resolve
+from ..operators.retention import clip, cut_out
 from ..schema import DELETE, DELETE_RANGE, ENTITY, MERGE, OP_LOG, PUT, SINGLE_DELETE, TIMED_PUT
+from ..tables import written
 
 
 @dataclass
@@ -67,10 +69,12 @@ class Batch:
 
 
 class Store:
-    """One writer; any number of readers. dedup=True refuses merge operands, strict=False lets them in."""
+    """One writer, which looks up the last sequence number when it first writes and keeps count from there; any number of readers.
+    dedup=True refuses merge operands, strict=False lets them in."""
 
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False, dedup: bool = False, strict: bool = True):
         self.spark, self.path, self.read_only, self.dedup, self.strict = spark, path.rstrip("/"), read_only, dedup, strict
+        self._last: int | None = None
 
     def log(self) -> DataFrame:
         try:
@@ -89,43 +93,51 @@ class Store:
     def families(self) -> list[str]:
         return sorted(r["cf"] for r in self.log().select("cf").distinct().collect())
 
-    def _append(self, rows: DataFrame) -> None:
+    def _append(self, rows: DataFrame, last: int | None = None) -> None:
+        """Appends log rows; `last` is the highest sequence number among them where the caller knows it."""
         if self.read_only:
             raise PermissionError("the store was opened read-only")
         rows.select([F.col(f.name).cast(f.dataType) for f in OP_LOG]).write.mode("append").parquet(f"{self.path}/log")
+        self._last = None if last is None else max(last, self._last or 0)
+
+    def _base(self) -> int:
+        if self._last is None:
+            self._last = self.latest_seq()
+        return self._last
 
     def write(self, batch: Batch) -> int:
         """Appends the batch with consecutive sequence numbers; returns the last."""
         if self.dedup and self.strict and any(op[4] == MERGE for op in batch.ops):
             raise NotImplementedError("merge operands can't go to a deduplicated store")
-        base = self.latest_seq()
+        base = self._base()
         rows = [(cf, key, udt, base + 1 + i, op, value, columns, end, time, base + 1) for i, (cf, key, udt, _, op, value, columns, end, time) in enumerate(batch.ops)]
         if rows:
-            self._append(self.spark.createDataFrame(rows, OP_LOG))
+            self._append(self.spark.createDataFrame(rows, OP_LOG), base + len(rows))
         return base + len(rows)
 
     def ingest(self, rows: DataFrame, behind: bool = False, cf: str = "default") -> int:
         """Adds a table (user_key, value) of distinct keys under one sequence number: above all others, or below all (behind)."""
         if rows.groupBy("user_key").count().filter("count > 1").head(1):
             raise ValueError("keys to be ingested must be distinct")
-        seq = 0 if behind else self.latest_seq() + 1
+        seq = 0 if behind else self._base() + 1
         null = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
         known = {"cf": F.lit(cf), "user_key": F.col("user_key"), "seq": F.lit(seq), "op": F.lit(PUT), "value": F.col("value"), "batch_id": F.lit(seq)}
-        self._append(rows.select(*[known[f.name].cast(f.dataType).alias(f.name) if f.name in known else null(f) for f in OP_LOG]))
+        self._append(rows.select(*[known[f.name].cast(f.dataType).alias(f.name) if f.name in known else null(f) for f in OP_LOG]), seq)
         return seq
 
     def bulk(self, rows: DataFrame, order: str) -> int:
-        """Appends a table of operations (op, user_key, value, ...) numbered in the order of a column, by counts of its ranges rather than in one task."""
-        ranged = rows.repartitionByRange(order).withColumn("part_", F.spark_partition_id())
-        counts = ranged.groupBy("part_").count().select("part_", (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("before"))
-        rank = F.row_number().over(Window.partitionBy("part_").orderBy(order))
-        base = self.latest_seq()
-        numbered = ranged.join(F.broadcast(counts), "part_").withColumn("seq", F.lit(base) + F.col("before") + rank).withColumn("batch_id", F.lit(base + 1))
+        """Appends a table of operations (op, user_key, value, ...) numbered in the order of a column; equal values in any order. Returns the last number.
+
+        The table is ranged by the column and written once with each row's part and place in it; numbers follow from the parts' counts. So no task sees
+        all rows, and what a part holds can't change between counting and numbering."""
+        base = self._base()
+        placed = numbered(rows, order).withColumn("seq", F.col("number") + base).withColumn("batch_id", F.lit(base + 1))
         for f in OP_LOG:
-            if f.name not in numbered.columns:
-                numbered = numbered.withColumn(f.name, F.lit("default" if f.name == "cf" else None).cast(f.dataType))
-        self._append(numbered)
-        return self.latest_seq()
+            if f.name not in placed.columns:
+                placed = placed.withColumn(f.name, F.lit("default" if f.name == "cf" else None).cast(f.dataType))
+        last = base + placed.count()
+        self._append(placed, last)
+        return last
 
     def state(self, snapshot: int | None = None, **how) -> DataFrame:
         return resolve(self.log(), snapshot, **how)
@@ -161,13 +173,15 @@ class Store:
         return _fingerprint(self.log()) == want
 
     def drop_range(self, lo: str, hi: str, to: str) -> Store:
+        """A store without what this one says of keys in [lo, hi)."""
         out = Store(self.spark, to)
-        out._append(self.log().filter(~((F.col("user_key") >= lo) & (F.col("user_key") < hi))))
+        out._append(cut_out(self.log(), lo, hi))
         return out
 
     def clip(self, lo: str, hi: str, to: str) -> Store:
+        """A store of keys in [lo, hi) alone."""
         out = Store(self.spark, to)
-        out._append(self.log().filter((F.col("user_key") >= lo) & (F.col("user_key") < hi)))
+        out._append(clip(self.log(), lo, hi))
         return out
 
     def drop_family(self, cf: str, to: str) -> Store:
@@ -188,6 +202,18 @@ class Store:
         return meta.groupBy("file").agg(F.count("*").alias("n"), F.min("user_key").alias("smallest"), F.max("user_key").alias("largest"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("bytes").alias("bytes"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with number: 1, 2, ... in the order of the columns, by the counts of parts rather than in one task."""
+    tie = "__tie"
+    ranged = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
+    kept = written(ranged.withColumn("__at", F.monotonically_increasing_id()).drop(tie), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("__part")).count()
+    before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    out = kept.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each part
+    return out.withColumn("number", F.col("__before") + place + 1).drop("__part", "__before", "__at")
+
+
 def _fingerprint(log: DataFrame) -> dict:
     cells = [F.to_json(F.col(f.name)) if f.name == "columns" else F.col(f.name).cast("string") for f in OP_LOG]
     n, seq, total = log.agg(F.count("*"), F.max("seq"), F.sum(F.xxhash64(*cells).cast("decimal(38,0)"))).first()

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import dedup
+from ..operators.resolve import resolve
 from ..schema import DELETES, OP_LOG
 
 
@@ -22,22 +23,32 @@ def tail(spark: SparkSession, path: str, since: int = 0, files_per_trigger: int
     return reader.parquet(f"{path}/log").filter(F.col("seq") >= since)
 
 
-def catch_up(stream: DataFrame, state_path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Reads all that is there and stops: a secondary's catch-up. Each batch is reduced to its newest entry of each key and appended;
-    follower_state() reads the newest of these, so a batch that is done twice changes nothing."""
+def catch_up(stream: DataFrame, state_path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, every: str | None = None) -> StreamingQuery:
+    """A follower: the operations of each batch are kept as they are, a folder for each batch, so one that is done twice changes nothing.
+    Without `every` it reads all that is there and stops, a secondary's catch-up; with it (such as '10 seconds') it goes on."""
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
+    def keep(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch) if transform else batch
-        newest = rows.groupBy("cf", "user_key").agg(F.max_by(F.struct("op", "value", "seq"), "seq").alias("e")).select("cf", "user_key", "e.*")
-        newest.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
-def follower_state(spark: SparkSession, state_path: str) -> DataFrame:
-    rows = spark.read.parquet(state_path)
-    newest = rows.groupBy("cf", "user_key").agg(F.max_by(F.struct("op", "value", "seq"), "seq").alias("e"))
-    return newest.filter(~F.col("e.op").isin(*DELETES)).select("cf", "user_key", "e.value", "e.seq")
+def follower_log(spark: SparkSession, state_path: str) -> DataFrame:
+    return spark.read.schema(OP_LOG).parquet(state_path).select(*OP_LOG.names)
+
+
+def follower_state(spark: SparkSession, state_path: str, **how) -> DataFrame:
+    """What a reader of the primary would see up to the last batch: merges, range deletes and entities resolve on read; `how` as for resolve()."""
+    return resolve(follower_log(spark, state_path), **how)
+
+
+def compact_follower(spark: SparkSession, state_path: str, to: str, merge: str | None = None) -> None:
+    """Rewrites what a stopped follower holds as one batch that says the same to a reader; a follower that goes on from `to` needs the old checkpoint."""
+    from ..operators.retention import compact
+
+    compact(follower_log(spark, state_path), bottom=True, merge=merge).drop("stripe").write.parquet(f"{to}/batch=-1")
 
 
 def offline_drain(stream: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
