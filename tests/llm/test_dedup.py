@@ -149,6 +149,35 @@ def test_repeats_equal_brute_force(spark, seed, monkeypatch):
     assert sorted(map(tuple, substring_dedup.digests(df).collect())) == brute_cut(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 4])
+def test_repeats_of_hot_minimizers(spark, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(hot)
+    core = "a phrase of the collection that stands in nearly every text of it"
+    rows = passages(7) + [(5000 + i, f"{rng.choice('xyz') * rng.randint(0, 40)} {core[rng.randint(0, 9):]} {rng.choice('uvw') * rng.randint(0, 40)}{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, substring_dedup.digests(df).collect())) == brute_cut(rows)
+
+
+def test_large_groups_are_split():
+    rng = random.Random(1)
+    gram, width = b"0123456789abcdefghijklmn", 50
+    strings = [bytes(rng.choice(b"xy") for _ in range(rng.randint(0, 18))) + b"left"[: rng.randint(0, 4)] + gram + b"right" + bytes(rng.choice(b"uv") for _ in range(rng.randint(0, 18))) for _ in range(150)]
+    strings = [b for b in strings if len(b) >= width]
+    value = substring_dedup._short(substring_dedup.gram_hashes(np.frombuffer(gram, np.uint8))).view(np.int64)[0]
+    n = len(strings)
+    args = np.arange(n), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, value), strings, width, 24
+    covered = lambda found: {(i, k) for i, _, a, z in found for k in range(a, z)}
+    whole, split = (covered(substring_dedup._resolve(*args, together=t)) for t in (1 << 30, 60))
+    first, want = {}, set()
+    for i, b in enumerate(strings):
+        for a in range(len(b) - width + 1):
+            if first.setdefault(b[a : a + width], i) < i:
+                want |= {(i, k) for k in range(a, a + width)}
+    assert want and whole == split == want
+
+
 def test_repeats_edge_cases(edge, none):
     got = sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in map(tuple, substring_dedup.digests(edge).collect()))
     assert got == brute_cut(CASES)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir, written
+
+__all__ = ["shared_dir", "durable", "table", "broadcast_if_small", "let", "byte_chunks", "texts_of"]
+
 #: The most rows of two longs (about 8 MB) that a join may broadcast; beyond it Spark's own join takes over.
 BROADCAST_ROWS = 500_000
 
@@ -19,26 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset (a test on one machine) is one made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def durable(df: DataFrame, label: str = "step", release: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors take nothing along.
-
-    release: have the driver collect its garbage, on which Spark deletes the shuffle files that the write is done with; else they stay until it
-    happens to."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+def durable(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors take nothing along."""
+    return written(df, label)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:

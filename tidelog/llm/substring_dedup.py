@@ -29,6 +29,8 @@ from .suffix_array import window_classes
 WIDTH, GRAM = 50, 24
 #: Bytes of text for each range of minimizers; a range meets in one task.
 RANGE_BYTES = 16 << 20
+#: Texts, at least, that make a minimizer hot; and the strings of which a task remembers that it has sent them.
+HOT, SEEN = 2_000, 1_000_000
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -102,24 +104,88 @@ def _order_id(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
 
 
-def _packed(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+def _runs(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, rows) of each value of part."""
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for rows in np.split(order, cuts) if len(order) else ():
-        yield int(part[rows[0]]), *(c[rows].tobytes() for c in columns)
+        yield int(part[rows[0]]), rows
 
 
-def shared_minimizers(texts: DataFrame, parts: int, width: int, gram: int) -> DataFrame:
-    """(rid, minimizers): for each text, packed, those of its minimizers that another text has too.
+#: Hashes travel as their upper five bytes: where two that differ meet, that adds a candidate and loses none.
+SHORT = np.uint64(24)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.uint64) >> SHORT
+
+
+def _squeeze(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Integer columns, each with the number of its low bytes to keep, as planes of bytes that zstandard has compressed: planes of ids and
+    starts that hardly change cost next to nothing."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(c.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _spread(blob: bytes, *widths: int) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, at, out = len(raw) // sum(widths), 0, []
+    for k in widths:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
+        out.append(wide.view("<i8").ravel())
+        at += n * k
+    return out
+
+
+def _spread_all(blobs: list[bytes], *widths: int) -> list[np.ndarray]:
+    parts = [_spread(b, *widths) for b in blobs]
+    return [np.concatenate(c) if parts else np.empty(0, np.int64) for c in (zip(*parts, strict=True) if parts else [[]] * len(widths))]
+
+
+def _squeezed_texts(df: DataFrame) -> DataFrame:
+    """df (id, rid, text) with the text compressed, for exchanges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in byte_chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rid"), pa.array([press(b) for b in _bytes(batch)], pa.binary())], names=["id", "rid", "body"])
+
+    return df.select("id", "rid", "text").mapInArrow(run, "id long, rid long, body binary")
+
+
+def _opened(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with a column `body` of compressed texts, and the texts: about `most` bytes at a time."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        bodies, size, at = [], 0, 0
+        for k in range(batch.num_rows):
+            bodies.append(press(batch.column("body")[k].as_py()))
+            size += len(bodies[-1])
+            if size >= most or k + 1 == batch.num_rows:
+                yield batch.slice(at, k + 1 - at), bodies
+                bodies, size, at = [], 0, k + 1
+
+
+def shared_minimizers(texts: DataFrame, parts: int, hot: int, width: int, gram: int) -> DataFrame:
+    """(short, minimizers, hot): for each text, by its short rid, packed, those of its minimizers that another text has too; and one row, `hot`, of the
+    minimizers that at least `hot` texts have.
 
     Rows hold many entries each: minimizers travel by range, answers by bucket of texts, so the number of rows depends on tasks, ranges and buckets only."""
-    names = ["part", "rids", "values", "known"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("rids", pa.binary()), ("values", pa.binary()), ("known", pa.binary())])
         for batch in byte_chunks(batches):
-            rids = batch.column("rid").to_numpy()
+            rids = _short(batch.column("rid").to_numpy())
             text, _, _, value = segments(_bytes(batch), width, gram)
+            value = _short(value)
             order = np.lexsort((text, value))
             text, value = text[order], value[order]
             first = np.ones(len(text), bool)
@@ -128,40 +194,48 @@ def shared_minimizers(texts: DataFrame, parts: int, width: int, gram: int) -> Da
             lead = np.ones(len(text), bool)
             lead[1:] = value[1:] != value[:-1]
             run = np.cumsum(lead) - 1
-            known = (np.bincount(run, minlength=1) > 1)[run] if len(run) else lead
-            here = rids[text[known]]
-            rows = [(-1 - p, r, v, b"") for p, r, v in _packed(here % parts, here, value[known])]
-            rows += _packed((value[lead] % np.uint64(parts)).astype(np.int64), rids[text[lead]], value[lead], known[lead])
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+            times = np.bincount(run, minlength=1)
+            known = (times > 1)[run] if len(run) else lead
+            here, mine = rids[text[known]], value[known]
+            rows = [(-1 - p, _squeeze((here[r], 5), (mine[r], 5))) for p, r in _runs((here % np.uint64(parts)).astype(np.int64))]
+            here, mine = rids[text[lead]], value[lead]
+            rows += [(p, _squeeze((here[r], 5), (mine[r], 5), (np.minimum(times[r], 0xFFFFFF), 3))) for p, r in _runs((mine % np.uint64(parts)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        part = int(frame["part"].iloc[0])
-        rids = np.frombuffer(b"".join(frame["rids"]), np.int64)
-        value = np.frombuffer(b"".join(frame["values"]), np.uint64)
-        if part >= 0:
-            known = np.frombuffer(b"".join(frame["known"]), bool)
+        if int(frame["part"].iloc[0]) < 0:
+            rids, value = _spread_all(frame["blob"], 5, 5)
+            often = value[:0]
+        else:
+            rids, value, times = _spread_all(frame["blob"], 5, 5, 3)
             order = np.argsort(value, kind="stable")
-            again = np.zeros(len(order), bool)
-            same = value[order][1:] == value[order][:-1]
-            again[1:] |= same
-            again[:-1] |= same
-            rows = order[again & ~known[order]]
+            rids, value, times = rids[order], value[order], times[order]
+            at = np.flatnonzero(np.diff(value, prepend=-1) != 0)
+            total = np.add.reduceat(times, at) if len(at) else at
+            often = value[at[total >= hot]]
+            rows = (np.repeat(total, np.diff(np.append(at, len(value)))) > 1) & (times == 1)
             rids, value = rids[rows], value[rows]
-        return pd.DataFrame(list(_packed(rids % parts, rids, value)), columns=["bucket", "rids", "values"])
+        out = [(p, _squeeze((rids[r], 5), (value[r], 5))) for p, r in _runs(rids % parts)]
+        if len(often):
+            out.append((-1, _squeeze((often, 5))))
+        return pd.DataFrame(out, columns=["bucket", "blob"])
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        rids = np.frombuffer(b"".join(frame["rids"]), np.int64)
-        value = np.frombuffer(b"".join(frame["values"]), np.uint64)
-        ids, where = np.unique(rids, return_inverse=True)
-        return pd.DataFrame([(int(ids[k]), v) for k, v in _packed(where, value)], columns=["rid", "minimizers"])
+        if int(frame["bucket"].iloc[0]) < 0:
+            (often,) = _spread_all(frame["blob"], 5)
+            return pd.DataFrame([(None, _squeeze((np.sort(often), 5)), True)], columns=["short", "minimizers", "hot"])
+        rids, value = _spread_all(frame["blob"], 5, 5)
+        order = np.lexsort((value, rids))
+        rids, value = rids[order], value[order]
+        return pd.DataFrame([(k, _squeeze((value[r], 5)), False) for k, r in _runs(rids)], columns=["short", "minimizers", "hot"])
 
-    sent = texts.mapInArrow(send, "part int, rids binary, values binary, known binary")
-    answers = sent.groupBy("part").applyInPandas(answer, "bucket int, rids binary, values binary")
-    return answers.groupBy("bucket").applyInPandas(gather, "rid long, minimizers binary")
+    sent = texts.mapInArrow(send, "part int, blob binary")
+    answers = sent.groupBy("part").applyInPandas(answer, "bucket int, blob binary")
+    return answers.groupBy("bucket").applyInPandas(gather, "short long, minimizers binary, hot boolean")
 
 
 def _gram_places(strings: list[bytes], values: np.ndarray, gram: int) -> np.ndarray:
-    """Where the minimizer stands in each string; -1 where it does so more than once."""
+    """Where the minimizer, given as its short hash, stands in each string; -1 where it does so more than once."""
     out, at = np.empty(len(strings), np.int64), 0
     while at < len(strings):
         stop, size = at, 0
@@ -172,7 +246,7 @@ def _gram_places(strings: list[bytes], values: np.ndarray, gram: int) -> np.ndar
         sizes = np.array([len(b) for b in part])
         starts = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(part)), sizes)
-        hashes = gram_hashes(np.frombuffer(b"".join(part), np.uint8), gram)
+        hashes = _short(gram_hashes(np.frombuffer(b"".join(part), np.uint8), gram)).view(np.int64)
         hit = np.flatnonzero(hashes == values[at:stop][owner[: len(hashes)]])
         hit = hit[hit + gram <= (starts + sizes)[owner[hit]]]
         place = np.full(len(part), -1)
@@ -182,26 +256,33 @@ def _gram_places(strings: list[bytes], values: np.ndarray, gram: int) -> np.ndar
     return out
 
 
-def _comparable(strings: list[bytes], places: list[int], width: int, gram: int) -> list[int]:
-    """The strings that may share a window with another one. All hold the same gram, and an equal window needs width - gram equal bytes around it, so at
-    least half of these on one side."""
+def _sides(body: bytes, place: int, width: int, gram: int) -> list[tuple[int, bytes]]:
+    """The bytes next to the gram at `place`, on either side. All strings of a minimizer hold the same gram, and an equal window needs width - gram equal bytes
+    around it, so at least half of these on one side: strings without a side in common share no window."""
     half = -(-(width - gram) // 2)
-    left, right = [b[q - half : q] if q >= half else None for b, q in zip(strings, places, strict=True)], [b[q + gram : q + gram + half] for b, q in zip(strings, places, strict=True)]
-    seen: dict[tuple[int, bytes], int] = {}
-    for side, keys in enumerate((left, right)):
-        for k in keys:
-            if k is not None and len(k) == half:
-                seen[side, k] = seen.get((side, k), 0) + 1
-    return [i for i in range(len(strings)) if seen.get((0, left[i]), 0) > 1 or seen.get((1, right[i]), 0) > 1]
+    out = [(0, body[place - half : place])] if place >= half else []
+    right = body[place + gram : place + gram + half]
+    return [*out, (1, right)] if len(right) == half else out
 
 
-def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, value: np.ndarray, bodies: list[bytes], width: int, gram: int, together: int = 150_000) -> list[tuple[int, int, int, int]]:
-    """(id, rid, first byte, byte after) of the windows that an equal window with a smaller id covers, of segments with the same minimizers.
+def _split(strings: list[bytes], places: list[int], width: int, gram: int, together: int) -> list[list[int]]:
+    """Groups of the strings that may share a window: all that have a side in common with another one, or, where these are more than `together` bytes, those of
+    each side on their own."""
+    seen: dict[tuple[int, bytes], list[int]] = {}
+    for i, (b, q) in enumerate(zip(strings, places, strict=True)):
+        for k in _sides(b, q, width, gram):
+            seen.setdefault(k, []).append(i)
+    shared = [own for own in seen.values() if len(own) > 1]
+    every = sorted({i for own in shared for i in own})
+    return shared if sum(len(strings[i]) for i in every) > together else [every] if every else []
 
-    Different strings of one minimizer go through suffix arrays, about `together` bytes at a time; the gram that they share counts as one symbol there."""
+
+def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, groups_of: np.ndarray, value: np.ndarray, bodies: list[bytes], width: int, gram: int, together: int = 150_000) -> list[tuple[int, int, int, int]]:
+    """(id, rid, first byte, byte after) of the windows that an equal window with a smaller id covers, of segments in groups with one minimizer (value) each.
+
+    Different strings of one group go through suffix arrays, about `together` bytes at a time; the gram that they share counts as one symbol there."""
     found, groups, at = [], [], []
-    order = np.argsort(value, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(order) else ():
+    for _, rows in _runs(groups_of):
         strings: dict[bytes, list[int]] = {}
         for r in rows.tolist():
             strings.setdefault(bodies[r], []).append(r)
@@ -213,8 +294,9 @@ def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, value: np.nd
                 least = min(int(ids[r]) for r in own)
                 found += [(int(ids[r]), int(rids[r]), int(starts[r]), int(starts[r]) + len(body)) for r in own if ids[r] > least]
     every = [b for g in groups for b in g]
-    places = _gram_places(every, np.repeat(np.array(at, np.uint64), [len(g) for g in groups]), gram) if every else None
+    places = _gram_places(every, np.repeat(np.array(at, np.int64), [len(g) for g in groups]), gram) if every else None
     texts: dict[int, list] = {1: [], gram: []}  # by the bytes that the gram's one symbol stands for
+    held = serial = done = 0
 
     def flush(short: int) -> None:
         rows, texts[short] = texts[short], []
@@ -234,20 +316,21 @@ def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, value: np.nd
                     for run in np.split(cut, np.flatnonzero(np.diff(cut) > 1) + 1):
                         found.append((int(ids[r]), int(rids[r]), int(starts[r] + run[0]), int(starts[r] + run[-1]) + width))
 
-    done, held = 0, 0
-    for g, strings in enumerate(groups):
+    for strings in groups:
         keys, where = list(strings), places[done : done + len(strings)].tolist()
         done += len(strings)
         short = gram if min(where) >= 0 else 1
-        for i in _comparable(keys, where, width, gram) if short > 1 else range(len(keys)):
-            b, q = keys[i], where[i]
-            # 0xff is in no UTF-8 text, so it can stand for the gram.
-            texts[short].append((b[:q] + b"\xff" + b[q + gram :] if short > 1 else b, g, strings[b]))
-            held += len(b)
-        if held >= together:
-            flush(1)
-            flush(gram)
-            held = 0
+        for own in _split(keys, where, width, gram, together) if short > 1 else [range(len(keys))]:
+            serial += 1
+            for i in own:
+                b, q = keys[i], where[i]
+                # 0xff is in no UTF-8 text, so it can stand for the gram.
+                texts[short].append((b[:q] + b"\xff" + b[q + gram :] if short > 1 else b, serial, strings[b]))
+                held += len(b)
+            if held >= together:
+                flush(1)
+                flush(gram)
+                held = 0
     flush(1)
     flush(gram)
     return found
@@ -280,61 +363,104 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
     copies = durable(rows.filter("copy").select(F.col("id").alias("copy_id"), F.col("rid").alias("copy_rid")).distinct(), "copies")
     source = docs.select(_order_id(key).alias("id"), rid.alias("rid"), body.alias("text")).filter(F.octet_length("text") >= width)
     source = source.join(broadcast_if_small(copies), (F.col("id") == F.col("copy_id")) & (F.col("rid") == F.col("copy_rid")), "left_anti")
-    shared = durable(shared_minimizers(source.select("rid", "text"), parts, width, gram), "shared-minimizers", release=True)
-    near = source.join(shared.withColumnRenamed("rid", "shared_rid"), F.col("rid") == F.col("shared_rid")).select("id", "rid", "text", "minimizers")
+    # A minimizer that very many texts have is met by its neighbourhood too: there are at most 50,000 such minimizers.
+    hot = max(HOT, int(total) // (width - gram) // 25_000)
+    shared = durable(shared_minimizers(source.select("rid", "text"), parts, hot, width, gram), "shared-minimizers")
+    often = shared.filter("hot").select("minimizers").first()
+    often = _spread(bytes(often[0]), 5)[0] if often else np.empty(0, np.int64)
+    shared = shared.filter("not hot").select("short", "minimizers")
+    near = _squeezed_texts(source).join(shared, F.shiftrightunsigned("rid", int(SHORT)) == F.col("short")).select("id", "rid", "body", "minimizers")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("rids", pa.binary()), ("starts", pa.binary()), ("values", pa.binary()), ("bodies", pa.list_(pa.binary()))])
-        for batch in byte_chunks(batches):
-            batch = batch.take(pa.array(np.argsort(batch.column("id").to_numpy(), kind="stable")))
-            ids, rids, texts = batch.column("id").to_numpy(), batch.column("rid").to_numpy(), _bytes(batch)
-            wanted = np.unique(np.frombuffer(b"".join(batch.column("minimizers").to_pylist()), np.uint64))
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        seen: dict[int, int] = {}
+        for batch, texts in _opened(batches):
+            order = np.argsort(batch.column("id").to_numpy(), kind="stable")
+            batch, texts = batch.take(pa.array(order)), [texts[k] for k in order.tolist()]
+            ids, rids = batch.column("id").to_numpy(), batch.column("rid").to_numpy()
+            wanted = np.unique(_spread_all(batch.column("minimizers").to_pylist(), 5)[0])
             of, first, last, value = segments(texts, width, gram)
+            value = _short(value).view(np.int64)
             mine = wanted[np.minimum(np.searchsorted(wanted, value), max(len(wanted) - 1, 0))] == value if len(wanted) else np.zeros(len(value), bool)
             of, first, last, value = of[mine], first[mine], last[mine], value[mine]
-            seen: dict[bytes, int] = {}
+            # A string that this task has sent for a smaller id needs no second trip: its bytes go.
             go, bodies, gone = [], [], []
             for k, (t, a, z) in enumerate(zip(of.tolist(), first.tolist(), last.tolist(), strict=True)):
                 b = texts[t][a : z + width]
-                if ids[seen.setdefault(b, t)] < ids[t]:
+                key = _digest(b)
+                least = seen.get(key)
+                if least is not None and least < ids[t]:
                     gone.append((t, a, z + width))
+                elif least is None or least > ids[t]:
+                    seen[key] = int(ids[t])
+                    go.append(k)
+                    bodies.append(b)
+                # An equal id is the same document or one that repeats its id: neither takes from the other, but both may lose.
                 else:
                     go.append(k)
                     bodies.append(b)
+            if len(seen) > SEEN:
+                seen.clear()
             g = np.array(gone, np.int64).reshape(-1, 3)
-            cut = (ids[g[:, 0]], rids[g[:, 0]], g[:, 1:])
-            rows = [(-1 - p, *x, b"", []) for p, *x in _packed(cut[1] % parts, *cut)]
+            rows = [(-1 - p, _squeeze((ids[g[r, 0]], 8), (rids[g[r, 0]], 8), (g[r, 1], 5), (g[r, 2], 5)), b"") for p, r in _runs(rids[g[:, 0]] % parts)]
             go = np.array(go, np.int64)
-            part = (value[go] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            for r in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
-                rows.append((int(part[r[0]]), ids[of[go[r]]].tobytes(), rids[of[go[r]]].tobytes(), first[go[r]].tobytes(), value[go[r]].tobytes(), [bodies[x] for x in r.tolist()]))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+            at, keys = np.arange(len(go)), value[go]
+            for k in np.flatnonzero(np.isin(value[go], often)).tolist():
+                more = _neighbours(bodies[k], int(value[go[k]]), width, gram)
+                at, keys = np.concatenate([at, np.full(len(more), k)]), np.concatenate([keys, more])
+            plain = ~np.isin(keys, often)
+            at, keys = at[plain], keys[plain]
+            for p, r in _runs(keys % parts):
+                own, body = go[at[r]], [bodies[x] for x in at[r].tolist()]
+                rows.append((p, _squeeze((ids[of[own]], 8), (rids[of[own]], 8), (first[own], 5), (keys[r], 8), (value[own], 5), (np.array(list(map(len, body))), 5)), press(b"".join(body))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "blob", "bodies"])
 
     def resolve(frame: pd.DataFrame) -> pd.DataFrame:
-        flat = lambda c, kind: np.frombuffer(b"".join(frame[c]), kind)
-        ids, rids = flat("ids", np.int64), flat("rids", np.int64)
+        import zstandard
+
         if int(frame["part"].iloc[0]) < 0:
-            spans = flat("starts", np.int64).reshape(-1, 2)
+            ids, rids, a, z = _spread_all(frame["blob"], 8, 8, 5, 5)
+            spans = np.stack([a, z], 1)
         else:
-            bodies = [bytes(b) for bs in frame["bodies"] for b in bs]
-            found = np.array(_resolve(ids, rids, flat("starts", np.int64), flat("values", np.uint64), bodies, width, gram), np.int64).reshape(-1, 4)
+            ids, rids, starts, keys, value, sizes = _spread_all(frame["blob"], 8, 8, 5, 8, 5, 5)
+            press, bodies, ends = zstandard.ZstdDecompressor().decompress, [], np.cumsum(sizes)
+            whole = b"".join(press(b) for b in frame["bodies"])
+            bodies = [whole[z - n : z] for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            found = np.array(_resolve(ids, rids, starts, keys, value, bodies, width, gram), np.int64).reshape(-1, 4)
             ids, rids, spans = found[:, 0], found[:, 1], found[:, 2:]
-        return pd.DataFrame(list(_packed(rids % parts, ids, rids, spans)), columns=["bucket", "ids", "rids", "spans"])
+        return pd.DataFrame([(p, _squeeze((ids[r], 8), (rids[r], 8), (spans[r, 0], 5), (spans[r, 1], 5))) for p, r in _runs(rids % parts)], columns=["bucket", "blob"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, rids = (np.frombuffer(b"".join(frame[c]), np.int64) for c in ("ids", "rids"))
-        spans = np.frombuffer(b"".join(frame["spans"]), np.int64).reshape(-1, 2)
+        ids, rids, a, z = _spread_all(frame["blob"], 8, 8, 5, 5)
+        spans = np.stack([a, z], 1)
         order = np.lexsort((rids, ids))
         ids, rids, spans = ids[order], rids[order], spans[order]
         new = np.flatnonzero((np.diff(ids) != 0) | (np.diff(rids) != 0)) + 1
         own = np.split(np.arange(len(ids)), new) if len(ids) else []
         return pd.DataFrame([(int(ids[r[0]]), int(rids[r[0]]), _merged(spans[r]).tobytes()) for r in own], columns=["id", "rid", "spans"])
 
-    sent = near.mapInArrow(send, "part int, ids binary, rids binary, starts binary, values binary, bodies array<binary>")
-    cut = sent.groupBy("part").applyInPandas(resolve, "bucket int, ids binary, rids binary, spans binary")
+    sent = near.mapInArrow(send, "part int, blob binary, bodies binary")
+    cut = sent.groupBy("part").applyInPandas(resolve, "bucket int, blob binary")
     spans = cut.groupBy("bucket").applyInPandas(join, "id long, rid long, spans binary")
-    return rows, durable(spans, "spans", release=True)
+    return rows, durable(spans, "spans")
+
+
+def _digest(body: bytes) -> int:
+    """128 bits: equal ones are taken for equal strings."""
+    import xxhash
+
+    return xxhash.xxh3_128_intdigest(body)
+
+
+def _neighbours(body: bytes, value: int, width: int, gram: int) -> np.ndarray:
+    """Keys to meet other strings of a hot minimizer by: one for each side of each place where it stands."""
+    import xxhash
+
+    hashes = _short(gram_hashes(np.frombuffer(body, np.uint8), gram)).view(np.int64)
+    keys = {xxhash.xxh64_intdigest(bytes([side]) + near, value) >> 1 for q in np.flatnonzero(hashes == value).tolist() for side, near in _sides(body, q, width, gram)}
+    return np.array(sorted(keys), np.int64)
 
 
 def _kept(body: bytes, spans: bytes) -> bytes:
@@ -356,12 +482,13 @@ def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "d
     source = docs.select(_order_id(key).alias("id"), F.xxhash64(body).alias("rid"), body.alias("text"))
     named = spans.withColumnsRenamed({"id": "cut_id", "rid": "cut_rid"})
     on = (F.col("id") == F.col("cut_id")) & (F.col("rid") == F.col("cut_rid"))
-    source = source.join(broadcast_if_small(named.select("cut_id", "cut_rid"), most=250_000), on, "left_semi").join(named, on).select("id", "rid", "text", "spans")
+    source = source.join(broadcast_if_small(named.select("cut_id", "cut_rid"), most=250_000), on, "left_semi")
+    source = _squeezed_texts(source).join(named, on).select("id", "rid", "body", "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_chunks(batches):
+        for batch, texts in _opened(batches):
             out = []
-            for b, s in zip(_bytes(batch), batch.column("spans").to_pylist(), strict=True):
+            for b, s in zip(texts, batch.column("spans").to_pylist(), strict=True):
                 kept = _kept(b, s)
                 out.append((len(b) - len(kept), len(s) // 16, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True))
