@@ -163,7 +163,8 @@ def test_repeats_of_hot_minimizers(spark, hot, monkeypatch):
 def test_large_groups_are_split():
     rng = random.Random(1)
     gram, width = b"0123456789abcdefghijklmn", 50
-    strings = [bytes(rng.choice(b"xy") for _ in range(rng.randint(0, 18))) + b"left"[: rng.randint(0, 4)] + gram + b"right" + bytes(rng.choice(b"uv") for _ in range(rng.randint(0, 18))) for _ in range(150)]
+    lefts, rights = ([bytes(rng.choice(a) for _ in range(22)) for _ in range(5)] for a in (b"xy", b"uv"))
+    strings = [rng.choice(lefts)[rng.randint(0, 10) :] + gram + rng.choice(rights)[: rng.randint(8, 22)] for _ in range(150)]
     strings = [b for b in strings if len(b) >= width]
     value = substring_dedup._short(substring_dedup.gram_hashes(np.frombuffer(gram, np.uint8))).view(np.int64)[0]
     n = len(strings)
