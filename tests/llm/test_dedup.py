@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,8 +58,97 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash_trie.near_duplicates(df).collect())
     assert got == brute_components(rows)
+
+
+def brute_similar(rows, similarity=0.8, k=5):
+    """Component of each row by links of an exact similarity between all pairs."""
+    def bag(t):
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        return Counter([tuple(w[i : i + k]) for i in range(len(w) - k + 1)] or ([tuple(w)] if w else []))
+
+    bags, root = [bag(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = sum((bags[i] & bags[j]).values())
+            if bags[i] == bags[j] or shared >= similarity * (sum(bags[i].values()) + sum(bags[j].values()) - shared):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def brute_keep_one(rows):
+    """The (id, text) that stay: of each component the smallest id, nulls last, then the text of the smallest hash; unordered texts of one id both count."""
+    groups = {}
+    for (k, t), c in zip(rows, brute_similar(rows), strict=True):
+        groups.setdefault(c, set()).add((k is None, k or 0, t or ""))
+    return [{(k, t) for none, k, t in g if (none, k) == min(g)[:2]} for g in groups.values()]
+
+
+def edited(n=240, seed=4):
+    """Texts with copies of which one to ten in a hundred words are others, and some in which far more are."""
+    rng, rows = random.Random(seed), []
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 400))
+    for i in range(n):
+        if rows and i % 3:
+            words = rng.choice(rows)[1].split()
+            share = rng.choice([0.005, 0.01, 0.02, 0.3])
+            words = [word() if rng.random() < share else w for w in words]
+        else:
+            words = [word() for _ in range(rng.randint(60, 300))]
+        rows.append((i * 7 + 1, " ".join(words)))
+    return rows
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rows = edited()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component"] for r in simhash_trie.similar(df).collect()}
+    want = dict(zip((k for k, _ in rows), brute_similar(rows), strict=True))
+    pairs = lambda of: {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
+    found, true = pairs(got), pairs(want)
+    assert found <= true and len(found) >= 0.95 * len(true) > 100
     kept = {r["doc_id"] for r in simhash_trie.keep_one(df).collect()}
-    assert kept == {c for _, _, c in got}
+    least = {}
+    for k, c in got.items():
+        least[c] = min(least.get(c, k), k)
+    assert kept == set(least.values())
+
+
+def test_keep_one_keeps_other_texts_of_an_id(spark):
+    texts = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abcde"}
+    rows = [(1, texts["a"], 0), (5, texts["a"], 1), (5, texts["b"], 2), (7, texts["c"], 3), (7, texts["d"], 4), (7, texts["d"], 5), (None, texts["b"], 6), (None, texts["e"], 7), (None, None, 8), (9, "", 9)]
+    kept = simhash_trie.keep_one(spark.createDataFrame(rows, "doc_id long, text string, rid int").repartition(4))
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got == sorted([(1, texts["a"]), (5, texts["b"]), (7, texts["c"]), (7, texts["d"]), (0, texts["e"]), (9, "")])
+    assert kept.columns == ["doc_id", "text", "rid"]
+
+
+def test_hot_prefixes_are_cut_further(spark, monkeypatch):
+    monkeypatch.setattr(simhash_trie, "SUBTREE", 8)
+    rng = random.Random(5)
+    base = [rng.getrandbits(40) for _ in range(120)]
+    fps = sorted({b ^ (1 << rng.randrange(64) if rng.random() < 0.3 else 0) ^ (1 << rng.randrange(40) if rng.random() < 0.5 else 0) for b in base for _ in range(3)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = spark.createDataFrame([(0, signed(f), 0, signed(f)) for f in fps], "trie int, fp long, n int, node long")
+    got = {r["node"]: r["root"] for r in graph.components(simhash_trie.trie_links(prints, 8, 64, 2, 8)).collect()}
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 2:
+                root[find(a)] = find(b)
+    same = lambda of: {frozenset(x for x in of if of[x] == r) for r in set(of.values())}
+    assert same({f: got.get(signed(f), signed(f)) for f in fps}) == same({f: find(f) for f in fps})
 
 
 def test_near_duplicates_edge_cases(edge, none):
@@ -66,8 +156,8 @@ def test_near_duplicates_edge_cases(edge, none):
     assert got == brute_components(CASES)
     kept = simhash_trie.keep_one(edge)
     assert kept.columns == edge.columns or set(kept.columns) == set(edge.columns)
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(2) == 1 and ids.count(None) == 1
+    got, want = {(r["doc_id"] or 0, r["text"] or "") for r in kept.collect()}, brute_keep_one(CASES)
+    assert kept.count() == len(want) == len(got) and all(len(got & g) == 1 for g in want)
     assert simhash_trie.near_duplicates(none).count() == 0 and simhash_trie.keep_one(none).count() == 0
 
 

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from tidelog.llm import toxicity
 
 from .test_classifiers import corpus
-from .test_dedup import brute_components
+from .test_dedup import brute_similar
 from .test_filters import brute_leaks, words
 from .test_tokens_and_packing import check_packing
 
@@ -63,8 +63,11 @@ def test_pipeline_equals_brute_force(spark, folder, vocabulary):
     model = toxicity.fitted(read("documents"), read("labels"))
     rows = [(k, t) for k, t in docs if model.score(t or "") < 0.5]
     assert 200 < len(rows) < len(docs)
-    kept = {c for k, _, c in brute_components(rows) if k == (c or -1) or k == c}
-    rows = [(k, t) for k, t in rows if k in kept or k == 0 and -1 in kept]
+    least = {}
+    for (k, _), c in zip(rows, groups := brute_similar(rows), strict=True):
+        least[c] = min(least.get(c, k), k)
+    assert len(least) < len(rows) - 15
+    rows = [(k, t) for (k, t), c in zip(rows, groups, strict=True) if least[c] == k]
     rows = cut_text([(k, t or "") for k, t in rows])
     leaks = {k for k, _ in brute_leaks(rows, items)}
     assert leaks

@@ -1,9 +1,12 @@
-"""SimHash near-duplicates: a self-join of a binary trie of the distinct fingerprints, then connected components.
+"""SimHash near-duplicates: a self-join of a binary trie of fingerprints, then connected components.
 
-Equal fingerprints collapse before anything is joined. The trie's top levels are cut off as subtrees, and pairs of subtrees whose prefixes differ
-in no more bits than the budget travel together; within a pair, node pairs are walked bit by bit with the differing bits added up, and
-dropped when they exceed the budget. A fingerprint meets a bounded number of others, however large its cluster, and of the links found in
-a pair of subtrees only a spanning forest leaves the task.
+Equal fingerprints collapse before anything is joined. The trie's top levels are cut off as subtrees, a subtree with very many fingerprints
+further down, and pairs of subtrees whose prefixes differ in no more bits than the budget travel together; within a pair, node pairs are walked bit by
+bit with the differing bits added up, and dropped when they exceed the budget. A fingerprint meets a bounded number of others,
+however large its cluster, and of the links found in a pair of subtrees only a spanning forest leaves the task.
+
+near_duplicates() links fingerprints by their distance alone. similar() links texts by an exact similarity: a fingerprint of TRIES runs of WIDTH bits gives as many
+tries, each with a small budget, and what any of them proposes is verified.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
@@ -22,6 +25,8 @@ from .common import broadcast_if_small, byte_chunks, durable, texts_of
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a subtree, about; the cut moves down as their number grows.
 SUBTREE = 8192
+#: similar(): words in a shingle, least similarity, tries, bits of each and the budget there, fingerprints in a subtree, most of all the bits that may differ.
+WORDS, SIMILARITY, TRIES, WIDTH, BUDGET, WIDE_SUBTREE, APART = 5, 0.8, 24, 32, 2, 262_144, 160
 #: Node pairs walked at once.
 FRONT = 1 << 19
 
@@ -65,15 +70,21 @@ class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
 
-    def link(self, u: np.ndarray, v: np.ndarray) -> None:
-        up = self.up
+    def link(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The given pairs that joined two trees."""
+        up, parts = self.up, []
         while len(u):
-            u, v = up[u], up[v]
-            apart = u != v
-            u, v = u[apart], v[apart]
-            np.minimum.at(up, np.maximum(u, v), np.minimum(u, v))
+            a, b = up[u], up[v]
+            apart = a != b
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(up, high, low)
+            made = np.flatnonzero(up[high] == low)
+            made = made[np.unique(high[made], return_index=True)[1]]
+            parts.append((u[made], v[made]))
             while (higher := up[up] != up).any():
                 up[higher] = up[up[higher]]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (u, v)
 
 
 def walk(a: np.ndarray, b: np.ndarray, low: int, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,37 +129,61 @@ def walk(a: np.ndarray, b: np.ndarray, low: int, budget: int, same: bool) -> Ite
             stack.append((depth - 1, nxt))
 
 
-def trie_links(distinct: DataFrame, radius: int = RADIUS, subtree: int = SUBTREE) -> DataFrame:
-    """(u, v) over the distinct fingerprints (fp): links that connect the same fingerprints as all pairs within the radius do."""
-    n = distinct.count()
-    top = min(16, max(2, (max(n, 1) // subtree).bit_length()))
-    masks = [sum(1 << b for b in bits) for k in range(min(radius, top) + 1) for bits in combinations(range(top), k)]
-    prefix = F.shiftrightunsigned("fp", 64 - top)
-    nodes = durable(distinct.groupBy(prefix.cast("int").alias("prefix")).agg(F.sort_array(F.collect_list("fp")).alias("fps")), "subtrees")
-    left = nodes.select("prefix", "fps", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    right = nodes.select(F.col("prefix").alias("other"), F.col("fps").alias("others"))
+def trie_links(prints: DataFrame, n: int, bits: int = 64, radius: int = RADIUS, subtree: int = SUBTREE) -> DataFrame:
+    """(u, v): pairs of nodes that connect the same nodes as all pairs of one trie within the radius do. prints: (trie, fp, n, node) rows of distinct
+    nodes in each trie, `n` of them in each, fp holding `bits` low bits. Nodes that share a fingerprint are linked in the order of their column n."""
+    top = min(24, max(2, (max(n, 1) // subtree).bit_length()))
+    masks = [sum(1 << b for b in own) for k in range(min(radius, top) + 1) for own in combinations(range(top), k)]
+    low = bits - top
+    prefix = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << top) - 1).cast("long")).cast("int")
+    rows = prints.withColumn("prefix", prefix)
+    # Prefixes with far more than their share are cut further down, by `deep` bits.
+    heavy = rows.groupBy("trie", "prefix").count().filter(F.col("count") > 2 * subtree).select("trie", "prefix", F.least(F.length(F.bin(F.floor(F.col("count") / subtree))) + 1, F.lit(min(16, low))).alias("deep"))
+    rows = rows.join(broadcast_if_small(durable(heavy, "heavy-prefixes")), ["trie", "prefix"], "left").withColumn("deep", F.coalesce("deep", F.lit(0)))
+    sub = F.call_function("shiftrightunsigned", F.col("fp"), (F.lit(low) - F.col("deep"))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("deep")) - 1)
+    nodes = rows.withColumn("sub", F.when(F.col("deep") > 0, sub).otherwise(0).cast("int")).groupBy("trie", "prefix", "deep", "sub")
+    nodes = durable(nodes.agg(F.sort_array(F.collect_list(F.struct("fp", "n", "node"))).alias("own")).select("trie", "prefix", "deep", "sub", F.col("own.fp").alias("fps"), F.col("own.node").alias("ids")), "subtrees")
+    left = nodes.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    right = nodes.select(*[F.col(c).alias(f"{c}_r") for c in nodes.columns])
     left = left.withColumn("other", F.col("prefix").bitwiseXOR(F.col("mask"))).filter("prefix <= other")
-    pairs = left.join(right, "other").select(F.bit_count("mask").alias("used"), "fps", "others", (F.col("mask") == 0).alias("same"))
-    pairs = pairs.repartition(max(12, min(4096, (len(masks) << top) // 32)), F.xxhash64(F.col("fps")[0], F.col("others")[0]))
+    common = F.least("deep", "deep_r")
+    cut = lambda s, d: F.call_function("shiftrightunsigned", F.col(s), F.col(d) - common)
+    used = F.bit_count("mask") + F.bit_count(cut("sub", "deep").bitwiseXOR(cut("sub_r", "deep_r")))
+    same = (F.col("mask") == 0) & (F.col("sub") == F.col("sub_r"))
+    pairs = left.join(right, (F.col("trie") == F.col("trie_r")) & (F.col("other") == F.col("prefix_r"))).filter((used <= radius) & ((F.col("mask") != 0) | (F.col("sub") <= F.col("sub_r"))))
+    pairs = pairs.select(F.bit_count("mask").alias("used"), "fps", "ids", "fps_r", "ids_r", same.alias("same"))
+    pairs = pairs.repartition(max(12, min(4096, (len(masks) << top) // 32)), F.xxhash64(F.col("ids")[0], F.col("ids_r")[0], F.col("fps")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one = lambda name, k=k: np.sort(batch.column(name)[k].values.to_numpy().view(np.uint64))  # noqa: B023, E731
+                one = lambda name, k=k: batch.column(name)[k].values.to_numpy()  # noqa: B023, E731
                 same = batch.column("same")[k].as_py()
-                a = one("fps")
-                b = a if same else one("others")
-                both = a if same else np.concatenate([a, b])
-                forest, shift = Forest(len(both)), 0 if same else len(a)
-                for i, j in walk(a, b, 64 - top, radius - batch.column("used")[k].as_py(), same):
-                    forest.link(i, j + shift)
-                child = np.flatnonzero(forest.up != np.arange(len(both)))
-                if len(child):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[child].view(np.int64)), pa.array(both[forest.up[child]].view(np.int64))], names=["u", "v"])
+                sides = [_distinct(one("fps"), one("ids"))]
+                sides += [] if same else [_distinct(one("fps_r"), one("ids_r"))]
+                ids = np.concatenate([s[1] for s in sides])
+                found = [(s[2], s[3]) for s in sides] if same else []
+                forest, shift = Forest(len(ids)), 0 if same else len(sides[0][0])
+                for i, j in walk(sides[0][0], sides[-1][0], low, radius - batch.column("used")[k].as_py(), same):
+                    i, j = forest.link(i, j + shift)
+                    found.append((ids[i], ids[j]))
+                u, v = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (ids[:0], ids[:0])
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long")
 
 
+def _distinct(fps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distinct fingerprints in order, a node of each, chains of the nodes that share one)."""
+    order = np.argsort(fps.view(np.uint64), kind="stable")
+    fps, ids = fps.view(np.uint64)[order], ids[order]
+    new = np.ones(len(fps), bool)
+    new[1:] = fps[1:] != fps[:-1]
+    again = np.flatnonzero(~new)
+    return fps[new], ids[new], ids[again - 1], ids[again]
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: component_id is the smallest doc_id that links reach, itself included.
 
@@ -157,7 +192,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     prints = durable(fingerprints(docs, shingle, key, text), "fingerprints")
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = graph.components(durable(trie_links(distinct.select("fp"), radius), "links"))
+    links = trie_links(distinct.select(F.lit(0).alias("trie"), "fp", F.lit(0).alias("n"), F.col("fp").alias("node")), distinct.count(), 64, radius, SUBTREE)
+    roots = graph.components(durable(links, "links"))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = durable(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -165,12 +201,161 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(broadcast_if_small(classes), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each component: that of its component_id; of rows that repeat this id, one. Rows with null keys stay."""
-    found = durable(near_duplicates(docs, **how), "near-duplicates")
-    key = how.get("key", "doc_id")
-    copies = durable(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
-    kept = docs.join(broadcast_if_small(copies), key, "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head(1):
-        kept = kept.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.filter(F.col(key).isNull()))
-    return kept
+def _wide(text: str) -> tuple[int, int, bytes]:
+    """(hash of the words in order, number of shingles, fingerprint of TRIES * WIDTH bits over the shingles)."""
+    from xxhash import xxh64_intdigest as xx
+
+    words = text.encode().translate(_LOWER).split()
+    body = b" ".join(words)
+    if len(words) <= WORDS:
+        hashes = np.array([xx(body, SEED)] if words else [], np.uint64)
+    else:
+        hashes = _shingles(words, body)
+    bits = TRIES * WIDTH
+    if not len(hashes):
+        return xx(body, SEED + 1), 0, bytes(bits // 8)
+    lanes = np.empty((len(hashes), bits // 8), np.int64)
+    for k in range(bits // 64):
+        mixed = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(29)
+        lanes[:, 8 * k : 8 * k + 8] = mixed.astype("<u8").view(np.uint8).reshape(-1, 8)
+    lanes += np.arange(bits // 8) * 256
+    counts = np.bincount(lanes.ravel(), minlength=32 * bits).reshape(bits // 8, 256) @ _BITS
+    return xx(body, SEED + 1), len(hashes), np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").tobytes()
+
+
+def _shingles(words: list[bytes], body: bytes) -> np.ndarray:
+    from xxhash import xxh64_intdigest as xx
+
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-WORDS]]).tolist()
+    return np.array([xx(body[a:b], SEED) for a, b in zip(starts, (ends[WORDS - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two multisets, sorted."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(n[i], m[j]).sum())
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, rid, component) of each row: rows are in one component if links of at least the similarity lead from one to the other.
+
+    Similarity is the exact Jaccard similarity of the multisets of WORDS-word shingles (fewer words: the whole sequence; none: like all texts of no words), rid a
+    hash of the text. Texts of equal words are one node; candidates come from the tries, which propose a pair at similarity 0.8 with a probability of about
+    0.95, at 0.85 of 0.995. They are verified nearest first, those of parts already connected not at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_chunks(batches):
+            found = [_wide(x) for x in texts_of(batch)]
+            cols = list(zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rid"), pa.array(map(_signed, cols[0]), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["doc_id", "rid", "node", "n", "print"])
+
+    source = docs.select(F.col(key).cast("long").alias("key"), _rid(text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = durable(source.mapInArrow(run, "doc_id long, rid long, node long, n int, print binary"), "wide-prints")
+    nodes = durable(rows.groupBy("node").agg(F.min("n").alias("n"), F.min("print").alias("print"), F.min("rid").alias("rid")), "nodes")
+    hex_ = F.hex("print")
+    each = [F.conv(F.substring(hex_, k * WIDTH // 4 + 1, WIDTH // 4), 16, 10).cast("long") for k in range(TRIES)]
+    nodes = nodes.withColumn("tries", F.array(*each))
+    prints = nodes.filter("n > 0").select("node", "n", F.posexplode("tries").alias("trie", "fp"))
+    links = trie_links(prints, nodes.count(), WIDTH, BUDGET, WIDE_SUBTREE)
+    links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tries").alias(f"tries_{c}"))
+    whole = links.join(side("u"), "u").join(side("v"), "v")
+    differ = F.aggregate(F.zip_with("tries_u", "tries_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    near = whole.filter(F.least("n_u", "n_v") >= F.lit(similarity) * F.greatest("n_u", "n_v") - 1e-9).select("u", "v", differ.alias("apart")).filter(F.col("apart") <= APART)
+    near = durable(near, "near")
+    linked, roots = _verified(near, source, nodes, similarity)
+    classes = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return rows.select("doc_id", "rid", "node").join(classes, "node").select("doc_id", "rid", "component")
+
+
+def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(links, roots): the proposed links (u, v, apart) that hold, as far as they are needed, and the components they make."""
+    spark = near.sparkSession
+    linked = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "node long, root long")
+    for turn in range(rounds + 1):
+        if not near.head(1):
+            break
+        chosen = near.select("u", "v")
+        if turn < rounds:  # each node's nearest; in the last round all that are left
+            both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "apart"))
+            best = both.groupBy("u").agg(F.min_by("v", F.struct("apart", "v")).alias("v"))
+            chosen = best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        chosen = durable(chosen, "chosen")
+        linked = durable(linked.unionByName(_holding(chosen, source, nodes, similarity)), "linked")
+        roots = durable(graph.components(linked), "roots")
+        if turn == rounds:
+            break
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: E731, B023
+        near = near.join(chosen, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        near = durable(near.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "apart"), "near")
+    return linked, roots
+
+
+def _holding(pairs: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts have the similarity, by their shingles."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xx
+
+        for batch in byte_chunks(batches):
+            out = []
+            for t in texts_of(batch):
+                words = t.encode().translate(_LOWER).split()
+                body = b" ".join(words)
+                hashes = _shingles(words, body) if len(words) > WORDS else np.array([xx(body, SEED)], np.uint64)
+                out.append(np.sort(hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "shingles"])
+
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    one = durable(ends.join(nodes.select("node", "rid"), "node"), "verify")  # a text for each node, of all rows that have its words
+    texts = source.join(broadcast_if_small(one.withColumnRenamed("rid", "of")), F.col("rid") == F.col("of")).select("node", "text").dropDuplicates(["node"])
+    sets = durable(texts.mapInArrow(shingled, "node long, shingles binary"), "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def wide(raw: bytes) -> np.ndarray:
+            out = np.zeros((len(raw) // 5, 8), np.uint8)
+            out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+            return out.view("<u8").ravel()
+
+        for batch in batches:
+            ok = [_overlap(wide(a), wide(b)) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(hold, "u long, v long")
+
+
+def _rid(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component of similar(): that with the smallest key (null: after all others), then the smallest hash of its text. Rows that
+    repeat an id with another text are rows of their own; of rows equal in id and text one stays. All columns stay as they are."""
+    found = durable(similar(docs, similarity, key, text), "similar")
+    last = (1 << 63) - 1
+    order = F.struct(F.coalesce("doc_id", F.lit(last)).alias("k"), F.col("doc_id").isNull().alias("none"), "rid")
+    least = found.groupBy("component").agg(F.min(order).alias("w"), F.count("*").alias("rows_")).filter("rows_ > 1")
+    least = durable(least.select("component", F.when(~F.col("w.none"), F.col("w.k")).alias("w_key"), F.col("w.rid").alias("w_rid")), "winners")
+    losers = found.join(least, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("w_key")) & (F.col("rid") == F.col("w_rid"))))
+    losers = durable(losers.select(F.col("doc_id").alias("__key"), F.col("rid").alias("__rid")).distinct(), "losers")
+    twice = durable(found.groupBy("doc_id", "rid").count().filter("count > 1").select(F.col("doc_id").alias("__key"), F.col("rid").alias("__rid")), "repeated")
+    on = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (_rid(text) == F.col("__rid"))
+    kept = docs.join(broadcast_if_small(losers), on, "left_anti")
+    if not twice.head(1):
+        return kept
+    again = kept.join(broadcast_if_small(twice), on, "left_semi").withColumn("__rid", _rid(text)).dropDuplicates([key, "__rid"]).drop("__rid")
+    return kept.join(broadcast_if_small(twice), on, "left_anti").unionByName(again)

@@ -27,7 +27,7 @@ from .common import broadcast_if_small, byte_chunks, durable
 from .suffix_array import window_classes
 
 WIDTH, GRAM = 50, 24
-#: Bytes of text for each range of minimizers; a range meets in one task.
+#: Bytes of text for each range of minimizers, which meets in one task; where there is little text, down to a 32nd of that.
 RANGE_BYTES = 16 << 20
 #: Texts, at least, that make a minimizer hot; and the strings of which a task remembers that it has sent them.
 HOT, SEEN = 2_000, 1_000_000
@@ -257,17 +257,21 @@ def _gram_places(strings: list[bytes], values: np.ndarray, gram: int) -> np.ndar
 
 
 def _sides(body: bytes, place: int, width: int, gram: int) -> list[tuple[int, bytes]]:
-    """The bytes next to the gram at `place`, on either side. All strings of a minimizer hold the same gram, and an equal window needs width - gram equal bytes
-    around it, so at least half of these on one side: strings without a side in common share no window."""
-    half = -(-(width - gram) // 2)
-    out = [(0, body[place - half : place])] if place >= half else []
-    right = body[place + gram : place + gram + half]
-    return [*out, (1, right)] if len(right) == half else out
+    """Keys of the bytes around the gram at `place`. All strings of a minimizer hold the same gram, and an equal window needs width - gram equal bytes around it:
+    `l` to the left and the rest to the right. For l in each quarter, both strings have the quarter's least l on the left and its least rest on the right in
+    common, so strings without a key in common share no window."""
+    around, out = width - gram, []
+    cuts = [around * k // 4 for k in range(4)] + [around + 1]
+    for k, (l, nxt) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        r = around - nxt + 1
+        if place >= l and len(body) >= place + gram + r:
+            out.append((k, body[place - l : place] + body[place + gram : place + gram + r]))
+    return out
 
 
 def _split(strings: list[bytes], places: list[int], width: int, gram: int, together: int) -> list[list[int]]:
-    """Groups of the strings that may share a window: all that have a side in common with another one, or, where these are more than `together` bytes, those of
-    each side on their own."""
+    """Groups of the strings that may share a window: all that have a key in common with another one, or, where these are more than `together` bytes, those of
+    each key on their own."""
     seen: dict[tuple[int, bytes], list[int]] = {}
     for i, (b, q) in enumerate(zip(strings, places, strict=True)):
         for k in _sides(b, q, width, gram):
@@ -358,7 +362,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
     rows = rows.join(broadcast_if_small(durable(least, "repeated-texts"), most=100_000), "sha256", "left")
     rows = durable(rows.withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False))).drop("least"), "texts")
     total = rows.filter("not copy").agg(F.sum("n_bytes")).first()[0] or 0
-    parts = max(1, -(-int(total) // RANGE_BYTES))
+    parts = max(1, -(-int(total) // RANGE_BYTES), min(96, int(total) // (RANGE_BYTES // 32)))
 
     copies = durable(rows.filter("copy").select(F.col("id").alias("copy_id"), F.col("rid").alias("copy_rid")).distinct(), "copies")
     source = docs.select(_order_id(key).alias("id"), rid.alias("rid"), body.alias("text")).filter(F.octet_length("text") >= width)
@@ -455,7 +459,7 @@ def _digest(body: bytes) -> int:
 
 
 def _neighbours(body: bytes, value: int, width: int, gram: int) -> np.ndarray:
-    """Keys to meet other strings of a hot minimizer by: one for each side of each place where it stands."""
+    """Keys to meet other strings of a hot minimizer by: some for each place where it stands."""
     import xxhash
 
     hashes = _short(gram_hashes(np.frombuffer(body, np.uint8), gram)).view(np.int64)
