@@ -97,6 +97,26 @@ def test_packing(edge, vocabulary, exact):
     assert len({r["sequence_id"] for r in packing.pack_documents(edge, vocabulary).collect()}) == -(-total // 2048)
 
 
+def test_every_capacity_binds(spark, small, vocabulary):
+    from tidelog.llm import queries
+
+    rows = queries.op10_best_fit_packing(spark, small).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r["length"])
+    cap = packing.ATTENTION * 2048**2
+    assert all(sum(x) <= 2048 and len(x) <= packing.DOCUMENTS and (len(x) == 1 or sum(n * n for n in x) <= cap) for x in by.values())
+    assert len(by) <= 1.05 * sum(map(sum, by.values())) / 2048 + 1
+    words = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(300)] + [(1000 + i, "long word " * 900) for i in range(5)], "doc_id long, text string")
+    for max_docs, attention, bound in ((64, 0.98, 64), (10, 0.98, 10), (64, 0.5, 64)):
+        own = {}
+        for r in packing.pack_documents(words, vocabulary, max_docs=max_docs, attention=attention).collect():
+            own.setdefault(r["sequence_id"], []).append(r["length"])
+        assert max(map(len, own.values())) == bound  # the documents are small enough to fill any number of places
+        assert all(len(x) == 1 or sum(n * n for n in x) <= attention * 2048**2 for x in own.values())
+        assert any(len(x) == 1 and x[0] ** 2 > attention * 2048**2 for x in own.values()) == (attention == 0.5)
+
+
 def test_packing_keeps_ids(edge, vocabulary, exact):
     rows = packing.pack_documents(edge.filter("doc_id = 11"), vocabulary, keep_ids=True).collect()
     assert rows[0]["ids"] == exact(CASES[6][1]) + [0]

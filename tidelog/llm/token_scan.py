@@ -67,12 +67,12 @@ def read_flat(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens:
     return files.select(F.col("path").alias("stream"), block, "content").select("stream", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, block * {most} + 1, {most})").alias("data"))
 
 
-def _scan_block(data: bytes, dtype: str, eod: int) -> tuple[int, int, int | None, int | None, list[int]]:
+def _scan_block(data: bytes, dtype: str, eod: int) -> tuple[int, int, int | None, int | None, list[int], list[int]]:
     ids = np.frombuffer(data, dtype)
     ends = np.flatnonzero(ids == eod)
     if not len(ends):
-        return len(ids), 0, None, None, []
-    return len(ids), len(ends), int(ends[0]), int(ends[-1]), (np.diff(ends) - 1).tolist()
+        return len(ids), 0, None, None, [], []
+    return len(ids), len(ends), int(ends[0]), int(ends[-1]), (ends[:-1] + 1).tolist(), (np.diff(ends) - 1).tolist()
 
 
 def _before(df: DataFrame, value: str, how, name: str) -> DataFrame:
@@ -100,31 +100,24 @@ def scan_blocks(blocks: DataFrame, eod: int = EOD, dtype: str = "<u2") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_scan_block(x or b"", dtype, eod) for x in batch.column("data").to_pylist()]
-            cols = list(zip(*found, strict=True)) or [[]] * 5
+            cols = list(zip(*found, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column("stream"), batch.column("block"), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))],
-                names=["stream", "block", "n", "n_ends", "first_end", "last_end", "inner_lengths"],
+                [batch.column("stream"), batch.column("block"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[4:])],
+                names=["stream", "block", "n", "n_ends", "first_end", "last_end", "starts", "lengths"],
             )
 
     kind = dict(blocks.dtypes)["stream"]
     seen = blocks.select("stream", F.col("block").cast("long").alias("block"), "data").mapInArrow(
-        run, f"stream {kind}, block long, n long, n_ends long, first_end long, last_end long, inner_lengths array<bigint>"
+        run, f"stream {kind}, block long, n long, n_ends long, first_end long, last_end long, starts array<bigint>, lengths array<bigint>"
     )
     seen = durable(seen, "token-blocks").withColumn("span", F.expr(f"block div {SPAN}"))
     seen = _before(_before(seen, "n", F.sum, "base"), "n_ends", F.sum, "ends_before")
     seen = _before(seen.withColumn("last_abs", F.col("base") + F.col("last_end")), "last_abs", F.max, "end_before")
     start = F.coalesce(F.col("end_before"), F.lit(-1)) + 1
     first = F.col("base") + F.col("first_end") - start
-    lengths = F.when(F.col("n_ends") > 0, F.concat(F.array(first), F.col("inner_lengths")))
-    closed = seen.select("stream", "ends_before", start.alias("start0"), F.posexplode(lengths).alias("i", "n_tokens"), "base", "first_end", "inner_lengths").select(
-        "stream",
-        (F.col("ends_before") + F.col("i")).alias("ordinal"),
-        F.when(F.col("i") == 0, F.col("start0"))
-        .otherwise(F.col("base") + F.col("first_end") + 1 + F.aggregate(F.slice("inner_lengths", F.lit(1), F.col("i") - 1), F.lit(0).cast("long"), lambda a, x: a + x + 1))
-        .alias("start"),
-        "n_tokens",
-        F.lit(True).alias("closed"),
-    )
+    rest = F.zip_with("starts", "lengths", lambda s, n: F.struct((F.col("base") + s).alias("start"), n.alias("n_tokens")))
+    own = F.when(F.col("n_ends") > 0, F.concat(F.array(F.struct(start.alias("start"), first.alias("n_tokens"))), rest))
+    closed = seen.select("stream", "ends_before", F.posexplode(own).alias("i", "d")).select("stream", (F.col("ends_before") + F.col("i")).alias("ordinal"), "d.start", "d.n_tokens", F.lit(True).alias("closed"))
     whole = seen.groupBy("stream").agg(F.sum("n").alias("n"), F.sum("n_ends").alias("ordinal"), (F.coalesce(F.max("last_abs"), F.lit(-1)) + 1).alias("start"))
     rest = whole.filter("n > start").select("stream", "ordinal", "start", (F.col("n") - F.col("start")).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionByName(rest)
