@@ -43,6 +43,11 @@ def test_shards(spark):
     assert again == {r["doc_id"]: r["shard"] for r in rows}
 
 
+def test_shards_do_not_depend_on_the_width_of_the_key(spark):
+    at = lambda kind: {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard(spark.range(100).select(F.col("id").cast(kind).alias("doc_id"), F.lit("t").alias("text"))).collect()}
+    assert at("int") == at("long") == at("tinyint")
+
+
 def test_shard_edge_cases(edge, none):
     rows = sharding.shard(edge).collect()
     assert len(rows) == len(CASES) and len({r["shard"] for r in rows if r["doc_id"] == 2}) == 1
@@ -187,3 +192,14 @@ def test_media(edge, none):
     same = {(r["media_sha256"], r["feature"]) for r in rows if r["doc_id"] in (3, 5)}
     assert len(same) == 1
     assert media.read(media.store(none)).count() == 0
+
+
+def test_media_columns_are_stored_and_read_back(spark, edge, tmp_path):
+    media.store(edge).write.parquet(str(tmp_path / "media"))
+    files = spark.read.parquet(str(tmp_path / "media"))
+    media.read(files, keep=True).write.parquet(str(tmp_path / "rgb"))
+    want = {r["doc_id"]: r for r in media.read(media.store(edge.filter("doc_id <> 2"))).collect()}
+    for r in spark.read.parquet(str(tmp_path / "rgb")).filter("doc_id <> 2").collect():
+        tensor = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
+        assert media.feature(tensor) == r["feature"] == want[r["doc_id"]]["feature"]
+        assert hashlib.sha256(r["payload"]).hexdigest() == r["payload_sha256"] == want[r["doc_id"]]["payload_sha256"]

@@ -29,7 +29,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def jump_shard(key: Column, shards: int) -> Column:
-    """jump() over the 64-bit hash of any column; a null key has a hash like any other value."""
+    """jump() over the 64-bit hash of any column, cast integers to long first (shard() does); a null key has a hash like any other value."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
 
@@ -40,6 +40,11 @@ def jump_shard(key: Column, shards: int) -> Column:
     return place(F.xxhash64(key))
 
 
+def _stable(docs: DataFrame, key: str) -> Column:
+    """The key as the type that its hash is taken of, so that a row's shard doesn't depend on the width of its column."""
+    return F.col(key).cast("long") if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else F.col(key)
+
+
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", bucket_rows: int = 100_000) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for each row of docs.
 
@@ -55,8 +60,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_shard(F.col(key), shards).alias("shard"),
-        jump_shard(F.col(key), shards + 1).alias("grown_shard"),
+        jump_shard(_stable(docs, key), shards).alias("shard"),
+        jump_shard(_stable(docs, key), shards + 1).alias("grown_shard"),
         F.monotonically_increasing_id().alias("place"),
     )
     rows = durable(rows, "shards")
