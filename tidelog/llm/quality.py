@@ -27,6 +27,8 @@ TOKENS = WORDS + FORMS
 #: Ranges of the table that partitions are summed by.
 RANGES = 16
 REMEMBERED = 400_000
+#: Words of a text that are looked at together; longer texts are taken in slices.
+TOGETHER = 50_000
 HIDDEN = 24
 
 _RUN = re.compile(r"(.)\1+")
@@ -45,7 +47,7 @@ class Tokens(dict):
         from xxhash import xxh64_intdigest as xx
 
         body = "".join(filter(str.isalnum, word)).lower()
-        value = (xx(body.encode(), 1) % WORDS) * FORMS + xx(form_of(word[:4096]).encode() + b"%d" % (len(word) // 4096), 2) % FORMS
+        value = (xx(body.encode(), 1) % WORDS) * FORMS + xx(form_of(word).encode(), 2) % FORMS
         if len(word) < 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -80,19 +82,29 @@ def dense_index() -> np.ndarray:
 def add_contexts(total: np.ndarray, texts: list[str]) -> None:
     """Adds, for each token, the index vectors of the tokens of the words before and after it."""
     places, signs = index_vectors()
-    pairs_w, pairs_c = [], []
+    pairs_w, pairs_c, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal held
+        if pairs_w:
+            w, c = np.concatenate(pairs_w), np.concatenate(pairs_c)
+            for k in range(NONZERO):
+                np.add(total, np.bincount(w * DIM + places[c, k], weights=signs[c, k], minlength=TOKENS * DIM), out=total)
+        pairs_w.clear()
+        pairs_c.clear()
+        held = 0
+
     for text in texts:
-        w, f = token_ids(text)
-        if len(w) < 2:
-            continue
-        for centre, beside in ((w, w), (w, f), (f, w), (f, f)):
-            pairs_w += [centre[:-1], centre[1:]]
-            pairs_c += [beside[1:], beside[:-1]]
-    if not pairs_w:
-        return
-    w, c = np.concatenate(pairs_w), np.concatenate(pairs_c)
-    for k in range(NONZERO):
-        total += np.bincount(w * DIM + places[c, k], weights=signs[c, k], minlength=TOKENS * DIM)
+        every = token_ids(text)
+        for at in range(0, len(every[0]) - 1, TOGETHER):
+            w, f = (x[at : at + TOGETHER + 1] for x in every)
+            for centre, beside in ((w, w), (w, f), (f, w), (f, f)):
+                pairs_w += [centre[:-1], centre[1:]]
+                pairs_c += [beside[1:], beside[:-1]]
+            held += len(w)
+            if held >= 4 * TOGETHER:
+                flush()
+    flush()
 
 
 def context_table(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -132,9 +144,10 @@ def pooled(text: str, contexts: np.ndarray) -> np.ndarray:
     if not len(w):
         return np.zeros(2 * DIM + 5)
     index = dense_index()
-    w_mean, f_mean = contexts[w].mean(0), contexts[f].mean(0)
+    mean = lambda table, ids: table[ids].mean(0) if len(ids) <= TOGETHER else np.bincount(ids, minlength=TOKENS) @ table / len(ids)
+    w_mean, f_mean = mean(contexts, w), mean(contexts, f)
     same = float((w[1:] == w[:-1]).mean()) if len(w) > 1 else 0.0
-    extra = [np.linalg.norm(index[w].mean(0)), np.linalg.norm(index[f].mean(0)), same, np.log1p(len(w)) / 8, len(set(w.tolist())) / len(w)]
+    extra = [np.linalg.norm(mean(index, w)), np.linalg.norm(mean(index, f)), same, np.log1p(len(w)) / 8, len(set(w.tolist())) / len(w)]
     return np.concatenate([w_mean, f_mean, extra])
 
 

@@ -81,6 +81,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def windows(body: str) -> list[str]:
+    """A word is one window; a longer run is cut into windows that overlap by half, so that a shorter word on a cut is whole in one of them."""
+    return [body] if len(body) <= WIDEST else [body[i : i + WIDEST] for i in range(0, len(body) - WIDEST // 2, WIDEST // 2)]
+
+
 class Lengths:
     """The cell of a window: its two compressed lengths."""
 
@@ -107,7 +112,7 @@ class Words(dict):
     def __missing__(self, word: str) -> float:
         body = word.strip(STRIP)
         if len(word) > WIDEST:
-            return sum(self.ratios[self.cell(body[i : i + WIDEST])] for i in range(0, len(body), WIDEST))
+            return sum(self.ratios[self.cell(w)] for w in windows(body))
         if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = self.ratios[self.cell(body)]
@@ -152,7 +157,7 @@ def fit(texts: list[str], labels: list[int], toxic_share: float, widen: int = 12
 
     def counted(ts: list[str]) -> np.ndarray:
         out = np.zeros(CELLS * CELLS)
-        for w, n in Counter(w[:WIDEST] for t in ts for w in words(t)).items():
+        for w, n in Counter(x for t in ts for w in words(t) for x in windows(w)).items():
             if w not in cells:
                 cells[w] = lengths.cell(w)
             out[cells[w]] += n
