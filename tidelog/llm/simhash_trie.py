@@ -26,13 +26,23 @@ SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a subtree, about; the cut moves down as their number grows.
 SUBTREE = 8192
 #: similar(): words in a shingle, least similarity, tries, bits of each and the budget there, fingerprints in a subtree, most of all the bits that may differ.
-WORDS, SIMILARITY, TRIES, WIDTH, BUDGET, WIDE_SUBTREE, APART = 5, 0.8, 24, 32, 2, 262_144, 160
+WORDS, SIMILARITY, TRIES, WIDTH, BUDGET, WIDE_SUBTREE, APART = 5, 0.8, 24, 32, 2, 131_072, 160
 #: Node pairs walked at once.
-FRONT = 1 << 19
+FRONT = 1 << 16
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_LANES = (np.arange(8) * 256).astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+_KEYS = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bit_counts(rows: np.ndarray, most: int = 1 << 14) -> np.ndarray:
+    """How many rows of bytes have each bit, by counts of the values of each byte; `most` rows at a time."""
+    width = rows.shape[1]
+    lanes, values = np.arange(width, dtype=np.int32) * 256, np.zeros(width * 256, np.int64)
+    for at in range(0, len(rows), most):
+        values += np.bincount((rows[at : at + most] + lanes).ravel(), minlength=width * 256)
+    return values.reshape(width, 256) @ _BITS
+
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -48,8 +58,7 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-shingle]]).tolist()
     hashes = np.array([xx(body[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    lanes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _LANES
-    counts = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    counts = _bit_counts(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8))
     return int.from_bytes(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").tobytes(), "little")
 
 
@@ -129,7 +138,7 @@ def walk(a: np.ndarray, b: np.ndarray, low: int, budget: int, same: bool) -> Ite
             stack.append((depth - 1, nxt))
 
 
-def trie_links(prints: DataFrame, n: int, bits: int = 64, radius: int = RADIUS, subtree: int = SUBTREE) -> DataFrame:
+def trie_links(prints: DataFrame, n: int, bits: int = 64, radius: int = RADIUS, subtree: int = SUBTREE, tries: int = 1) -> DataFrame:
     """(u, v): pairs of nodes that connect the same nodes as all pairs of one trie within the radius do. prints: (trie, fp, n, node) rows of distinct
     nodes in each trie, `n` of them in each, fp holding `bits` low bits. Nodes that share a fingerprint are linked in the order of their column n."""
     top = min(24, max(2, (max(n, 1) // subtree).bit_length()))
@@ -152,7 +161,7 @@ def trie_links(prints: DataFrame, n: int, bits: int = 64, radius: int = RADIUS,
     same = (F.col("mask") == 0) & (F.col("sub") == F.col("sub_r"))
     pairs = left.join(right, (F.col("trie") == F.col("trie_r")) & (F.col("other") == F.col("prefix_r"))).filter((used <= radius) & ((F.col("mask") != 0) | (F.col("sub") <= F.col("sub_r"))))
     pairs = pairs.select(F.bit_count("mask").alias("used"), "fps", "ids", "fps_r", "ids_r", same.alias("same"))
-    pairs = pairs.repartition(max(12, min(4096, (len(masks) << top) // 32)), F.xxhash64(F.col("ids")[0], F.col("ids_r")[0], F.col("fps")[0]))
+    pairs = pairs.repartition(max(12, min(4096, (len(masks) * tries << top) * subtree >> 19)), F.xxhash64(F.col("ids")[0], F.col("ids_r")[0], F.col("fps")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,15 +223,11 @@ def _wide(text: str) -> tuple[int, int, bytes]:
     bits = TRIES * WIDTH
     if not len(hashes):
         return xx(body, SEED + 1), 0, bytes(bits // 8)
-    lanes = np.empty((len(hashes), bits // 8), np.int64)
-    for k in range(bits // 64):
-        mixed = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(29)
-        lanes[:, 8 * k : 8 * k + 8] = mixed.astype("<u8").view(np.uint8).reshape(-1, 8)
-    lanes += np.arange(bits // 8) * 256
-    counts = np.bincount(lanes.ravel(), minlength=32 * bits).reshape(bits // 8, 256) @ _BITS
+    mixed = (hashes[:, None] + _KEYS[: bits // 64]) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(29)
+    counts = _bit_counts(mixed.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), bits // 8))
     return xx(body, SEED + 1), len(hashes), np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").tobytes()
 
 
@@ -268,7 +273,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
     each = [F.conv(F.substring(hex_, k * WIDTH // 4 + 1, WIDTH // 4), 16, 10).cast("long") for k in range(TRIES)]
     nodes = nodes.withColumn("tries", F.array(*each))
     prints = nodes.filter("n > 0").select("node", "n", F.posexplode("tries").alias("trie", "fp"))
-    links = trie_links(prints, nodes.count(), WIDTH, BUDGET, WIDE_SUBTREE)
+    links = trie_links(prints, nodes.count(), WIDTH, BUDGET, WIDE_SUBTREE, TRIES)
     links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tries").alias(f"tries_{c}"))
     whole = links.join(side("u"), "u").join(side("v"), "v")
