@@ -134,7 +134,7 @@ def test_hot_prefixes_are_cut_further(spark, monkeypatch):
     base = [rng.getrandbits(40) for _ in range(120)]
     fps = sorted({b ^ (1 << rng.randrange(64) if rng.random() < 0.3 else 0) ^ (1 << rng.randrange(40) if rng.random() < 0.5 else 0) for b in base for _ in range(3)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    prints = spark.createDataFrame([(0, signed(f), 0, signed(f)) for f in fps], "trie int, fp long, n int, node long")
+    prints = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     got = {r["node"]: r["root"] for r in graph.components(simhash_trie.trie_links(prints, 8, 64, 2, 8)).collect()}
     root = {f: f for f in fps}
 

@@ -31,6 +31,17 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def give_back() -> None:
+    """Returns memory that was freed to the system: a Python worker outlives its task, and what it keeps is lacking in the next one."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: inside a lambda function an expression would be computed again for each element."""
     return F.transform(F.array(value), body)[0]

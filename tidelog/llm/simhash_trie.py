@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import broadcast_if_small, byte_chunks, durable, texts_of
+from .common import broadcast_if_small, byte_chunks, durable, give_back, texts_of
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints in a subtree, about; the cut moves down as their number grows.
 SUBTREE = 8192
-#: similar(): words in a shingle, least similarity, tries, bits of each and the budget there, fingerprints in a subtree, most of all the bits that may differ.
-WORDS, SIMILARITY, TRIES, WIDTH, BUDGET, WIDE_SUBTREE, APART = 5, 0.8, 24, 32, 2, 131_072, 160
+#: similar(): words in a shingle, least similarity, tries, bits of each and the budget there, fingerprints in a subtree, most of all the bits that may differ,
+#: spanning forests of candidates.
+WORDS, SIMILARITY, TRIES, WIDTH, BUDGET, WIDE_SUBTREE, APART, FORESTS = 5, 0.8, 24, 32, 2, 131_072, 160, 4
 #: Node pairs walked at once.
 FRONT = 1 << 16
 
@@ -69,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", t
         for batch in byte_chunks(batches):
             found = np.array([fingerprint(x, shingle) for x in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found)], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -79,21 +81,21 @@ class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
 
-    def link(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The given pairs that joined two trees."""
-        up, parts = self.up, []
-        while len(u):
-            a, b = up[u], up[v]
+    def link(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Which of the pairs joined two trees."""
+        up, joined = self.up, np.zeros(len(u), bool)
+        at = np.arange(len(u))
+        while len(at):
+            a, b = up[u[at]], up[v[at]]
             apart = a != b
-            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            at, a, b = at[apart], a[apart], b[apart]
             high, low = np.maximum(a, b), np.minimum(a, b)
             np.minimum.at(up, high, low)
             made = np.flatnonzero(up[high] == low)
-            made = made[np.unique(high[made], return_index=True)[1]]
-            parts.append((u[made], v[made]))
+            joined[at[made[np.unique(high[made], return_index=True)[1]]]] = True
             while (higher := up[up] != up).any():
                 up[higher] = up[up[higher]]
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (u, v)
+        return joined
 
 
 def walk(a: np.ndarray, b: np.ndarray, low: int, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -138,20 +140,75 @@ def walk(a: np.ndarray, b: np.ndarray, low: int, budget: int, same: bool) -> Ite
             stack.append((depth - 1, nxt))
 
 
-def trie_links(prints: DataFrame, n: int, bits: int = 64, radius: int = RADIUS, subtree: int = SUBTREE, tries: int = 1) -> DataFrame:
-    """(u, v): pairs of nodes that connect the same nodes as all pairs of one trie within the radius do. prints: (trie, fp, n, node) rows of distinct
-    nodes in each trie, `n` of them in each, fp holding `bits` low bits. Nodes that share a fingerprint are linked in the order of their column n."""
+def _entry(tries: int) -> np.dtype:
+    """What travels of a fingerprint: 64 bits that are their own node, or WIDTH bits with a node and its number of shingles."""
+    return np.dtype([("fp", "<u8")] if tries == 1 else [("fp", "<u4"), ("n", "<i4"), ("node", "<i8")])
+
+
+def _cut(fp: np.ndarray, low: int, deep: np.ndarray) -> np.ndarray:
+    """The `deep` bits below the prefix."""
+    deep = deep.astype(np.uint64)
+    return (fp.astype(np.uint64) >> (np.uint64(low) - deep)) & ((np.uint64(1) << deep) - np.uint64(1))
+
+
+def _fps(batch: pa.RecordBatch, tries: int) -> np.ndarray:
+    """Fingerprints of the rows, a column for each trie."""
+    if tries == 1:
+        return batch.column("fp").to_numpy().view("<u8")[:, None]
+    return np.frombuffer(b"".join(batch.column("print").to_pylist()), "<u4").reshape(batch.num_rows, tries)
+
+
+def _crowded(prints: DataFrame, low: int, tries: int, most: int) -> DataFrame:
+    """(trie, prefix, n) of the prefixes, the bits above the `low` ones, that more than `most` rows have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = _fps(batch, tries)
+            for t in range(tries):
+                prefix, n = np.unique(fps[:, t] >> fps.dtype.type(low), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array(prefix.astype(np.int32)), pa.array(n)], names=["trie", "prefix", "n"])
+
+    return prints.mapInArrow(count, "trie int, prefix int, n long").groupBy("trie", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+
+
+def _subtrees(prints: DataFrame, low: int, tries: int, heavy: dict[tuple[int, int], int]) -> DataFrame:
+    """(trie, prefix, deep, sub, blobs): packed entries of each subtree, a blob for each batch of rows that has some."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, fps, rows = np.zeros(batch.num_rows, _entry(tries)), _fps(batch, tries), []
+            if tries > 1:
+                own["n"], own["node"] = batch.column("n").to_numpy(), batch.column("node").to_numpy()
+            for t in range(tries):
+                own["fp"] = fps[:, t]
+                prefix = (fps[:, t] >> fps.dtype.type(low)).astype(np.int64)
+                deep = np.zeros(len(own), np.int64)
+                for (trie, p), d in heavy.items():
+                    if trie == t:
+                        deep[prefix == p] = d
+                sub = np.where(deep > 0, _cut(fps[:, t], low, deep).astype(np.int64), 0)
+                order = np.lexsort((sub, prefix))
+                new = np.flatnonzero((np.diff(prefix[order]) != 0) | (np.diff(sub[order]) != 0)) + 1
+                rows += [(t, int(prefix[r[0]]), int(deep[r[0]]), int(sub[r[0]]), own[r].tobytes()) for r in np.split(order, new) if len(r)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["trie", "prefix", "deep", "sub", "blob"])
+
+    packed = prints.mapInArrow(pack, "trie int, prefix int, deep int, sub int, blob binary")
+    return packed.groupBy("trie", "prefix", "deep", "sub").agg(F.collect_list("blob").alias("blobs"))
+
+
+def trie_links(prints: DataFrame, n: int, bits: int = 64, radius: int = RADIUS, subtree: int = SUBTREE, tries: int = 1, forests: int = 1) -> DataFrame:
+    """(u, v): pairs of nodes that connect the same nodes as all pairs of one trie within the radius do; with more `forests`, also when some of them are
+    taken away: so many spanning forests of each pair of subtrees, none with a pair of another, which for up to that many nodes and one are all pairs.
+
+    prints: distinct (fp), 64 bits that are nodes themselves; or, for `tries` of `bits` bits, (node, n, print), print holding a run of bits for each. `n`
+    rows in all. Nodes that share a fingerprint are linked in the order of their column n."""
     top = min(24, max(2, (max(n, 1) // subtree).bit_length()))
     masks = [sum(1 << b for b in own) for k in range(min(radius, top) + 1) for own in combinations(range(top), k)]
     low = bits - top
-    prefix = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << top) - 1).cast("long")).cast("int")
-    rows = prints.withColumn("prefix", prefix)
-    # Prefixes with far more than their share are cut further down, by `deep` bits.
-    heavy = rows.groupBy("trie", "prefix").count().filter(F.col("count") > 2 * subtree).select("trie", "prefix", F.least(F.length(F.bin(F.floor(F.col("count") / subtree))) + 1, F.lit(min(16, low))).alias("deep"))
-    rows = rows.join(broadcast_if_small(durable(heavy, "heavy-prefixes")), ["trie", "prefix"], "left").withColumn("deep", F.coalesce("deep", F.lit(0)))
-    sub = F.call_function("shiftrightunsigned", F.col("fp"), (F.lit(low) - F.col("deep"))).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("deep")) - 1)
-    nodes = rows.withColumn("sub", F.when(F.col("deep") > 0, sub).otherwise(0).cast("int")).groupBy("trie", "prefix", "deep", "sub")
-    nodes = durable(nodes.agg(F.sort_array(F.collect_list(F.struct("fp", "n", "node"))).alias("own")).select("trie", "prefix", "deep", "sub", F.col("own.fp").alias("fps"), F.col("own.node").alias("ids")), "subtrees")
+    # Prefixes with far more than their share are cut further down: there are at most n / subtree of them in a trie.
+    heavy = {(r["trie"], r["prefix"]): min(16, low, (r["n"] // subtree).bit_length() + 1) for r in _crowded(prints, low, tries, 2 * subtree).collect()}
+    nodes = durable(_subtrees(prints, low, tries, heavy), "subtrees")
     left = nodes.select("*", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
     right = nodes.select(*[F.col(c).alias(f"{c}_r") for c in nodes.columns])
     left = left.withColumn("other", F.col("prefix").bitwiseXOR(F.col("mask"))).filter("prefix <= other")
@@ -160,33 +217,38 @@ def trie_links(prints: DataFrame, n: int, bits: int = 64, radius: int = RADIUS,
     used = F.bit_count("mask") + F.bit_count(cut("sub", "deep").bitwiseXOR(cut("sub_r", "deep_r")))
     same = (F.col("mask") == 0) & (F.col("sub") == F.col("sub_r"))
     pairs = left.join(right, (F.col("trie") == F.col("trie_r")) & (F.col("other") == F.col("prefix_r"))).filter((used <= radius) & ((F.col("mask") != 0) | (F.col("sub") <= F.col("sub_r"))))
-    pairs = pairs.select(F.bit_count("mask").alias("used"), "fps", "ids", "fps_r", "ids_r", same.alias("same"))
-    pairs = pairs.repartition(max(12, min(4096, (len(masks) * tries << top) * subtree >> 19)), F.xxhash64(F.col("ids")[0], F.col("ids_r")[0], F.col("fps")[0]))
+    pairs = pairs.select("trie", "prefix", "sub", "prefix_r", "sub_r", F.bit_count("mask").alias("used"), "blobs", F.when(~same, F.col("blobs_r")).alias("blobs_r"), same.alias("same"))
+    pairs = pairs.repartition(max(12, min(4096, (len(masks) * tries << top) * subtree >> 19)), "trie", "prefix", "sub", "prefix_r", "sub_r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one = lambda name, k=k: batch.column(name)[k].values.to_numpy()  # noqa: B023, E731
+                one = lambda name, k=k: _distinct(np.frombuffer(b"".join(batch.column(name)[k].as_py()), _entry(tries)))  # noqa: B023, E731
                 same = batch.column("same")[k].as_py()
-                sides = [_distinct(one("fps"), one("ids"))]
-                sides += [] if same else [_distinct(one("fps_r"), one("ids_r"))]
+                sides = [one("blobs")] if same else [one("blobs"), one("blobs_r")]
                 ids = np.concatenate([s[1] for s in sides])
                 found = [(s[2], s[3]) for s in sides] if same else []
-                forest, shift = Forest(len(ids)), 0 if same else len(sides[0][0])
+                shift, woods = 0 if same else len(sides[0][0]), [Forest(len(ids)) for _ in range(forests)]
                 for i, j in walk(sides[0][0], sides[-1][0], low, radius - batch.column("used")[k].as_py(), same):
-                    i, j = forest.link(i, j + shift)
-                    found.append((ids[i], ids[j]))
+                    j = j + shift
+                    for forest in woods:  # what one leaves goes to the next
+                        joined = forest.link(i, j)
+                        found.append((ids[i[joined]], ids[j[joined]]))
+                        i, j = i[~joined], j[~joined]
                 u, v = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (ids[:0], ids[:0])
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        give_back()
 
     return pairs.mapInArrow(run, "u long, v long")
 
 
-def _distinct(fps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+def _distinct(entries: np.ndarray) -> tuple[np.ndarray, ...]:
     """(distinct fingerprints in order, a node of each, chains of the nodes that share one)."""
-    order = np.argsort(fps.view(np.uint64), kind="stable")
-    fps, ids = fps.view(np.uint64)[order], ids[order]
+    fps = entries["fp"].astype(np.uint64)
+    ids, n = (entries["node"], entries["n"]) if "node" in entries.dtype.names else (fps.view(np.int64), np.zeros(len(fps), np.int8))
+    order = np.lexsort((ids, n, fps))
+    fps, ids = fps[order], np.ascontiguousarray(ids[order])
     new = np.ones(len(fps), bool)
     new[1:] = fps[1:] != fps[:-1]
     again = np.flatnonzero(~new)
@@ -201,7 +263,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     prints = durable(fingerprints(docs, shingle, key, text), "fingerprints")
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    links = trie_links(distinct.select(F.lit(0).alias("trie"), "fp", F.lit(0).alias("n"), F.col("fp").alias("node")), distinct.count(), 64, radius, SUBTREE)
+    links = trie_links(distinct.select("fp"), distinct.count(), 64, radius, SUBTREE)
     roots = graph.components(durable(links, "links"))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = durable(rooted, "rooted")
@@ -265,20 +327,23 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
             found = [_wide(x) for x in texts_of(batch)]
             cols = list(zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rid"), pa.array(map(_signed, cols[0]), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["doc_id", "rid", "node", "n", "print"])
+        give_back()
 
     source = docs.select(F.col(key).cast("long").alias("key"), _rid(text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = durable(source.mapInArrow(run, "doc_id long, rid long, node long, n int, print binary"), "wide-prints")
     nodes = durable(rows.groupBy("node").agg(F.min("n").alias("n"), F.min("print").alias("print"), F.min("rid").alias("rid")), "nodes")
-    hex_ = F.hex("print")
-    each = [F.conv(F.substring(hex_, k * WIDTH // 4 + 1, WIDTH // 4), 16, 10).cast("long") for k in range(TRIES)]
-    nodes = nodes.withColumn("tries", F.array(*each))
-    prints = nodes.filter("n > 0").select("node", "n", F.posexplode("tries").alias("trie", "fp"))
-    links = trie_links(prints, nodes.count(), WIDTH, BUDGET, WIDE_SUBTREE, TRIES)
+    links = trie_links(nodes.filter("n > 0").select("node", "n", "print"), nodes.count(), WIDTH, BUDGET, WIDE_SUBTREE, TRIES, FORESTS)
     links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("tries").alias(f"tries_{c}"))
-    whole = links.join(side("u"), "u").join(side("v"), "v")
-    differ = F.aggregate(F.zip_with("tries_u", "tries_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    near = whole.filter(F.least("n_u", "n_v") >= F.lit(similarity) * F.greatest("n_u", "n_v") - 1e-9).select("u", "v", differ.alias("apart")).filter(F.col("apart") <= APART)
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("print").alias(f"print_{c}"))
+    whole = links.join(side("u"), "u").join(side("v"), "v").filter(F.least("n_u", "n_v") >= F.lit(similarity) * F.greatest("n_u", "n_v") - 1e-9)
+
+    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("print_u", "print_v"))
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(apart)], names=["u", "v", "apart"]).filter(pa.array(apart <= APART))
+
+    near = whole.select("u", "v", "print_u", "print_v").mapInArrow(distance, "u long, v long, apart int")
     near = durable(near, "near")
     linked, roots = _verified(near, source, nodes, similarity)
     classes = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import samples
-from .common import byte_chunks, texts_of
+from .common import byte_chunks, give_back, texts_of
 
 STRIP = ".,!?;:\"'()[]{}…«»„“”"
 WIDEST = 64
@@ -67,6 +67,7 @@ class Model:
         """Frees the words seen; a worker may live on to do other work."""
         if self.toxic:
             self.words().clear()
+        give_back()
 
     def features(self, text: str) -> tuple[float, float, float]:
         tokens = text.lower().split()
