@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import byte_chunks, durable, texts_of
+from .common import byte_chunks, durable, give_back, texts_of
 
 #: Remainders that one task packs; bins never cross groups, which costs at most one part-filled bin or so in each.
 GROUP = 16_384
@@ -83,6 +83,7 @@ def pieces(docs: DataFrame, vocabulary: dict, capacity: int = 2048, end: int = 0
             if keep_ids:
                 arrays, names = [*arrays, pa.array(bodies, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids

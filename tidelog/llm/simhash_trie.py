@@ -350,7 +350,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
     return rows.select("doc_id", "rid", "node").join(classes, "node").select("doc_id", "rid", "component")
 
 
-def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(links, roots): the proposed links (u, v, apart) that hold, as far as they are needed, and the components they make."""
     spark = near.sparkSession
     linked = spark.createDataFrame([], "u long, v long")

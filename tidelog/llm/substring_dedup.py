@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, byte_chunks, durable
+from .common import broadcast_if_small, byte_chunks, durable, give_back
 from .suffix_array import window_classes
 
 WIDTH, GRAM = 50, 24
@@ -201,6 +201,7 @@ def shared_minimizers(texts: DataFrame, parts: int, hot: int, width: int, gram:
             here, mine = rids[text[lead]], value[lead]
             rows += [(p, _squeeze((here[r], 5), (mine[r], 5), (np.minimum(times[r], 0xFFFFFF), 3))) for p, r in _runs((mine % np.uint64(parts)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
+        give_back()
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         if int(frame["part"].iloc[0]) < 0:
@@ -420,6 +421,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
                 own, body = go[at[r]], [bodies[x] for x in at[r].tolist()]
                 rows.append((p, _squeeze((ids[of[own]], 8), (rids[of[own]], 8), (first[own], 5), (keys[r], 8), (value[own], 5), (np.array(list(map(len, body))), 5)), press(b"".join(body))))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "blob", "bodies"])
+        give_back()
 
     def resolve(frame: pd.DataFrame) -> pd.DataFrame:
         import zstandard
@@ -434,6 +436,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, key: s
             bodies = [whole[z - n : z] for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             found = np.array(_resolve(ids, rids, starts, keys, value, bodies, width, gram), np.int64).reshape(-1, 4)
             ids, rids, spans = found[:, 0], found[:, 1], found[:, 2:]
+            del whole, bodies
+            give_back()
         return pd.DataFrame([(p, _squeeze((ids[r], 8), (rids[r], 8), (spans[r, 0], 5), (spans[r, 1], 5))) for p, r in _runs(rids % parts)], columns=["bucket", "blob"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
