@@ -92,11 +92,107 @@ def crc32c_of(raw: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
+def crc32c_many(values: list[bytes]) -> list[int]:
+    """CRCs of many values at once: each step takes one byte of every value that is long enough, longest first."""
+    import numpy as np
+
+    table = np.array(_CRC32C, np.uint32)
+    sizes = np.array([len(v) for v in values], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    data, starts = np.frombuffer(b"".join(values[i] for i in order), np.uint8), np.cumsum(sizes[order]) - sizes[order]
+    crc, live = np.full(len(values), 0xFFFFFFFF, np.uint32), len(values)
+    for at in range(int(sizes.max(initial=0))):
+        while live and sizes[order[live - 1]] <= at:
+            live -= 1
+        crc[:live] = crc[:live] >> np.uint32(8) ^ table[(crc[:live] ^ data[starts[:live] + at]) & np.uint32(255)]
+    out = np.empty(len(values), np.int64)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out.tolist()
+
+
+#: What stored checksums are rotated and shifted by; a fixed value.
+MASK = 0xA282EAD8
+
+
+def masked(crc: Column) -> Column:
+    """A CRC as it is stored beside data that may itself hold CRCs."""
+    rotated = F.shiftrightunsigned(crc, 15).bitwiseOR(F.shiftleft(crc.bitwiseAND(F.lit((1 << 15) - 1)), 17))
+    return (rotated + MASK) % (1 << 32)
+
+
+def unmasked(stored: Column) -> Column:
+    rotated = F.pmod(stored - MASK, F.lit(1 << 32))
+    return F.shiftrightunsigned(rotated, 17).bitwiseOR(F.shiftleft(rotated.bitwiseAND(F.lit((1 << 17) - 1)), 15))
+
+
 def crc32c(raw: Column) -> Column:
     """Castagnoli CRC of a binary column; Spark's own crc32 has another polynomial."""
 
     @F.pandas_udf("long")
     def of(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else crc32c_of(bytes(v)))
+        some = [i for i, v in enumerate(x) if v is not None]
+        out = pd.Series([None] * len(x), dtype="Int64")
+        if some:
+            out.iloc[some] = crc32c_many([bytes(x.iloc[i]) for i in some])
+        return out
+
+    return of(raw)
+
+
+def varint(number: Column) -> Column:
+    """The bytes of a non-negative integer, seven bits each from the lowest, all but the last with the top bit set; as hexadecimal digits."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.call_function("shiftrightunsigned", number, i * 7))
+    used = F.filter(parts, lambda p, i: (i == 0) | (p > 0))
+    return F.array_join(F.transform(used, lambda p: F.lpad(F.hex(F.when(p >= 128, p.bitwiseAND(F.lit(127).cast("long")) + 128).otherwise(p)), 2, "0")), "")
+
+
+def packed_seq(seq: Column, kind: Column) -> Column:
+    """The eight bytes that follow a key inside a file: sequence number and type in one long."""
+    return F.shiftleft(seq, 8).bitwiseOR(kind.cast("long"))
+
+
+def unpacked_seq(packed: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(packed, 8), packed.bitwiseAND(F.lit(255).cast("long"))
+
+
+CODECS = ("none", "zlib", "bzip2", "zstd", "snappy", "lz4")
+
+
+def _codec(name: str, forward: bool):
+    import bz2
+    import zlib
+
+    import pyarrow as pa
+
+    if name == "none":
+        return bytes
+    if name == "zlib":
+        return zlib.compress if forward else zlib.decompress
+    if name == "bzip2":
+        return bz2.compress if forward else bz2.decompress
+    if name not in CODECS:
+        raise ValueError(f"no codec named {name!r}")
+    codec = pa.Codec({"lz4": "lz4_raw"}.get(name, name))
+    if forward:
+        return lambda raw: len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
+    return lambda raw: codec.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
+def compressed(raw: Column, codec: str) -> Column:
+    _codec(codec, True)
+
+    @F.pandas_udf("binary")
+    def of(x: pd.Series) -> pd.Series:
+        run = _codec(codec, True)
+        return x.map(lambda v: None if v is None else run(bytes(v)))
+
+    return of(raw)
+
+
+def decompressed(raw: Column, codec: str) -> Column:
+    @F.pandas_udf("binary")
+    def of(x: pd.Series) -> pd.Series:
+        run = _codec(codec, False)
+        return x.map(lambda v: None if v is None else run(bytes(v)))
 
     return of(raw)

@@ -107,6 +107,15 @@ def spatial_locality(trace: DataFrame, keys_in_block: int) -> DataFrame:
     return used.groupBy(share.alias("pct_keys")).agg(F.count("*").alias("n_blocks"))
 
 
+def key_references(trace: DataFrame, keys_in_block: int, by: Sequence[str] = ("block_type",)) -> DataFrame:
+    """(by.., n_blocks, n_refs, avg_keys, most, avg_share): how the reads of blocks spread over their keys: distinct keys referred to, the most references of one key, and the
+    share of a block's keys that are referred to at all."""
+    refs = trace.groupBy(*by, "block_key", "referenced_key").agg(F.count("*").alias("n"))
+    blocks = refs.groupBy(*by, "block_key").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_refs"), F.max("n").alias("most"))
+    share = F.least(F.col("n_keys") / keys_in_block, F.lit(1.0))
+    return blocks.groupBy(*by).agg(F.count("*").alias("n_blocks"), F.sum("n_refs").alias("n_refs"), F.round(F.avg("n_keys"), 6).alias("avg_keys"), F.max("most").alias("most"), F.round(F.avg(share), 6).alias("avg_share"))
+
+
 def reuse_features(trace: DataFrame, horizon: int) -> DataFrame:
     """Accesses with the numbers of earlier accesses of their block within the horizon, and the time to the next: what predictors are fitted on."""
     near = past().rangeBetween(-horizon, -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Values of at least so many bytes are shared by content; shorter ones are stored with their keys.
 THRESHOLD = 64
@@ -81,3 +82,23 @@ def drain(batch: DataFrame, key: str = "user_key", value: str = "value", seq: st
 def use_inline(batch_bytes: Column, capacity: int, share: float = 0.8) -> Column:
     """The elastic mode: inline once a batch fills `share` of its memory, offline before."""
     return batch_bytes / capacity >= share
+
+
+def apply_changes(changes: DataFrame) -> DataFrame:
+    """(fp, refcount, first_location, location) after changes (fp, seq, change, location) to a content index, in order: 'insert' counts one and sets a location where there is none,
+    'inc' and 'dec' count, never below 0, 'retarget' sets the location, 'evict' forgets all before it."""
+    w = Window.partitionBy("fp")
+    rows = changes.withColumn("cut", F.coalesce(F.max(F.when(F.col("change") == "evict", F.col("seq"))).over(w), F.lit(-1))).filter(F.col("seq") > F.col("cut"))
+    step = F.when(F.col("change").isin("insert", "inc"), 1).when(F.col("change") == "dec", -1).otherwise(0)
+    upto = w.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum_", F.sum(step).over(upto))
+    return rows.groupBy("fp").agg(
+        (F.max_by("sum_", "seq") - F.least(F.min("sum_"), F.lit(0))).alias("refcount"),
+        F.min_by("location", F.when(F.col("change") == "insert", F.col("seq"))).alias("first_location"),
+        F.coalesce(F.max_by("location", F.when(F.col("change") == "retarget", F.col("seq"))), F.min_by("location", F.when(F.col("change") == "insert", F.col("seq")))).alias("location"),
+    )
+
+
+def victims(index: DataFrame, k: int) -> DataFrame:
+    """The k entries whose stamps are oldest; ties by fingerprint."""
+    return index.orderBy("stamp", "fp").limit(k)

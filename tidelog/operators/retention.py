@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import DELETE_RANGE, DELETES, ENTITY, MERGE, PUT
+from ..tables import numbered
 from . import merge as merges
 from . import ranges
 from .resolve import folded
@@ -154,14 +155,20 @@ def drop_history_below(log: DataFrame, low: int) -> DataFrame:
     return log.withColumn("b_", below).filter(F.col("udt").isNull() | (F.col("udt") >= low) | ((F.col("udt") == F.col("b_.udt")) & (F.col("seq") == F.col("b_.seq")))).drop("b_")
 
 
-def deletion_windows(log: DataFrame, size: int = 128, deletes: int = 50, ratio: float = 0.0, by: Sequence[str] = ("cf",)) -> DataFrame:
-    """(by.., compact): whether some `size` entries in a row, rounded up to a multiple of 128, hold enough deletes, or the whole has the ratio."""
+def deletion_windows(log: DataFrame, size: int = 128, deletes: int = 50, ratio: float = 0.0, by: Sequence[str] = ("cf",), chunk: int = 1_000_000) -> DataFrame:
+    """(by.., compact): whether some `size` entries in a row, rounded up to a multiple of 128, hold enough deletes, or the whole has the ratio.
+
+    Entries are numbered in key order and looked at in chunks, each with the size - 1 entries before it, so a family is not one task."""
     size = -(-size // 128) * 128
-    w = Window.partitionBy(*by).orderBy("user_key", F.col("seq").desc()).rowsBetween(-(size - 1), 0)
     gone = F.col("op").isin(*DELETES).cast("int")
-    rows = log.select(*by, gone.alias("gone"), F.sum(gone).over(w).alias("near"))
+    rows = numbered(log.select(*by, "user_key", (-F.col("seq")).alias("back_"), gone.alias("gone")), *by, "user_key", "back_").withColumn("at_", F.col("number") - 1)
+    own = F.floor(F.col("at_") / chunk)
+    tail = F.col("at_") % chunk > chunk - size
+    rows = rows.withColumn("chunk_", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("lent_", F.col("chunk_") != own)
+    w = Window.partitionBy(*by, "chunk_").orderBy("at_").rowsBetween(-(size - 1), 0)
+    near = rows.withColumn("near", F.sum("gone").over(w)).filter(~F.col("lent_"))
     dense = F.max("near") >= deletes
-    return rows.groupBy(*by).agg((dense | ((F.avg("gone") >= ratio) if ratio > 0 else F.lit(False))).alias("compact"))
+    return near.groupBy(*by).agg((dense | ((F.avg("gone") >= ratio) if ratio > 0 else F.lit(False))).alias("compact"))
 
 
 def storage_tier(age: Column, warm: int, cold: int) -> Column:
@@ -174,15 +181,41 @@ def seqno_to_time(log: DataFrame, samples: DataFrame) -> DataFrame:
     marks = samples.select(F.col("seq"), F.col("time").cast("long"), F.lit(0).alias("k_"))
     width = 1 << 20
     cell = F.floor(F.col("seq") / width)
-    first = marks.groupBy(cell.alias("c_")).agg(F.max_by("time", "seq").alias("last_"))
-    carried = first.withColumn("carry_", F.last("last_", True).over(Window.orderBy("c_").rowsBetween(Window.unboundedPreceding, 0))).select("c_", "carry_")
     rows = both.unionByName(marks, allowMissingColumns=True).withColumn("c_", cell)
     here = F.last("time", True).over(Window.partitionBy("c_").orderBy("seq", "k_").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("time", here).filter("k_ = 1")
-    prev = carried.select((F.col("c_") + 1).alias("c_"), "carry_")
-    cells = rows.select("c_").distinct()
-    near = cells.join(prev.withColumnRenamed("c_", "p_"), F.col("p_") <= F.col("c_"), "left").groupBy("c_").agg(F.max_by("carry_", "p_").alias("carry_"))
-    return rows.join(near, "c_", "left").withColumn("time", F.coalesce("time", "carry_")).drop("c_", "k_", "carry_")
+    # What enters a cell is the last mark of the cells before it: one row for each cell is sorted in one task.
+    cells = rows.groupBy("c_").agg(F.max_by("time", F.when(F.col("k_") == 0, F.col("seq"))).alias("last_"))
+    enter = cells.select("c_", F.last("last_", True).over(Window.orderBy("c_").rowsBetween(Window.unboundedPreceding, -1)).alias("carry_"))
+    return rows.withColumn("time", here).filter("k_ = 1").join(enter, "c_", "left").withColumn("time", F.coalesce("time", "carry_")).drop("c_", "k_", "carry_")
+
+
+def ttl_merge(log: DataFrame, ttl: int, now: int, merge: str | merges.Merge) -> DataFrame:
+    """(cf, user_key, value, seq, write_time) of a log whose values age: each operand and base counts while it is not expired, and the folded value is as old
+    as its newest part."""
+    live = log.filter(~expired(F.col("write_time"), ttl, now))
+    out = folded(live, ["cf", "user_key"], merges.named(merge))
+    newest = live.groupBy("cf", "user_key").agg(F.max("write_time").alias("write_time"))
+    out = out.filter((F.col("n_operands") > 0) | ~F.col("base_op").isin(*DELETES)).select("cf", "user_key", "value", "seq")
+    return out.join(newest, ["cf", "user_key"])
+
+
+def level_scores(files: DataFrame, base: int, factor: int, trigger: int = 4) -> DataFrame:
+    """(level, n, size, target, score) of a leveled store's files (level, size): level 0 by its number of files, others by size against base * factor ** (level - 1).
+    The level with the highest score of 1 or more is compacted next."""
+    per = files.groupBy("level").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    target = F.when(F.col("level") == 0, F.lit(trigger).cast("double")).otherwise(F.lit(float(base)) * F.pow(F.lit(float(factor)), F.col("level") - 1))
+    score = F.when(F.col("level") == 0, F.col("n") / trigger).otherwise(F.col("size") / target)
+    return per.withColumn("target", target).withColumn("score", F.round(score, 6))
+
+
+def universal_runs(runs: DataFrame, most_amplification: int = 200, ratio: int = 1) -> DataFrame:
+    """(run, size, newer, amplified, joins) of sorted runs (run: 0 the newest): amplified where all newer runs exceed most_amplification percent of the oldest one; joins
+    where the run is no larger than the newer ones together and `ratio` percent more, so that a merge of these takes it along."""
+    w = Window.orderBy("run")
+    newer = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.col("run") == F.max("run").over(Window.partitionBy())
+    out = runs.withColumn("newer", newer)
+    return out.withColumn("amplified", last & (F.col("newer") * 100 > F.col("size") * most_amplification)).withColumn("joins", (F.col("newer") > 0) & (F.col("size") * 100 <= F.col("newer") * (100 + ratio)))
 
 
 def merge_rows(cells: DataFrame, key: str = "user_key") -> DataFrame:

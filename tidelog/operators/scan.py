@@ -72,6 +72,22 @@ def properties(log: DataFrame, value: Column | None = None) -> DataFrame:
     )
 
 
+def segment_ranges(rows: DataFrame, file: str, segment: Column) -> DataFrame:
+    """(file, n, n_empty, lo, hi): the least and greatest value of a key segment in each file, empty ones told apart."""
+    empty = segment.isNull() | (segment.cast("string") == "")
+    return rows.groupBy(file).agg(F.count("*").alias("n"), F.sum(empty.cast("long")).alias("n_empty"), F.min(F.when(~empty, segment)).alias("lo"), F.max(F.when(~empty, segment)).alias("hi"))
+
+
+def may_hold(files: DataFrame, lo, hi) -> DataFrame:
+    """The files that may hold a segment in [lo, hi]; the others need not be read."""
+    return files.filter((F.col("lo") <= F.lit(hi)) & (F.col("hi") >= F.lit(lo)))
+
+
+def table_filter(rows: DataFrame, files: DataFrame, keep: Column, file: str) -> DataFrame:
+    """rows of the files whose properties pass."""
+    return rows.join(files.filter(keep).select(file), file, "left_semi")
+
+
 def approximate_size(state: DataFrame, ranges: DataFrame, key: str = "user_key") -> DataFrame:
     """(range_id, n, bytes), exact, of each [lo, hi)."""
     from .ranges import multi_scan

@@ -135,7 +135,7 @@ def _(spark, d):
 
 
 @query("agg_merge_segments", f"""WITH {S.EVENT_LOG}, ops AS (SELECT user_key, seq, CASE WHEN value % 5 = 0 THEN 'max' WHEN value % 7 = 0 THEN '' ELSE 'sum' END AS func FROM log WHERE op = 'MERGE'),
-named AS (SELECT *, coalesce(first_value(nullif(func, '') IGNORE NULLS) OVER (PARTITION BY user_key ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), func) AS run_func FROM ops),
+named AS (SELECT *, CASE WHEN count(nullif(func, '')) OVER (PARTITION BY user_key ORDER BY seq) = 0 THEN coalesce(first_value(nullif(func, '') IGNORE NULLS) OVER (PARTITION BY user_key ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), '') ELSE func END AS run_func FROM ops),
 runs AS (SELECT *, (run_func <> lag(run_func, 1, '') OVER (PARTITION BY user_key ORDER BY seq))::int AS c FROM named)
 SELECT user_key, seq, run_func, sum(c) OVER (PARTITION BY user_key ORDER BY seq)::BIGINT AS segment FROM runs""")
 def _(spark, d):
@@ -567,7 +567,7 @@ query("cache_features", f"""WITH {S.BLOCK_TRACE} SELECT block_key, ts, count(*)
 #: Checked against brute-force versions in the tests: reuse distances run over the whole trace; simulators are sequential by nature and run as caches sharded by block.
 query("cache_reuse_distance")(_b(C.reuse_distances))
 query("cache_miss_curve")(_b(lambda t: C.lru_miss_curve(t, (20_000, 100_000, 400_000))))
-query("cache_policies")(_b(lambda t: C.simulate(t, ("lru", "fifo", "mru", "lfu", "gdsize", "opt"), (640_000,), 32)))
+query("cache_policies")(_b(lambda t: C.simulate(t, ("lru", "fifo", "mru", "lfu", "gdsize", "opt", "arc", "hyperbolic", "thompson"), (640_000,), 32)))
 
 
 # ------------------------------------------------------------------ transactions
@@ -600,3 +600,6 @@ def _(spark, d):
 def _(spark, d):
     times = spark.createDataFrame([("early", 1704412800), ("late", 1706140800)], "name string, time long")
     return txn.named_snapshots(S.event_log(spark, d), times)
+
+
+from . import stores  # noqa: E402, F401  (registers its own)

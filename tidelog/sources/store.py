@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..operators.resolve import resolve
 from ..operators.retention import clip, cut_out
 from ..schema import DELETE, DELETE_RANGE, ENTITY, MERGE, OP_LOG, PUT, SINGLE_DELETE, TIMED_PUT
-from ..tables import written
+from ..tables import numbered, written
 
 
 @dataclass
@@ -54,6 +54,13 @@ class Batch:
     def merge(self, key, value, **how) -> Batch:
         return self._add(MERGE, key, value, **how)
 
+    def each(self, handler: object) -> None:
+        """Calls the handler's method of each operation's name in lower case, in order, with its fields by name; an operation it has no method for is left out."""
+        for cf, key, udt, _, op, value, columns, end, time in self.ops:
+            method = getattr(handler, op.lower(), None)
+            if method:
+                method(cf=cf, key=key, udt=udt, value=value, columns=columns, end=end, time=time)
+
     def set_savepoint(self) -> None:
         self.marks.append(len(self.ops))
 
@@ -168,6 +175,34 @@ class Store:
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{to}/manifest")
         return manifest
 
+    def restore(self, to: str) -> Store:
+        """A store with a backup's log, which is verified first."""
+        if not self.verify():
+            raise ValueError("the backup is not what its manifest says")
+        out = Store(self.spark, to)
+        out._append(self.log())
+        return out
+
+    def repair(self, to: str) -> Store:
+        """A store of every entry that can be read, once each, with the batch and sequence numbers they have; a manifest is made anew."""
+        out = Store(self.spark, to)
+        rows = self.spark.read.schema(OP_LOG).option("ignoreCorruptFiles", True).parquet(f"{self.path}/log").filter("seq is not null and user_key is not null")
+        plain = [F.to_json("columns") if f.name == "columns" else F.col(f.name) for f in OP_LOG]
+        out._append(rows.withColumn("__cells", F.xxhash64(*plain)).dropDuplicates(["cf", "user_key", "seq", "__cells"]).drop("__cells"))
+        return out
+
+    def undump(self, path: str, fmt: str = "json") -> int:
+        """Appends what dump() wrote, numbered in the order of the dumped sequence numbers; returns the last number."""
+        rows = self.spark.read.schema("cf string, user_key string, value string, seq long, columns map<string,string>").format(fmt).load(path)
+        kind = F.when(F.col("columns").isNotNull(), ENTITY).otherwise(PUT)
+        return self.bulk(rows.select("cf", "user_key", "value", "columns", F.col("seq").alias("was"), kind.alias("op")), "was")
+
+    def replay(self, rows: DataFrame) -> DataFrame:
+        """(user_key, same) after all rows (user_key, value) were put in order of `at`: whether a read gives each key the last value it was given."""
+        self.bulk(rows.select("at", "user_key", "value", F.lit(PUT).alias("op")), "at")
+        want = rows.groupBy("user_key").agg(F.max_by("value", "at").alias("want"))
+        return want.join(self.state().select("user_key", "value"), "user_key", "left").select("user_key", F.col("value").eqNullSafe(F.col("want")).alias("same"))
+
     def verify(self) -> bool:
         want = json.loads(self.spark.read.text(f"{self.path}/manifest").first()[0])
         return _fingerprint(self.log()) == want
@@ -202,18 +237,6 @@ class Store:
         return meta.groupBy("file").agg(F.count("*").alias("n"), F.min("user_key").alias("smallest"), F.max("user_key").alias("largest"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("bytes").alias("bytes"))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with number: 1, 2, ... in the order of the columns, by the counts of parts rather than in one task."""
-    tie = "__tie"
-    ranged = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
-    kept = written(ranged.withColumn("__at", F.monotonically_increasing_id()).drop(tie), "numbered")
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = kept.groupBy(part.alias("__part")).count()
-    before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
-    out = kept.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each part
-    return out.withColumn("number", F.col("__before") + place + 1).drop("__part", "__before", "__at")
-
-
 def _fingerprint(log: DataFrame) -> dict:
     cells = [F.to_json(F.col(f.name)) if f.name == "columns" else F.col(f.name).cast("string") for f in OP_LOG]
     n, seq, total = log.agg(F.count("*"), F.max("seq"), F.sum(F.xxhash64(*cells).cast("decimal(38,0)"))).first()
