@@ -282,6 +282,18 @@ def _split(strings: list[bytes], places: list[int], width: int, gram: int, toget
     return shared if sum(len(strings[i]) for i in every) > together else [every] if every else []
 
 
+def _common(parts: list[bytes]) -> list[int]:
+    """For each string the longest prefix that it shares with another one: of all others, a neighbour in sorted order shares the most."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        a, b = parts[i], parts[j]
+        n = min(len(a), len(b))
+        n -= (int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7 >> 3
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
 def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, groups_of: np.ndarray, value: np.ndarray, bodies: list[bytes], width: int, gram: int, together: int = 150_000) -> list[tuple[int, int, int, int]]:
     """(id, rid, first byte, byte after) of the windows that an equal window with a smaller id covers, of segments in groups with one minimizer (value) each.
 
@@ -309,29 +321,40 @@ def _resolve(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, groups_of: n
             return
         classes = window_classes([t for t, *_ in rows], width - short + 1)
         size = [len(c) for c in classes]
-        keys = np.repeat(np.array([g for _, g, _ in rows]), size) * (sum(size) + 1) + np.concatenate(classes)
+        keys = np.repeat(np.array([g for _, g, *_ in rows]), size) * (sum(size) + 1) + np.concatenate(classes)
         names, inverse = np.unique(keys, return_inverse=True)
         least = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, np.repeat(np.array([min(int(ids[r]) for r in own) for *_, own in rows], np.int64), size))
+        np.minimum.at(least, inverse, np.repeat(np.array([min(int(ids[r]) for r in own) for *_, own, _ in rows], np.int64), size))
         low = np.split(least[inverse], np.cumsum(size)[:-1])
-        for (_, _, own), lows in zip(rows, low, strict=True):
+        for (_, _, own, shift), lows in zip(rows, low, strict=True):
             for r in own:
                 cut = np.flatnonzero(lows < ids[r])
                 if len(cut):
-                    for run in np.split(cut, np.flatnonzero(np.diff(cut) > 1) + 1):
-                        found.append((int(ids[r]), int(rids[r]), int(starts[r] + run[0]), int(starts[r] + run[-1]) + width))
+                    at = int(starts[r]) + shift
+                    for run in np.split(cut, np.flatnonzero(np.diff(cut) > 1) + 1) if cut[-1] - cut[0] >= len(cut) else (cut,):
+                        found.append((int(ids[r]), int(rids[r]), at + int(run[0]), at + int(run[-1]) + width))
 
+    around = width - gram
     for strings in groups:
         keys, where = list(strings), places[done : done + len(strings)].tolist()
         done += len(strings)
         short = gram if min(where) >= 0 else 1
         for own in _split(keys, where, width, gram, together) if short > 1 else [range(len(keys))]:
             serial += 1
-            for i in own:
-                b, q = keys[i], where[i]
-                # 0xff is in no UTF-8 text, so it can stand for the gram.
-                texts[short].append((b[:q] + b"\xff" + b[q + gram :] if short > 1 else b, serial, strings[b]))
-                held += len(b)
+            if short == 1:
+                for i in own:
+                    texts[1].append((keys[i], serial, strings[keys[i]], 0))
+                    held += len(keys[i])
+            else:
+                # What no other string shares with this one on either side of the gram is in no equal window.
+                lefts = _common([keys[i][max(where[i] - around, 0) : where[i]][::-1] for i in own])
+                rights = _common([keys[i][where[i] + gram : where[i] + gram + around] for i in own])
+                for i, a, z in zip(own, lefts, rights, strict=True):
+                    if a + z >= around:
+                        b, q = keys[i], where[i]
+                        # 0xff is in no UTF-8 text, so it can stand for the gram.
+                        texts[gram].append((b[q - a : q] + b"\xff" + b[q + gram : q + gram + z], serial, strings[b], q - a))
+                        held += a + z + 1
             if held >= together:
                 flush(1)
                 flush(gram)

@@ -121,17 +121,26 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     head = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(order)))[:-1]]).tolist()
     follows = np.arange(n) + np.array(length)
     children = np.argsort(follows, kind="stable")
-    first = np.searchsorted(follows[children], np.arange(n + 2)).tolist()
-    children, of = children.tolist(), of.tolist()
+    first = np.searchsorted(follows[children], np.arange(n + 2))
+    # Most suffixes are followed by none or one: -1 for none, -2 for several.
+    many = np.diff(first)
+    one = np.where(many == 0, -1, np.where(many == 1, children[np.minimum(first[:-1], n - 1)], -2)).tolist()
+    children, first, of = children.tolist(), first.tolist(), of.tolist()
     out, j = [-1] * n, n
     for k in range(-1, n):
         if k >= 0:
             j = out[k]
-        for c in range(first[j], first[j + 1]):
-            i = children[c]
+        i = one[j]
+        if i >= 0:
             g = of[i]
-            out[head[g]] = i
-            head[g] += 1
+            at = head[g]
+            out[at] = i
+            head[g] = at + 1
+        elif i == -2:
+            for i in children[first[j] : first[j + 1]]:
+                g = of[i]
+                out[head[g]] = i
+                head[g] += 1
     return np.array(out, np.int64)
 
 
