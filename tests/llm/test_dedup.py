@@ -119,6 +119,38 @@ def test_similar_texts_against_all_pairs(spark):
     assert kept == set(least.values())
 
 
+def barely(n=150, seed=11):
+    """Pairs just above and just below the similarity, pairs of repeated shingles, and a crowd that shares most of its words, of which some are linked."""
+    rng, rows = random.Random(seed), []
+    word = lambda: "w" + str(rng.randint(0, 100_000))
+    for i in range(n):
+        words = [word() for _ in range(rng.randint(70, 200))]
+        rows.append(words)
+        edits = (len(words) - 4) // 45 + (i % 5 == 4)  # each takes five shingles of both sides: a ninth of them may go
+        places = {6 + k * (len(words) // edits) for k in range(edits)}
+        rows.append([word() if k in places else w for k, w in enumerate(words)])
+    rows += [["a", "b"] * k for k in range(20, 90, 9)] + [[word() for _ in range(k)] for k in range(1, 7)]
+    frame = [word() for _ in range(150)]
+    for _ in range(40):
+        one = [w if k % 30 else word() for k, w in enumerate(frame)]
+        rows += [one, [w if k % 60 != 7 else word() for k, w in enumerate(one)]]
+    return [(i * 3 + 2, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_similar_loses_no_link(spark, monkeypatch, few):
+    if few:  # tries that propose next to nothing, in one forest, and an order and pairs in small pieces
+        for name, value in {"FORESTS": 1, "BUDGET": 0, "APART": 60, "KNOWN": 50, "MET": 4096, "MEETINGS": 64}.items():
+            monkeypatch.setattr(simhash_trie, name, value)
+    rows = barely()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component"] for r in simhash_trie.similar(df).collect()}
+    want = dict(zip((k for k, _ in rows), brute_similar(rows), strict=True))
+    same = lambda of: {frozenset(k for k in of if of[k] == c) for c in set(of.values())}
+    assert 100 < len(same(want)) < len(rows) - 100
+    assert same(got) == same(want)
+
+
 def test_keep_one_keeps_other_texts_of_an_id(spark):
     texts = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abcde"}
     rows = [(1, texts["a"], 0), (5, texts["a"], 1), (5, texts["b"], 2), (7, texts["c"], 3), (7, texts["d"], 4), (7, texts["d"], 5), (None, texts["b"], 6), (None, texts["e"], 7), (None, None, 8), (9, "", 9)]

@@ -6,7 +6,8 @@ bit with the differing bits added up, and dropped when they exceed the budget. A
 however large its cluster, and of the links found in a pair of subtrees only a spanning forest leaves the task.
 
 near_duplicates() links fingerprints by their distance alone. similar() links texts by an exact similarity: a fingerprint of TRIES runs of WIDTH bits gives as many
-tries, each with a small budget, and what any of them proposes is verified.
+tries, each with a small budget, and what any of them proposes is verified. Tries and forests may leave links out, so an exact pass follows: texts of different
+components that share one of their rarest shingles meet, and all that can reach the similarity are verified too. Links are lost nowhere.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ SUBTREE = 8192
 WORDS, SIMILARITY, TRIES, WIDTH, BUDGET, WIDE_SUBTREE, APART, FORESTS = 5, 0.8, 24, 32, 2, 131_072, 160, 4
 #: Node pairs walked at once.
 FRONT = 1 << 16
+#: The exact pass: bits of the parity that bounds an overlap, texts that the order of shingles is taken from at least (one of SHARE where there are more), shingles in it,
+#: bytes of prefixes met in a task, pairs met at once.
+PARITY, SAMPLE, SHARE, KNOWN, MET, MEETINGS = 1024, 20_000, 16, 1 << 17, 8 << 20, 1 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -272,16 +276,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(broadcast_if_small(classes), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _wide(text: str) -> tuple[int, int, bytes]:
-    """(hash of the words in order, number of shingles, fingerprint of TRIES * WIDTH bits over the shingles)."""
+def _hashed(text: str) -> tuple[bytes, np.ndarray]:
+    """(the words in order, hashes of their shingles)."""
     from xxhash import xxh64_intdigest as xx
 
     words = text.encode().translate(_LOWER).split()
     body = b" ".join(words)
     if len(words) <= WORDS:
-        hashes = np.array([xx(body, SEED)] if words else [], np.uint64)
-    else:
-        hashes = _shingles(words, body)
+        return body, np.array([xx(body, SEED)] if words else [], np.uint64)
+    return body, _shingles(words, body)
+
+
+def _wide(body: bytes, hashes: np.ndarray) -> tuple[int, int, bytes]:
+    """(hash of the words in order, number of shingles, fingerprint of TRIES * WIDTH bits over the shingles)."""
+    from xxhash import xxh64_intdigest as xx
+
     bits = TRIES * WIDTH
     if not len(hashes):
         return xx(body, SEED + 1), 0, bytes(bits // 8)
@@ -301,6 +310,124 @@ def _shingles(words: list[bytes], body: bytes) -> np.ndarray:
     return np.array([xx(body[a:b], SEED) for a, b in zip(starts, (ends[WORDS - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
+def _elements(hashes: np.ndarray) -> np.ndarray:
+    """Shingles as a set, in order: the k-th copy of one is an element of its own, so that sets overlap as multisets do."""
+    h = np.sort(hashes)
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    copy = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    return np.sort(h + copy.astype(np.uint64) * _KEYS[1]) if copy.any() else h
+
+
+def _parity(elements: np.ndarray) -> bytes:
+    """How many elements fall to each of PARITY bits, modulo 2. Two sets differ in at least as many elements as their parities in bits."""
+    return np.packbits((np.bincount((elements & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(bool)).tobytes()
+
+
+def _prefix(elements: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> bytes:
+    """The elements that come first, by their counts among the known ones (others: 0), then by themselves: so many that sets of the similarity share one of them."""
+    if len(known):
+        at = np.minimum(np.searchsorted(known, elements), len(known) - 1)
+        elements = elements[np.argsort(np.where(known[at] == elements, counts[at], 0), kind="stable")]
+    return elements[: len(elements) - _least(similarity, len(elements)) + 1].astype("<u8").tobytes()
+
+
+def _least(share: float, n: int) -> int:
+    return int(np.ceil(share * n - 1e-9))
+
+
+def _common(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, counts) of those that a sample of the texts has most often. They give an order and decide what the exact pass costs, not what it finds."""
+    share = max(1, min(SHARE, source.count() // SAMPLE))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["element", "n"])
+
+        for batch in byte_chunks(batches):
+            for t in texts_of(batch):
+                held.append(_elements(hashes) if len(hashes := _hashed(t)[1]) else hashes)
+                size += len(held[-1])
+                if size > 2 << 20:
+                    yield told()
+                    held, size = [], 0
+        yield told()
+        give_back()
+
+    counted = source.filter(F.pmod("rid", F.lit(share)) == 0).select("text").mapInArrow(count, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    most = counted.filter("n > 3").orderBy(F.desc("n"), "element").limit(KNOWN).toArrow()
+    known, counts = most.column("element").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+_MET = np.dtype([("h", "<u4"), ("at", "<i4"), ("n", "<i4"), ("node", "<i8"), ("root", "<i8")])
+
+
+def _meetings(met: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v): pairs of nodes of different roots that share an element and can reach the similarity if it is the first that they share."""
+    met = met[np.lexsort((met["at"], met["node"], met["root"], met["h"]))]
+    changed = lambda c: met[c][1:] != met[c][:-1]
+    met = met[np.concatenate([[True], changed("h") | changed("node")])]
+    new = np.concatenate([[True], changed("h")])
+    run = np.concatenate([[True], new[1:] | changed("root")])
+    place = np.arange(len(met))
+    start = np.maximum.accumulate(np.where(new, place, 0))
+    partners = np.maximum.accumulate(np.where(run, place, 0)) - start  # those of other roots before it
+    ends = np.cumsum(partners)
+    at = 0
+    while at < len(met):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEETINGS, "right")))
+        n = partners[at:upto]
+        j = np.repeat(np.arange(at, upto), n)
+        i = start[j] + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
+        at = upto
+        a, b = met["n"][i].astype(np.int64), met["n"][j].astype(np.int64)
+        able = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+        able &= np.minimum(a - met["at"][i], b - met["at"][j]) >= similarity / (1 + similarity) * (a + b) - 1e-9
+        u, v = met["node"][i[able]], met["node"][j[able]]
+        if len(u):
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
+            yield np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+
+def _rest(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all pairs of nodes of different roots that may have the similarity: those whose prefixes, in one order of all elements, share an element."""
+    size = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = max(12, int((1 - similarity) * size) * _MET.itemsize // MET)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_chunks(batches, "prefix", 2 << 20):
+            raw = batch.column("prefix").to_pylist()
+            elements, n = np.frombuffer(b"".join(raw), "<u8"), np.array([len(x) // 8 for x in raw])
+            own = np.zeros(len(elements), _MET)
+            own["h"], own["at"] = elements & np.uint64(0xFFFFFFFF), np.arange(len(elements)) - np.repeat(np.cumsum(n) - n, n)
+            for c in ("n", "node", "root"):
+                own[c] = np.repeat(batch.column(c).to_numpy(), n)
+            part = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            own, part = own[order], part[order].astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["part", "blob"])
+        give_back()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                blobs.setdefault(part, []).append(blob)
+        while blobs:
+            for u, v in _meetings(np.frombuffer(b"".join(blobs.popitem()[1]), _MET), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        give_back()
+
+    prefixes = rows.filter("prefix is not null").select("node", "n", "prefix").join(broadcast_if_small(roots), "node", "left")
+    dealt = prefixes.select("node", "n", "prefix", F.coalesce("root", "node").alias("root")).mapInArrow(deal, "part long, blob binary")
+    return dealt.repartition(parts, "part").mapInArrow(meet, "u long, v long").distinct()
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -318,43 +445,64 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
     """(doc_id, rid, component) of each row: rows are in one component if links of at least the similarity lead from one to the other.
 
     Similarity is the exact Jaccard similarity of the multisets of WORDS-word shingles (fewer words: the whole sequence; none: like all texts of no words), rid a
-    hash of the text. Texts of equal words are one node; candidates come from the tries, which propose a pair at similarity 0.8 with a probability of about
-    0.95, at 0.85 of 0.995. They are verified nearest first, those of parts already connected not at all.
+    hash of the text. Texts of equal words are one node. The tries propose a pair at similarity 0.8 with a probability of about 0.95, at 0.85 of 0.995, and their
+    forests not all of these; what they propose is verified nearest first, pairs of parts already connected not at all. Then all pairs of different parts that
+    share an element of their prefixes are verified in the same way, which leaves no link out.
     """
+    source = docs.select(F.col(key).cast("long").alias("key"), _rid(text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    known, counts = _common(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in byte_chunks(batches):
-            found = [_wide(x) for x in texts_of(batch)]
+            found = []
+            for x in texts_of(batch):
+                body, hashes = _hashed(x)
+                node, n, wide = _wide(body, hashes)
+                parity = prefix = None
+                if n and node not in seen:  # once in a task
+                    seen.add(node)
+                    elements = _elements(hashes)
+                    parity, prefix = _parity(elements), _prefix(elements, similarity, known, counts)
+                found.append((_signed(node), n, wide, parity, prefix))
             cols = list(zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rid"), pa.array(map(_signed, cols[0]), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["doc_id", "rid", "node", "n", "print"])
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rid"), *map(pa.array, cols, types)], names=["doc_id", "rid", "node", "n", "print", "parity", "prefix"])
         give_back()
 
-    source = docs.select(F.col(key).cast("long").alias("key"), _rid(text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = durable(source.mapInArrow(run, "doc_id long, rid long, node long, n int, print binary"), "wide-prints")
-    nodes = durable(rows.groupBy("node").agg(F.min("n").alias("n"), F.min("print").alias("print"), F.min("rid").alias("rid")), "nodes")
+    rows = durable(source.mapInArrow(run, "doc_id long, rid long, node long, n int, print binary, parity binary, prefix binary"), "wide-prints")
+    nodes = durable(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", "print", "parity", "rid")]), "nodes")
     links = trie_links(nodes.filter("n > 0").select("node", "n", "print"), nodes.count(), WIDTH, BUDGET, WIDE_SUBTREE, TRIES, FORESTS)
     links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("print").alias(f"print_{c}"))
+    near = durable(_near(links, nodes, similarity).filter(F.col("apart") <= APART), "near")
+    linked, roots = _verified(near, source, nodes, similarity)
+    rest = durable(_rest(rows, nodes, roots, similarity), "rest")
+    linked, roots = _verified(durable(_near(rest, nodes, similarity), "near"), source, nodes, similarity, linked, roots)
+    classes = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return rows.select("doc_id", "rid", "node").join(classes, "node").select("doc_id", "rid", "component")
+
+
+def _near(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, apart) of the pairs of nodes whose sizes and parities allow the similarity; apart: fingerprint bits that differ."""
+    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "print", "parity")])
     whole = links.join(side("u"), "u").join(side("v"), "v").filter(F.least("n_u", "n_v") >= F.lit(similarity) * F.greatest("n_u", "n_v") - 1e-9)
 
     def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("print_u", "print_v"))
-            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(apart)], names=["u", "v", "apart"]).filter(pa.array(apart <= APART))
+            bits = lambda c, batch=batch: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            apart, differ = (np.bitwise_count(bits(f"{c}_u") ^ bits(f"{c}_v")).sum(1, dtype=np.int32) for c in ("print", "parity"))
+            able = differ <= (1 - similarity) / (1 + similarity) * batch.column("both").to_numpy() + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(apart)], names=["u", "v", "apart"]).filter(pa.array(able))
 
-    near = whole.select("u", "v", "print_u", "print_v").mapInArrow(distance, "u long, v long, apart int")
-    near = durable(near, "near")
-    linked, roots = _verified(near, source, nodes, similarity)
-    classes = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
-    return rows.select("doc_id", "rid", "node").join(classes, "node").select("doc_id", "rid", "component")
+    both = whole.select("u", "v", "print_u", "print_v", "parity_u", "parity_v", (F.col("n_u").cast("long") + F.col("n_v")).alias("both"))
+    return both.mapInArrow(distance, "u long, v long, apart int")
 
 
-def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): the proposed links (u, v, apart) that hold, as far as they are needed, and the components they make."""
+def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, linked: DataFrame | None = None, roots: DataFrame | None = None, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(links, roots): the links given and the proposed ones (u, v, apart) that hold, as far as they are needed, and the components they make."""
     spark = near.sparkSession
-    linked = spark.createDataFrame([], "u long, v long")
-    roots = spark.createDataFrame([], "node long, root long")
+    linked = spark.createDataFrame([], "u long, v long") if linked is None else linked
+    roots = spark.createDataFrame([], "node long, root long") if roots is None else roots
     for turn in range(rounds + 1):
         if not near.head(1):
             break
