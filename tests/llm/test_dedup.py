@@ -151,6 +151,42 @@ def test_similar_loses_no_link(spark, monkeypatch, few):
     assert same(got) == same(want)
 
 
+def test_passages_propose_no_pairs(spark, monkeypatch):
+    """A passage that no task sees twice is as common as one that a task sees often: texts don't meet by it."""
+    rng = random.Random(2)
+    word = lambda: "w" + str(rng.randint(0, 1_000_000))
+    passage, rest, proposed = [word() for _ in range(60)], simhash_trie._rest, []
+    rows = [(i, " ".join([*(word() for _ in range(100)), *passage])) for i in range(24)]
+    rows.append((100, rows[3][1] + " more"))
+    monkeypatch.setattr(simhash_trie, "_rest", lambda *a: proposed.append(rest(*a).count()) or rest(*a))
+    got = {r["doc_id"]: r["component"] for r in simhash_trie.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(24)).collect()}
+    assert len(set(got.values())) == 24 and got[3] == got[100]
+    assert proposed == [0]
+
+
+def test_counts_of_all_shingles(spark, monkeypatch):
+    monkeypatch.setattr(simhash_trie, "COUNTED", 500)
+    rows = edited(120)
+    count = Counter(int(e) >> 32 for t in {t for _, t in rows} for e in simhash_trie._elements(simhash_trie._hashed(t)[1]))
+    often = {e: n for e, n in count.items() if n >= simhash_trie.OFTEN}
+    source = spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["text"]).repartition(7)
+    known, counts = simhash_trie._common(source)
+    assert dict(zip(known.tolist(), counts.tolist(), strict=True)) == often and known.tolist() == sorted(often)
+    monkeypatch.setattr(simhash_trie, "KNOWN", len(often) // 2)
+    known, counts = simhash_trie._common(source)
+    assert {e: n for e, n in often.items() if n >= 16} == dict(zip(known.tolist(), counts.tolist(), strict=True)) or 0 < len(known) <= len(often) // 2
+    for values in ([], [7], [0, 0, 65535, 65535], [5, 65541, (1 << 32) - 1]):
+        assert simhash_trie._ungapped(simhash_trie._gaps(np.array(values, np.uint32))).tolist() == values
+
+
+@pytest.mark.parametrize("links", [1 << 20, 40])
+def test_trees_of_several_tasks(spark, monkeypatch, links):
+    monkeypatch.setattr(simhash_trie, "LINKS", links)
+    edges = [(i, i + 1) for i in range(0, 200)] + [(-1000, i) for i in range(1001, 1100)] + [(5000, 5000)]
+    got = {r["node"]: r["root"] for r in simhash_trie._trees(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 201)} | {i: -1000 for i in range(1001, 1100)}
+
+
 def test_keep_one_keeps_other_texts_of_an_id(spark):
     texts = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abcde"}
     rows = [(1, texts["a"], 0), (5, texts["a"], 1), (5, texts["b"], 2), (7, texts["c"], 3), (7, texts["d"], 4), (7, texts["d"], 5), (None, texts["b"], 6), (None, texts["e"], 7), (None, None, 8), (9, "", 9)]

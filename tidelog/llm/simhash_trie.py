@@ -31,9 +31,11 @@ SUBTREE = 8192
 WORDS, SIMILARITY, TRIES, WIDTH, BUDGET, WIDE_SUBTREE, APART, FORESTS = 5, 0.8, 24, 32, 2, 131_072, 160, 4
 #: Node pairs walked at once.
 FRONT = 1 << 16
-#: The exact pass: bits of the parity that bounds an overlap, texts that the order of shingles is taken from at least (one of SHARE where there are more), shingles in it,
-#: bytes of prefixes met in a task, pairs met at once.
-PARITY, SAMPLE, SHARE, KNOWN, MET, MEETINGS = 1024, 20_000, 16, 1 << 17, 8 << 20, 1 << 20
+#: The exact pass: bits of the parity that bounds an overlap, least count of a shingle that has a place in the order of all, such shingles at most, shingles counted
+#: at once, ranges they are counted in, bytes of prefixes met in a task, pairs met at once.
+PARITY, OFTEN, KNOWN, COUNTED, CELLS, MET, MEETINGS = 1024, 4, 1 << 20, 1 << 21, 1024, 8 << 20, 1 << 20
+#: Links that a task joins to trees.
+LINKS = 1 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -324,10 +326,12 @@ def _parity(elements: np.ndarray) -> bytes:
 
 
 def _prefix(elements: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> bytes:
-    """The elements that come first, by their counts among the known ones (others: 0), then by themselves: so many that sets of the similarity share one of them."""
+    """The elements that come first, by the counts of their high halves among the known ones (others: 0), then by themselves: so many that sets of the similarity share
+    one of them."""
     if len(known):
-        at = np.minimum(np.searchsorted(known, elements), len(known) - 1)
-        elements = elements[np.argsort(np.where(known[at] == elements, counts[at], 0), kind="stable")]
+        high = (elements >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(known, high), len(known) - 1)
+        elements = elements[np.argsort(np.where(known[at] == high, counts[at], 0), kind="stable")]
     return elements[: len(elements) - _least(similarity, len(elements)) + 1].astype("<u8").tobytes()
 
 
@@ -335,31 +339,72 @@ def _least(share: float, n: int) -> int:
     return int(np.ceil(share * n - 1e-9))
 
 
+def _gaps(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values, two bytes each where the gaps allow it."""
+    gaps = np.diff(values)
+    if len(gaps) and gaps.max() < 1 << 16:
+        return b"\1" + values[:1].astype("<u4").tobytes() + gaps.astype("<u2").tobytes()
+    return b"\0" + values.astype("<u4").tobytes()
+
+
+def _ungapped(raw: bytes) -> np.ndarray:
+    if raw[0]:
+        return np.cumsum(np.concatenate([np.frombuffer(raw, "<u4", 1, 1), np.frombuffer(raw, "<u2", -1, 5)]), dtype=np.uint32)
+    return np.frombuffer(raw, "<u4", -1, 1)
+
+
 def _common(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(elements, counts) of those that a sample of the texts has most often. They give an order and decide what the exact pass costs, not what it finds."""
-    share = max(1, min(SHARE, source.count() // SAMPLE))
+    """(high halves, counts) of the elements that all the texts have most often, exact up to elements of one high half and copies of a text. They give an order and
+    decide what the exact pass costs, not what it finds."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
 
         def told() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["element", "n"])
+            values = np.sort(np.concatenate([*held, np.zeros(0, np.uint32)]))
+            cell = (values.astype(np.uint64) * np.uint64(CELLS)) >> np.uint64(32)
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(values)] if len(values) else [0]
+            return pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]].astype(np.int32)), pa.array([_gaps(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["cell", "blob"])
 
         for batch in byte_chunks(batches):
             for t in texts_of(batch):
-                held.append(_elements(hashes) if len(hashes := _hashed(t)[1]) else hashes)
-                size += len(held[-1])
-                if size > 2 << 20:
+                body, hashes = _hashed(t)
+                if len(hashes) and (own := hash(body)) not in seen:  # once in a task
+                    seen.add(own)
+                    held.append((_elements(hashes) >> np.uint64(32)).astype(np.uint32))
+                    size += len(held[-1])
+                if size > COUNTED:
                     yield told()
                     held, size = [], 0
         yield told()
         give_back()
 
-    counted = source.filter(F.pmod("rid", F.lit(share)) == 0).select("text").mapInArrow(count, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
-    most = counted.filter("n > 3").orderBy(F.desc("n"), "element").limit(KNOWN).toArrow()
-    known, counts = most.column("element").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for cell, blob in zip(batch.column("cell").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                blobs.setdefault(cell, []).append(blob)
+        while blobs:
+            found, n = np.unique(np.concatenate([_ungapped(b) for b in blobs.popitem()[1]]), return_counts=True)
+            often = n >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int32)), pa.array(np.minimum(n[often], (1 << 31) - 1).astype(np.int32))], names=["high", "n"])
+        give_back()
+
+    dealt = source.select("text").mapInArrow(deal, "cell int, blob binary")
+    counted = durable(dealt.repartition("cell").mapInArrow(count, "high int, n int"), "counts")
+    least, left = OFTEN, KNOWN
+    # By powers of two, of which there are few: as many of the largest as there is room for.
+    sizes = {r["bits"]: r["count"] for r in counted.groupBy((F.length(F.bin("n")) - 1).alias("bits")).count().collect()}
+    for bits in sorted(sizes, reverse=True):
+        least, left = 1 << bits, left - sizes[bits]
+        if left < 0:
+            least *= 2
+            break
+    most = counted.filter(F.col("n") >= least).toArrow()
+    known, counts = (most.column(c).to_numpy() for c in ("high", "n"))
+    known = known.view(np.uint32)
     order = np.argsort(known)
+    give_back()
     return known[order], counts[order]
 
 
@@ -475,9 +520,9 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id"
     links = trie_links(nodes.filter("n > 0").select("node", "n", "print"), nodes.count(), WIDTH, BUDGET, WIDE_SUBTREE, TRIES, FORESTS)
     links = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
     near = durable(_near(links, nodes, similarity).filter(F.col("apart") <= APART), "near")
-    linked, roots = _verified(near, source, nodes, similarity)
+    roots = _verified(near, source, nodes, similarity)
     rest = durable(_rest(rows, nodes, roots, similarity), "rest")
-    linked, roots = _verified(durable(_near(rest, nodes, similarity), "near"), source, nodes, similarity, linked, roots)
+    roots = _verified(durable(_near(rest, nodes, similarity), "near"), source, nodes, similarity, roots)
     classes = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
     return rows.select("doc_id", "rid", "node").join(classes, "node").select("doc_id", "rid", "component")
 
@@ -498,11 +543,26 @@ def _near(links: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(distance, "u long, v long, apart int")
 
 
-def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, linked: DataFrame | None = None, roots: DataFrame | None = None, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): the links given and the proposed ones (u, v, apart) that hold, as far as they are needed, and the components they make."""
-    spark = near.sparkSession
-    linked = spark.createDataFrame([], "u long, v long") if linked is None else linked
-    roots = spark.createDataFrame([], "node long, root long") if roots is None else roots
+def _trees(links: DataFrame) -> DataFrame:
+    """(node, root) as graph.components() has them. Tasks of at most LINKS links or so turn theirs to stars; stars of several tasks meet there."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([batch.column(c).to_numpy() for c in ("u", "v")]) for batch in batches if batch.num_rows]
+        if held:
+            ids, at = np.unique(np.concatenate(held, 1), return_inverse=True)
+            forest, (u, v) = Forest(len(ids)), at.reshape(2, -1)
+            forest.link(u, v)
+            off = np.flatnonzero(forest.up != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[off]), pa.array(ids[forest.up[off]])], names=["node", "root"])
+
+    tasks = 1 + links.count() // LINKS
+    stars = durable(links.select("u", "v").repartition(tasks).mapInArrow(join, "node long, root long"), "roots")
+    return stars if tasks == 1 else durable(graph.components(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))), "roots")
+
+
+def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, roots: DataFrame | None = None, rounds: int = 2) -> DataFrame:
+    """(node, root) of the components that the given ones make with the proposed links (u, v, apart) that hold, as far as these are needed."""
+    roots = near.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
     for turn in range(rounds + 1):
         if not near.head(1):
             break
@@ -512,14 +572,14 @@ def _verified(near: DataFrame, source: DataFrame, nodes: DataFrame, similarity:
             best = both.groupBy("u").agg(F.min_by("v", F.struct("apart", "v")).alias("v"))
             chosen = best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         chosen = durable(chosen, "chosen")
-        linked = durable(linked.unionByName(_holding(chosen, source, nodes, similarity)), "linked")
-        roots = durable(graph.components(linked), "roots")
+        linked = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_holding(chosen, source, nodes, similarity))
+        roots = _trees(durable(linked, "linked"))
         if turn == rounds:
             break
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: E731, B023
         near = near.join(chosen, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
         near = durable(near.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "apart"), "near")
-    return linked, roots
+    return roots
 
 
 def _holding(pairs: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
