@@ -86,3 +86,18 @@ def test_function_changes_fold_alike(spark):
     got = {r["user_key"]: (r["func"], r["value"]) for r in merge.fold_segments(spark.createDataFrame(rows, "user_key int, seq int, func string, value long")).collect()}
     assert got == {k: (f, None if f == merge.ERROR else v) for k, (f, v) in want.items()}
     assert len({f for f, _ in want.values()}) == 4
+
+
+def test_varints_of_four_bytes_and_more(spark):
+    """As util/coding.cc of the reference writes them; the SQL of `encodings` ends at three bytes."""
+
+    def plain(n):
+        out = []
+        while n >= 128:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n]).hex().upper()
+
+    numbers = [0, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, 1 << 22, 5_999_999, 1 << 28, 1 << 35, (1 << 63) - 1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", X.varint(F.col("n")).alias("v")).collect()
+    assert {r["n"]: r["v"] for r in got} == {n: plain(n) for n in numbers}
