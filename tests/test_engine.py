@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,33 @@ def test_thompson_keeps_blocks_between_windows():
     rng = random.Random(4)
     keys = [rng.randint(0, 99) for _ in range(2000)]
     assert cache_trace._bandit(keys, [10] * 2000, 300, ("lru",)) == naive_lru(keys, [10] * 2000, 300)
+
+
+def test_simulators_hold_no_trace(spark):
+    """Accesses reach the simulators in batches, once for all policies, and give what the whole shard in memory does; ties of ts go by block."""
+    rng, policies = random.Random(6), ["lru", "fifo", "mru", "lfu", "gdsize", "opt", "arc", "hyperbolic", "thompson", "random"]
+    rows = [(rng.randint(0, 300), k, 10 + k % 7) for k in (min(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(2000))]
+    t = spark.createDataFrame(rows, "ts long, block_key long, block_size long")
+    shard = {r["block_key"]: r["s"] for r in t.select("block_key", F.pmod(F.xxhash64("block_key"), F.lit(3)).alias("s")).distinct().collect()}
+    want = dict.fromkeys(policies, 0)
+    for s in range(3):
+        own = sorted(r for r in rows if shard[r[1]] == s)
+        for p in policies:
+            want[p] += cache_trace._simulate(p, [r[1] for r in own], [r[2] for r in own], 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = cache_trace.simulate(t, policies, [900], 3)
+        assert {r["policy"]: r["misses"] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Generate" not in plan
+    taken = []
+
+    def batches():
+        for i in range(50):
+            taken.append(i)
+            yield pa.RecordBatch.from_pydict({"shard_": [i // 20] * 10, "block_key": list(range(10)), "block_size": [1] * 10})
+
+    first = next(cache_trace._shards([("lru", 60)], 3)(batches())).to_pydict()
+    assert first == {"policy": ["lru"], "capacity": [60], "n": [200], "misses": [10]} and len(taken) == 21

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -216,137 +217,237 @@ def lru_miss_curve(trace: DataFrame, capacities: Sequence[int]) -> DataFrame:
 # ------------------------------------------------------------------ simulators, one shard of the block space at a time
 
 
-def _simulate(policy: str, keys: list, sizes: list, capacity: int, seed: int = 1) -> int:
-    """Misses of one policy: lru, mru, fifo, lfu, hyperbolic, gdsize, random, opt, arc, thompson."""
-    if policy in ("arc", "thompson"):
-        return (_arc if policy == "arc" else _bandit)(keys, sizes, capacity)
-    rng = np.random.default_rng(seed)
+#: What opt takes for the next access of a block that has none: above all (0, place).
+NEVER = (1,)
+
+
+def _queue(policy: str, capacity: int):
+    """Misses of lru, mru or fifo. Like all simulators here it is sent the accesses of a trace in pieces (keys, sizes, following), and gives the misses so far: it holds the cache, not the trace."""
     held: OrderedDict = OrderedDict()
     used = misses = 0
+    newest, moves = policy == "mru", policy != "fifo"
+    while True:
+        keys, sizes, _ = yield misses
+        for k, size in zip(keys, sizes, strict=True):
+            if k in held:
+                if moves:
+                    held.move_to_end(k)
+                continue
+            misses += 1
+            if size > capacity:
+                continue
+            while used + size > capacity:
+                used -= held.popitem(last=newest)[1]
+            held[k] = size
+            used += size
+
+
+def _scored(policy: str, capacity: int, seed: int = 1):
+    """Misses of lfu, gdsize, opt, hyperbolic or random: among blocks of one score the one held longest goes."""
+    rng = np.random.default_rng(seed)
+    held: dict = {}
+    score: dict = {}  # hits, worth or next access
+    since: dict = {}
+    used = misses = i = 0
     clock = 0.0
-    following: list[float] = []
-    if policy == "opt":
-        nxt: dict = {}
-        following = [0.0] * len(keys)
-        for i in range(len(keys) - 1, -1, -1):
-            following[i] = nxt.get(keys[i], float("inf"))
-            nxt[keys[i]] = i
-    for i, (k, size) in enumerate(zip(keys, sizes, strict=True)):
-        if k in held:
-            e = held[k]
-            e["hits"] += 1
-            e["next"] = following[i] if following else 0
-            if policy == "gdsize":
-                e["h"] = clock + 1 / max(size, 1)
-            if policy in ("lru", "mru"):
-                held.move_to_end(k)
-            continue
-        misses += 1
-        if size > capacity:
-            continue
-        while used + size > capacity:
-            if policy in ("lru", "fifo"):
-                victim = next(iter(held))
-            elif policy == "mru":
-                victim = next(reversed(held))
-            elif policy == "lfu":
-                victim = min(held, key=lambda x: held[x]["hits"])
-            elif policy == "hyperbolic":
-                sample = [list(held)[j] for j in rng.integers(0, len(held), min(64, len(held)))]
-                victim = min(sample, key=lambda x: held[x]["hits"] / (i - held[x]["at"] + 1))
-            elif policy == "gdsize":
-                victim = min(held, key=lambda x: held[x]["h"])
-                clock = held[victim]["h"]
-            elif policy == "opt":
-                victim = max(held, key=lambda x: held[x]["next"])
-            elif policy == "random":
-                victim = list(held)[int(rng.integers(0, len(held)))]
-            else:
-                raise ValueError(f"no policy named {policy!r}")
-            used -= held.pop(victim)["size"]
-        held[k] = {"size": size, "hits": 1, "at": i, "next": following[i] if following else 0, "h": clock + 1 / max(size, 1)}
-        used += size
-    return misses
-
-
-def _arc(keys: list, sizes: list, capacity: int) -> int:
+    greedy, ahead, hyperbolic, blind = (policy == x for x in ("gdsize", "opt", "hyperbolic", "random"))
+    while True:
+        keys, sizes, following = yield misses
+        for k, size, then in zip(keys, sizes, following if ahead else keys, strict=True):
+            i += 1
+            if k in held:
+                if ahead:
+                    score[k] = then
+                elif greedy:
+                    score[k] = clock + 1 / max(size, 1)
+                else:
+                    score[k] += 1
+                continue
+            misses += 1
+            if size > capacity:
+                continue
+            while used + size > capacity:
+                if hyperbolic:
+                    all_ = list(held)
+                    sample = dict.fromkeys(rng.integers(0, len(all_), min(64, len(all_))).tolist())
+                    victim = min([all_[j] for j in sample], key=lambda x: score[x] / (i - since[x] + 1))
+                elif blind:
+                    victim = list(held)[int(rng.integers(0, len(held)))]
+                else:
+                    victim = (max if ahead else min)(score, key=score.__getitem__)
+                    if greedy:
+                        clock = score[victim]
+                used -= held.pop(victim)
+                del score[victim]
+                if hyperbolic:
+                    del since[victim]
+            held[k] = size
+            score[k] = then if ahead else clock + 1 / max(size, 1) if greedy else 1
+            if hyperbolic:
+                since[k] = i
+            used += size
+
+
+def _arc(capacity: int):
     """Misses of an adaptive replacement cache: a recent and a frequent list, and ghosts of both that move the border between them."""
     recent, frequent, ghost_r, ghost_f = OrderedDict(), OrderedDict(), OrderedDict(), OrderedDict()
-    held = lambda d: sum(d.values())
-    border, misses, used = 0.0, 0, 0
-
-    def evict() -> None:
-        nonlocal used
-        own, ghost = (recent, ghost_r) if recent and (held(recent) > border or not frequent) else (frequent, ghost_f)
-        k, size = own.popitem(last=False)
-        ghost[k] = size
-        used -= size
-        while held(ghost) > capacity:
-            ghost.popitem(last=False)
-
-    for k, size in zip(keys, sizes, strict=True):
-        if k in recent or k in frequent:
-            own = recent if k in recent else frequent
-            frequent[k] = own.pop(k)
-            frequent.move_to_end(k)
-            continue
-        misses += 1
-        if size > capacity:
-            continue
-        again = k in ghost_r or k in ghost_f
-        if k in ghost_r:
-            border = min(float(capacity), border + size * max(1.0, held(ghost_f) / max(held(ghost_r), 1)))
-            del ghost_r[k]
-        elif k in ghost_f:
-            border = max(0.0, border - size * max(1.0, held(ghost_r) / max(held(ghost_f), 1)))
-            del ghost_f[k]
-        while used + size > capacity:
-            evict()
-        (frequent if again else recent)[k] = size
-        used += size
-    return misses
+    border, misses, recent_b, frequent_b, ghost_rb, ghost_fb = 0.0, 0, 0, 0, 0, 0  # bytes of each list
+    while True:
+        keys, sizes, _ = yield misses
+        for k, size in zip(keys, sizes, strict=True):
+            if k in recent:
+                frequent[k] = held = recent.pop(k)
+                recent_b -= held
+                frequent_b += held
+                continue
+            if k in frequent:
+                frequent.move_to_end(k)
+                continue
+            misses += 1
+            if size > capacity:
+                continue
+            again = k in ghost_r or k in ghost_f
+            if k in ghost_r:
+                border = min(float(capacity), border + size * max(1.0, ghost_fb / max(ghost_rb, 1)))
+                ghost_rb -= ghost_r.pop(k)
+            elif k in ghost_f:
+                border = max(0.0, border - size * max(1.0, ghost_rb / max(ghost_fb, 1)))
+                ghost_fb -= ghost_f.pop(k)
+            while recent_b + frequent_b + size > capacity:
+                if recent and (recent_b > border or not frequent):
+                    gone, held = recent.popitem(last=False)
+                    recent_b -= held
+                    ghost_r[gone] = held
+                    ghost_rb += held
+                    while ghost_rb > capacity:
+                        ghost_rb -= ghost_r.popitem(last=False)[1]
+                else:
+                    gone, held = frequent.popitem(last=False)
+                    frequent_b -= held
+                    ghost_f[gone] = held
+                    ghost_fb += held
+                    while ghost_fb > capacity:
+                        ghost_fb -= ghost_f.popitem(last=False)[1]
+            if again:
+                frequent[k] = size
+                frequent_b += size
+            else:
+                recent[k] = size
+                recent_b += size
 
 
-def _bandit(keys: list, sizes: list, capacity: int, arms: tuple[str, ...] = ("lru", "mru", "lfu"), window: int = 200, seed: int = 1) -> int:
+def _thompson(capacity: int, arms: tuple[str, ...] = ("lru", "mru", "lfu"), window: int = 200, seed: int = 1):
     """Misses where, window by window, Thompson sampling picks the policy whose past windows hit best; the blocks held stay from window to window."""
     if set(arms) - {"lru", "mru", "lfu"}:
         raise ValueError(f"arms are lru, mru and lfu, not {arms}")
     rng = np.random.default_rng(seed)
     wins, losses = dict.fromkeys(arms, 1.0), dict.fromkeys(arms, 1.0)
     held: OrderedDict = OrderedDict()  # the latest access at the end
-    used = misses = 0
+    used = misses = i = 0
     arm = arms[0]
-    for i, (k, size) in enumerate(zip(keys, sizes, strict=True)):
-        if i % window == 0:
-            arm = max(arms, key=lambda a: rng.beta(wins[a], losses[a]))
-        if k in held:
-            held[k]["hits"] += 1
-            held.move_to_end(k)
-            wins[arm] += 1
-            continue
-        misses += 1
-        losses[arm] += 1
-        if size > capacity:
-            continue
-        while used + size > capacity:
-            victim = next(iter(held)) if arm == "lru" else next(reversed(held)) if arm == "mru" else min(held, key=lambda x: held[x]["hits"])
-            used -= held.pop(victim)["size"]
-        held[k] = {"size": size, "hits": 1}
-        used += size
-    return misses
+    while True:
+        keys, sizes, _ = yield misses
+        for k, size in zip(keys, sizes, strict=True):
+            if i % window == 0:
+                arm = max(arms, key=lambda a: rng.beta(wins[a], losses[a]))
+            i += 1
+            if k in held:
+                held[k][1] += 1
+                held.move_to_end(k)
+                wins[arm] += 1
+                continue
+            misses += 1
+            losses[arm] += 1
+            if size > capacity:
+                continue
+            while used + size > capacity:
+                victim = next(iter(held)) if arm == "lru" else next(reversed(held)) if arm == "mru" else min(held, key=lambda x: held[x][1])
+                used -= held.pop(victim)[0]
+            held[k] = [size, 1]
+            used += size
+
+
+def _simulator(policy: str, capacity: int, seed: int = 1):
+    """A simulator that awaits its first piece: lru, mru, fifo, lfu, hyperbolic, gdsize, random, opt, arc, thompson."""
+    if policy in ("lru", "mru", "fifo"):
+        out = _queue(policy, capacity)
+    elif policy in ("lfu", "hyperbolic", "gdsize", "random", "opt"):
+        out = _scored(policy, capacity, seed)
+    elif policy in ("arc", "thompson"):
+        out = (_arc if policy == "arc" else _thompson)(capacity)
+    else:
+        raise ValueError(f"no policy named {policy!r}")
+    next(out)
+    return out
 
 
-def simulate(trace: DataFrame, policies: Sequence[str], capacities: Sequence[int], shards: int = 1, custom: Callable | None = None) -> DataFrame:
-    """(policy, capacity, n, misses, miss_ratio). The block space is cut into `shards` caches of capacity / shards each, which run in parallel."""
-    jobs = [(p, int(c)) for p in policies for c in capacities]
-    step = custom or _simulate
+def _simulate(policy: str, keys: list, sizes: list, capacity: int, seed: int = 1) -> int:
+    """Misses of one policy over a trace in memory."""
+    following: list[tuple] = []
+    if policy == "opt":
+        nxt: dict = {}
+        following = [NEVER] * len(keys)
+        for i in range(len(keys) - 1, -1, -1):
+            following[i] = nxt.get(keys[i], NEVER)
+            nxt[keys[i]] = (0, i)
+    return _simulator(policy, capacity, seed).send((keys, sizes, following))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "block_key"], kind="stable")
-        policy, capacity = frame["policy"].iloc[0], int(frame["capacity"].iloc[0])
-        return pd.DataFrame({"policy": [policy], "capacity": [capacity], "n": [len(frame)], "misses": [step(policy, frame["block_key"].tolist(), frame["block_size"].tolist(), capacity // shards)]})
 
-    job = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(c).cast("long").alias("capacity")) for p, c in jobs])).alias("job")
-    rows = trace.select("ts", "block_key", "block_size", F.pmod(F.xxhash64("block_key"), F.lit(shards)).alias("shard_"), job).select("ts", "block_key", "block_size", "shard_", "job.*")
-    out = rows.groupBy("shard_", "policy", "capacity").applyInPandas(run, "policy string, capacity long, n long, misses long")
+def _bandit(keys: list, sizes: list, capacity: int, arms: tuple[str, ...] = ("lru", "mru", "lfu"), window: int = 200, seed: int = 1) -> int:
+    """Misses of the Thompson policy over a trace in memory."""
+    steps = _thompson(capacity, arms, window, seed)
+    next(steps)
+    return steps.send((keys, sizes, ()))
+
+
+def _shards(jobs: Sequence[tuple[str, int]], shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs all jobs at once over batches of (shard_, block_key, block_size, next_) in the order of their shards and accesses: of a trace it holds the batch at hand."""
+    schema = pa.schema([("policy", pa.string()), ("capacity", pa.int64()), ("n", pa.int64()), ("misses", pa.int64())])
+
+    def ended(n: int, misses: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[p for p, _ in jobs], [c for _, c in jobs], [n] * len(jobs), misses], schema.types, strict=True)], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, misses, steps = None, 0, [], []
+        for batch in batches:
+            shard = batch.column("shard_").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                piece = batch.slice(a, b - a)
+                keys, sizes = piece.column("block_key").to_pylist(), piece.column("block_size").to_pylist()
+                following = [NEVER if t is None else (0, t, k) for t, k in zip(piece.column("next_").to_pylist(), keys, strict=True)] if "next_" in batch.schema.names else ()
+                if at != shard[a]:
+                    if at is not None:
+                        yield ended(n, misses)
+                    at, n, steps = shard[a], 0, [_simulator(p, c // shards) for p, c in jobs]
+                n += b - a
+                misses = [s.send((keys, sizes, following)) for s in steps]
+        if at is not None:
+            yield ended(n, misses)
+
+    return run
+
+
+def simulate(trace: DataFrame, policies: Sequence[str], capacities: Sequence[int], shards: int = 1, custom: Callable | None = None) -> DataFrame:
+    """(policy, capacity, n, misses, miss_ratio). The block space is cut into `shards` caches of capacity / shards each, which run in parallel, each over its accesses in order as
+    they stream by. `custom` takes the place of the simulators: (policy, keys, sizes, capacity) to misses; it gets all accesses of a shard at once, in memory."""
+    jobs = [(p, int(c)) for p in policies for c in capacities]
+    rows = trace.select("ts", "block_key", "block_size", F.pmod(F.xxhash64("block_key"), F.lit(shards)).cast("int").alias("shard_"))
+    if custom is None:
+        for p, c in jobs:
+            _simulator(p, c)  # an unknown policy is an error here rather than in a task
+        rows = rows.repartitionById(shards, "shard_") if shards > 1 else rows.repartition(1)
+        if "opt" in policies:
+            rows = rows.withColumn("next_", F.lead("ts").over(Window.partitionBy("shard_", "block_key").orderBy(F.col("ts").asc_nulls_last())))
+        rows = rows.sortWithinPartitions("shard_", F.col("ts").asc_nulls_last(), F.col("block_key").asc_nulls_last())
+        out = rows.drop("ts").mapInArrow(_shards(jobs, shards), "policy string, capacity long, n long, misses long")
+    else:
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["ts", "block_key"], kind="stable")
+            policy, capacity = frame["policy"].iloc[0], int(frame["capacity"].iloc[0])
+            return pd.DataFrame({"policy": [policy], "capacity": [capacity], "n": [len(frame)], "misses": [custom(policy, frame["block_key"].tolist(), frame["block_size"].tolist(), capacity // shards)]})
+
+        job = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(c).cast("long").alias("capacity")) for p, c in jobs])).alias("job")
+        out = rows.select("*", job).select("ts", "block_key", "block_size", "shard_", "job.*").groupBy("shard_", "policy", "capacity").applyInPandas(run, "policy string, capacity long, n long, misses long")
     return out.groupBy("policy", "capacity").agg(F.sum("n").alias("n"), F.sum("misses").alias("misses")).withColumn("miss_ratio", F.round(F.col("misses") / F.col("n"), 6))
