@@ -339,3 +339,23 @@ def test_simulators_hold_no_trace(spark):
 
     first = next(cache_trace._shards([("lru", 60)], 3)(batches())).to_pydict()
     assert first == {"policy": ["lru"], "capacity": [60], "n": [200], "misses": [10]} and len(taken) == 21
+
+
+def test_knn_blocks_of_any_vectors(spark, monkeypatch):
+    """Blocks give what a plain comparison of all pairs does, with ties within the rounding, equal vectors, nulls, other lengths and NaN; and no number of queries is too high."""
+    monkeypatch.setattr(index, "VECTORS", 70)
+    monkeypatch.setattr(index, "QUERIES", 9)
+    rng, nan = np.random.default_rng(3), float("nan")
+    some = [[float(x) for x in rng.random(4)] for _ in range(40)]
+    rows = [(i, [x + float(rng.choice([0, 1e-7])) for x in some[rng.integers(0, 40)]]) for i in range(300)]
+    rows += [(300, None), (301, [0.5, None, 0.5, 0.5]), (302, [0.5, 0.5]), (303, [nan, 0.1, 0.2, 0.3]), (304, [float("inf"), 0.1, 0.2, 0.3]), (305, []), (306, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 10 = 0 or vec_id >= 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for k in (3, 400):
+        plain = v.crossJoin(q).select("query_id", "vec_id", F.round(X.l2(F.col("embedding"), F.col("query")), 6).alias("distance"))
+        want = index._ranked(plain, k)
+        assert sorted(map(repr, index.knn(v, q, k).collect())) == sorted(map(repr, want.collect()))
+    assert index.knn(v.filter("vec_id < 0"), q, 3).count() == 0
+    many = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(0.0)).alias("query"))
+    monkeypatch.setattr(index, "QUERIES", 4096)
+    assert index.knn(spark.createDataFrame([(1, [2.0])], "vec_id long, embedding array<double>"), many, 3).filter("distance = 4.0 and rank = 1").count() == 10_001
