@@ -101,3 +101,17 @@ def test_varints_of_four_bytes_and_more(spark):
     numbers = [0, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, 1 << 22, 5_999_999, 1 << 28, 1 << 35, (1 << 63) - 1]
     got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", X.varint(F.col("n")).alias("v")).collect()
     assert {r["n"]: r["v"] for r in got} == {n: plain(n) for n in numbers}
+
+
+def test_codecs_take_few_values_at_once(spark, tmp_path):
+    """No Arrow batch of values of any size, and documents are read once for all codecs."""
+    from tidelog.plans import catalogue
+
+    rows = [(i, random.Random(i).choice(["a", "bc", "\u00e9"]) * i) for i in range(0, 3000, 13)] + [(3001, None), (3002, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["codec_round_trip"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("Scan parquet") == 1
+    assert sorted(map(tuple, got.collect())) == sorted((c, len(rows), len(rows)) for c in X.CODECS)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert catalogue.QUERIES["codec_round_trip"](spark, str(tmp_path / "none")).count() == 0

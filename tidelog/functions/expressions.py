@@ -1,7 +1,9 @@
-"""Scalar expressions: prefixes, fixed-width and variable-width integers, counters, distances. All stay in the JVM but crc32c()."""
+"""Scalar expressions: prefixes, fixed-width and variable-width integers, counters, distances. All stay in the JVM but crc32c() and the codecs."""
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -158,6 +160,7 @@ def unpacked_seq(packed: Column) -> tuple[Column, Column]:
 CODECS = ("none", "zlib", "bzip2", "zstd", "snappy", "lz4")
 
 
+@functools.cache
 def _codec(name: str, forward: bool):
     import bz2
     import zlib
@@ -178,21 +181,19 @@ def _codec(name: str, forward: bool):
     return lambda raw: codec.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
 
 
-def compressed(raw: Column, codec: str) -> Column:
-    _codec(codec, True)
+def _by_rows(raw: Column, codec: str, forward: bool) -> Column:
+    """Row by row: values come and go a hundred at a time, where batches of Arrow hold ten thousand of whatever size, in every form they pass through."""
+    _codec(codec, forward)
 
-    @F.pandas_udf("binary")
-    def of(x: pd.Series) -> pd.Series:
-        run = _codec(codec, True)
-        return x.map(lambda v: None if v is None else run(bytes(v)))
+    def run(v: bytes | None) -> bytes | None:
+        return None if v is None else _codec(codec, forward)(bytes(v))
 
-    return of(raw)
+    return F.udf(run, "binary", useArrow=False)(raw)
 
 
-def decompressed(raw: Column, codec: str) -> Column:
-    @F.pandas_udf("binary")
-    def of(x: pd.Series) -> pd.Series:
-        run = _codec(codec, False)
-        return x.map(lambda v: None if v is None else run(bytes(v)))
+def compressed(raw: Column, codec: str) -> Column:
+    return _by_rows(raw, codec, True)
 
-    return of(raw)
+
+def decompressed(raw: Column, codec: str) -> Column:
+    return _by_rows(raw, codec, False)

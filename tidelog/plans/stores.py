@@ -243,12 +243,12 @@ def _(spark, d):
 
 @query("codec_round_trip", "SELECT codec, count(*) AS n, count(*) AS same FROM documents, (VALUES ('none'), ('zlib'), ('bzip2'), ('zstd'), ('snappy'), ('lz4')) c(codec) GROUP BY 1")
 def _(spark, d):
-    docs, out = S.table(spark, d, "documents").select(F.col("text").cast("binary").alias("raw")), None
-    for name in X.CODECS:
-        back = X.decompressed(X.compressed(F.col("raw"), name), name)
-        one = docs.select(F.lit(name).alias("codec"), back.eqNullSafe(F.col("raw")).cast("long").alias("same")).groupBy("codec").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    docs = S.table(spark, d, "documents").repartition(F.xxhash64("doc_id", "text"))  # few row groups would be few tasks of much work
+    docs, raw = docs.select(F.col("text").cast("binary").alias("raw")), F.col("raw")
+    same = docs.select(*[X.decompressed(X.compressed(raw, c), c).eqNullSafe(raw).cast("long").alias(c) for c in X.CODECS])
+    sums = same.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in X.CODECS]).filter("n > 0")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("codec"), F.col("n"), F.col(c).alias("same")) for c in X.CODECS]))
+    return sums.select(each.alias("e")).select("e.*")
 
 
 @query("masked_checksums", "SELECT doc_id, true AS same, true AS other FROM documents")
