@@ -359,3 +359,24 @@ def test_knn_blocks_of_any_vectors(spark, monkeypatch):
     many = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(0.0)).alias("query"))
     monkeypatch.setattr(index, "QUERIES", 4096)
     assert index.knn(spark.createDataFrame([(1, [2.0])], "vec_id long, embedding array<double>"), many, 3).filter("distance = 4.0 and rank = 1").count() == 10_001
+
+
+def _shuffled_rows(spark):
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_reuse_distances_shuffle_little(spark, monkeypatch):
+    """An access is shuffled once into its slot; after that only each slot's first and last accesses of a block are."""
+    for slot, most in ((1 << 16, 1.2), (2000, 1.5)):
+        monkeypatch.setattr(cache_trace, "SLOT", slot)
+        t = spark.range(20_000).select(F.col("id").alias("ts"), (F.col("id") * 7919 % 50).alias("block_key"), F.lit(10).cast("long").alias("block_size"))
+        before = _shuffled_rows(spark)
+        got = cache_trace.reuse_distances(t).groupBy("distance").count().collect()
+        assert sorted((r["distance"], r["count"]) for r in got) == [(-1, 50), (490, 19_950)]
+        assert _shuffled_rows(spark) - before < most * 20_000
+    t = spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate([("a", 1), (None, 2), ("b", 4), (None, 8), ("a", 16), ("b", 1)])], "ts long, block_key string, block_size int")
+    for slot in (1, 2, 9):
+        monkeypatch.setattr(cache_trace, "SLOT", slot)
+        assert [r["distance"] for r in cache_trace.reuse_distances(t).orderBy("ts").collect()] == [-1, -1, -1, 4, 12, 24]

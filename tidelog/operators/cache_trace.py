@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,7 +128,7 @@ def reuse_features(trace: DataFrame, horizon: int) -> DataFrame:
 
 #: Accesses in a slot of the trace, about, and the most slots: the driver holds a table of slots x slots.
 SLOT, SLOTS = 1 << 16, 512
-#: The end of a block's last interval. It and -1 stand for nulls, with which pandas would read longs as floats.
+#: The end of a block's last interval. It stands for null, with which pandas would read longs as floats.
 OPEN = 1 << 62
 
 
@@ -147,34 +148,68 @@ def _enclosing(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _intervals(trace: DataFrame) -> DataFrame:
-    """(start, w, at, block_key, ts, block_size): each access at `at` with the place of its block's previous one and the size it had there, -1 and 0
-    on the first; and a row that ends at OPEN for each block's last access. Places ascend with (ts, block_key), 33 bits below the slot."""
+def _within(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edge, distance) of the accesses of one slot in order. edge has 2 for a block's first access in the slot and 1 for its last. An access whose block's previous one is in the slot
+    too has its distance here; a first one has the bytes of the distinct blocks that the slot touched before it."""
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    again = keys[order[1:]] == keys[order[:-1]]
+    prev, following = np.full(n, -1, np.int64), np.full(n, n, np.int64)
+    prev[order[1:][again]] = order[:-1][again]
+    following[order[:-1][again]] = order[1:][again]
+    back = np.flatnonzero(prev >= 0)
+    ended = np.zeros(n, np.int64)
+    ended[back] = sizes[prev[back]]
+    distance = np.cumsum(sizes) - sizes - np.cumsum(ended)
+    # Open before the previous access and still: intervals that leave the slot, and those that end in it later.
+    inside = following < n
+    leaving = np.cumsum(np.where(inside, 0, sizes))
+    inner = np.zeros(n, np.int64)
+    inner[inside] = leaving[inside] + _enclosing(following[inside], sizes[inside])
+    distance[back] -= inner[prev[back]]
+    return 2 * (prev < 0) + (following == n), distance
+
+
+def _slots(trace: DataFrame) -> DataFrame:
+    """(block_key, ts, block_size, at, edge, distance): the accesses, cut by (ts, block_key) into slots, each with its place (33 bits below the slot) and what _within says. A slot is a
+    task's partition, so what stays inside it is never shuffled again."""
     rows = trace.select("block_key", "ts", "block_size")
     slots = min(SLOTS, max(1, -(-rows.count() // SLOT)))
     rows = rows.repartitionByRange(slots, "ts", "block_key").sortWithinPartitions("ts", "block_key").withColumn("at", F.monotonically_increasing_id())
-    rows = written(rows).withColumn("slot", F.shiftright("at", 33))
-    # A block's accesses are linked within a slot, then its slots: no window holds more than a slot or one row for each slot.
-    own, across = Window.partitionBy("slot", "block_key").orderBy("at"), Window.partitionBy("block_key").orderBy("slot")
-    edges = rows.groupBy("slot", "block_key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max_by("block_size", "at").alias("block_size"), F.max("ts").alias("ts"))
-    edges = edges.withColumn("earlier", F.lag("last").over(across)).withColumn("held", F.lag("block_size").over(across)).withColumn("later", F.lead("first").over(across))
-    edges = written(edges)
-    near = rows.withColumn("start", F.lag("at").over(own)).withColumn("w", F.lag("block_size").over(own))
-    near = near.join(edges.filter("earlier is not null").select(F.col("first").alias("at"), "earlier", "held"), "at", "left")
-    near = near.select(F.coalesce("start", "earlier", F.lit(-1)).alias("start"), F.coalesce("w", "held", F.lit(0)).cast("long").alias("w"), "at", "block_key", "ts", "block_size")
-    last = edges.filter("later is null").select(F.col("last").alias("start"), F.col("block_size").cast("long").alias("w"), F.lit(OPEN).alias("at"), "block_key", "ts", "block_size")
-    return written(near.unionByName(last))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            slot = pa.Table.from_batches(held).combine_chunks()
+            keys = pc.fill_null(slot["block_key"].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            edge, distance = _within(keys, pc.fill_null(slot["block_size"], 0).to_numpy().astype(np.int64))
+            slot = slot.append_column("edge", pa.array(edge.astype(np.int32))).append_column("distance", pa.array(distance))
+            yield from slot.to_batches(max_chunksize=1 << 16)
+
+    kind = dict(rows.dtypes)
+    return written(rows.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in rows.columns) + ", edge int, distance long"))
+
+
+def _crossing(slots: DataFrame) -> DataFrame:
+    """(start, w, at): the intervals from a block's access to its next in a later slot, with the size it had at the start; `at` is OPEN for its last access of all.
+    They come from the slots' edges alone, so no window holds more than two rows of a slot, however hot a block is."""
+    block = Window.partitionBy("block_key").orderBy("x")
+    edges = slots.filter("edge > 0").select("block_key", (F.shiftleft("at", 2) + F.col("edge")).alias("x"), F.coalesce(F.col("block_size").cast("long"), F.lit(0).cast("long")).alias("w"))
+    edges = edges.select("x", "w", F.lag("x").over(block).alias("earlier"), F.lag("w").over(block).alias("held"), F.lead("x").over(block).isNull().alias("last"))
+    come = F.when((F.col("x").bitwiseAND(F.lit(2).cast("long")) > 0) & F.col("earlier").isNotNull(), F.struct(F.shiftright("earlier", 2).alias("start"), F.col("held").alias("w"), F.shiftright("x", 2).alias("at")))
+    stay = F.when(F.col("last"), F.struct(F.shiftright("x", 2).alias("start"), F.col("w"), F.lit(OPEN).alias("at")))
+    return written(edges.select(F.explode(F.array_compact(F.array(come, stay))).alias("e")).select("e.*"))
 
 
 def reuse_distances(trace: DataFrame) -> DataFrame:
     """(block_key, ts, block_size, distance): bytes of the distinct other blocks of the whole trace touched since the block's previous access; -1 on the first.
 
-    An access spans the interval up to its block's next one. The distance of an access that ends the interval (p, i) is the size of all intervals
-    open at i, less that of those open at p already. The latter are summed in three parts: intervals that start in p's slot, by a task for each
-    slot; intervals from earlier slots that end in i's slot, likewise; the others by a table of slot pairs."""
-    spans = _intervals(trace)
+    An access whose previous one is in its slot of the trace has its distance from the slot alone. Another ends an interval (p, i) from an earlier slot: its distance is what its slot touched
+    before it, and the size of all intervals from earlier slots open at i, less that of those open at p already. The latter are summed in three parts: intervals that start in p's
+    slot, by a task for each slot; intervals from earlier slots that end in i's slot, likewise; the others by a table of slot pairs."""
+    slots = _slots(trace)
+    spans = _crossing(slots)
     a, c = F.shiftright("start", 33).alias("a"), F.shiftright("at", 33).alias("c")
-    cells = spans.filter("start >= 0").groupBy(a, c).agg(F.sum("w").alias("w")).collect()
+    cells = spans.groupBy(a, c).agg(F.sum("w").alias("w")).collect()
     width = 1 + max((r["a"] for r in cells), default=-1)
     table = np.zeros((width, width + 1), np.int64)
     for r in cells:
@@ -187,24 +222,30 @@ def reuse_distances(trace: DataFrame) -> DataFrame:
     def starts(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("start")
         frame["inner"] = _enclosing(frame["at"].to_numpy(), frame["w"].to_numpy())
-        return frame[frame["at"] < OPEN]
-
-    def finish(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at")
-        size, w, at, start, inner = (frame[x].to_numpy(np.int64) for x in ("block_size", "w", "at", "start", "inner"))
-        here = at[0] >> 33
-        live = base[here] + np.cumsum(size) - size - np.cumsum(w)
-        again = np.flatnonzero(start >= 0)
-        again = again[np.lexsort((at[again], start[again] >> 33))]
-        out = np.full(len(frame), -1, np.int64)
-        out[again] = live[again] - inner[again] - outside[start[again] >> 33, here] - _enclosing(at[again], w[again])
-        return frame.assign(distance=out)[["block_key", "ts", "block_size", "distance"]]
+        frame["a"] = (frame["start"].to_numpy() >> 33).astype(np.int32)
+        return frame[frame["at"] < OPEN][["a", "at", "w", "inner"]]
+
+    def finish(rows: pa.Table, ends: pa.Table) -> pa.Table:
+        at, own = rows["at"].to_numpy(), rows["distance"].to_numpy()
+        end, w, inner, start = (ends[x].to_numpy() for x in ("at", "w", "inner", "a"))
+        order = np.argsort(end)
+        end, w, inner, start = end[order], w[order], inner[order], start[order]
+        out = np.full(len(at), -1, np.int64)
+        if len(end):
+            here = int(end[0] >> 33)
+            later = np.argsort(start, kind="stable")
+            enclosing = np.empty(len(end), np.int64)
+            enclosing[later] = _enclosing(end[later], w[later])
+            order = np.argsort(at)
+            found = order[np.searchsorted(at[order], end)]
+            out[found] = own[found] + base[here] - np.cumsum(w) - inner - outside[start, here] - enclosing
+        return rows.select(["block_key", "ts", "block_size"]).append_column("distance", pa.array(out))
 
     kind = dict(trace.dtypes)
     row = f"block_key {kind['block_key']}, ts {kind['ts']}, block_size {kind['block_size']}"
-    again = spans.filter("start >= 0").groupBy(a).applyInPandas(starts, f"start long, w long, at long, {row}, inner long")
-    first = spans.filter("start < 0").withColumn("inner", F.lit(0).cast("long"))
-    return again.unionByName(first).groupBy(c).applyInPandas(finish, f"{row}, distance long")
+    ends = spans.groupBy(a).applyInPandas(starts, "a int, at long, w long, inner long")
+    first = slots.filter("edge >= 2").select("block_key", "ts", "block_size", "at", "distance").groupBy(c).cogroup(ends.groupBy(c)).applyInArrow(finish, f"{row}, distance long")
+    return slots.filter("edge < 2").select("block_key", "ts", "block_size", "distance").unionByName(first)
 
 
 def lru_miss_curve(trace: DataFrame, capacities: Sequence[int]) -> DataFrame:
